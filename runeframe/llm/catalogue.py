@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runeframe.llm import canonical_text, conversations, markup, personal
+from runeframe.llm import canonical_text, conversations, markup, packing, personal, shared_spans, stuffing, tokens
 from runeframe.session import table
 
 #: Bound on the member table, whose names become the gazetteer sent to every task.
@@ -79,7 +79,33 @@ select t.channel from t left join f using (channel)
 where n is null or lo <> 1 or hi <> n or nameless or q is null or s is null or s <= q
 """
 
-QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p2_found": p2_found, "p2_clean": p2_clean, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_conversations": p5_conversations}
+#: Shared spans have at least this many characters.
+MIN_SHARED = 24
+#: Tokens a container holds.
+CAPACITY = 2048
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans.shared_lengths(table(spark, sf_dir, "runes"), "id", "canon", "msg_id", MIN_SHARED)
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encoded(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in containers of 2,048 tokens."""
+    sizes = tokens.counted(table(spark, sf_dir, "documents"), "doc_id", "text")
+    placed = packing.packed(sizes, "doc_id", "n_tokens", CAPACITY)
+    return placed.select(F.col("id").alias("doc_id"), "part", F.col("size").alias("n_tokens"), F.col("container").alias("container_id"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffing.find_stuffed(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+FUNCTIONS = (p1_found, p1_forms, p2_found, p2_clean, p4_found, p4_redacted, p5_found, p5_conversations, p7_found, p8_ids, p9_containers, p10_found)
+QUERIES = {f.__name__: f for f in FUNCTIONS}
 ORACLES = {"p5_found": P5_SQL}
 
 
