@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from runeframe.plans import packed, sessions
+from runeframe.plans import cipher, notation, packed, sessions, stats
 
-MODULES = (sessions, packed)
-FLAGSHIP = "p3_found"
+MODULES = (sessions, packed, stats, cipher, notation)
+FLAGSHIP = "flagship"
 
 
 def queries() -> dict:
