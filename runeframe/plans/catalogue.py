@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from runeframe.plans import cipher, notation, packed, sessions, stats
+from runeframe.plans import cipher, notation, packed, search, sessions, stats
 
-MODULES = (sessions, packed, stats, cipher, notation)
+MODULES = (sessions, packed, stats, cipher, notation, search)
 FLAGSHIP = "flagship"
 
 
