@@ -58,7 +58,7 @@ def _decomposed_upper(texts: pd.Series) -> pd.Series:
 
 def _letters(text: Column) -> Column:
     """Upper-case letters A to Z and white space of the compatibility decomposition."""
-    usual = F.translate(F.upper(text), ACCENTED + "   ", PLAIN + "   ")
+    usual = F.translate(F.upper(text), ACCENTED + "\u00a0\u2007\u202f", PLAIN + "   ")
     unusual = text.rlike(f"[^\\x00-\\x7F{ACCENTED}{ACCENTED.lower()}{LETTERLESS}]")
     return F.regexp_replace(F.coalesce(_decomposed_upper(F.when(unusual, text)), usual), r"[^A-Z\s]", "")
 

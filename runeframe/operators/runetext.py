@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runeframe.operators.prefix import running_totals
+
 
 def is_word_end(marks: Column, printed_here: Column | None = None) -> Column:
     """Any mark but a bare line end closes a word, and so does a printed run."""
@@ -42,8 +44,7 @@ def concat(parts: DataFrame, key: str, order: str, printed: DataFrame | None = N
     texts = parts.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("o"))
     if leading is not None:
         texts = leading.select(key, "leading_marks").join(texts, key, "full").withColumn("n", F.coalesce("n", F.lit(0)))
-    by = Window.orderBy("o", key)
-    offsets = texts.withColumn("offset", F.sum("n").over(by) - F.col("n"))
+    offsets = running_totals(texts, ["o", key], "n", "offset")
     moved = parts.join(offsets.select(key, "offset"), key).withColumn("pos", F.col("pos") + F.col("offset")).drop("offset")
     if leading is not None:
         carried = offsets.where("leading_marks <> '' and offset > 0").groupBy((F.col("offset") - 1).alias("pos")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "leading_marks"))), lambda s: s["leading_marks"]), "").alias("carried"))

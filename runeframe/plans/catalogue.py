@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from runeframe.plans import cipher, notation, packed, search, sessions, stats
+from runeframe.plans import cipher, corpus, notation, packed, search, sessions, stats, streams
 
-MODULES = (sessions, packed, stats, cipher, notation, search)
+MODULES = (sessions, packed, stats, cipher, notation, search, corpus, streams)
 FLAGSHIP = "flagship"
 
 

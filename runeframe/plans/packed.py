@@ -9,7 +9,7 @@ from runeframe.operators.packed import Packing, split_packed
 from runeframe.session import table
 
 #: Fixed words that announce a packed body.
-LEAD = r"(?i)[\s​﻿]*(?:keys|cribs|pages|tags|primes)\s*[:=]"
+LEAD = r"(?i)[\s\u200b\ufeff]*(?:keys|cribs|pages|tags|primes)\s*[:=]"
 #: Rune indices are known whole values of a number list, with and without a leading zero.
 INDICES = (*map(str, range(29)), *(f"0{i}" for i in range(10)))
 NUMBERS = Packing(other_than_digits=True, known=INDICES)
