@@ -8,11 +8,10 @@ one (a byte per symbol, sliceable by string functions) and the form most operato
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 N = 29
 CANON = "abcdefghijklmnopqrstuvwxyz012"
@@ -28,11 +27,27 @@ SPELLINGS = {alias: i for i, t in enumerate(TRANSLITERATIONS) for alias in t.spl
 MULTI = tuple(sorted((s for s in SPELLINGS if len(s) > 1), key=lambda s: (-len(s), s)))
 SINGLE = "".join(sorted(s for s in SPELLINGS if len(s) == 1))
 
-#: Letters that decompose to a plain letter and marks, as found in the archive's languages; other text takes the slow way.
-ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUY"
-#: Characters without any letter in their decomposition that are frequent in the archive.
-LETTERLESS = "\\u00A0\\u00AD\\u00BF\\u00A1\\u00DF\\u0300-\\u036F\\u200B-\\u200F\\u2010-\\u2027\\u202F\\u2060\\u2190-\\u2BFF\\u0400-\\u04FF\\uFE0F\\uFEFF\\u16A0-\\u16FF\\u00B2\\u00B3\\u2070-\\u2079"
+
+@cache
+def _decompositions() -> tuple[str, str, dict[str, str]]:
+    """Characters whose compatibility decomposition holds letters of A to Z: those with one letter and that letter, and those with several.
+
+    Made from the Unicode data for upper-cased text; white space of any kind becomes a blank.
+    """
+    one, plain, several = [], [], {}
+    for code in range(0x80, 0x10000):
+        ch = chr(code)
+        if ch.isspace():
+            one.append(ch)
+            plain.append(" ")
+            continue
+        letters = "".join(c for c in unicodedata.normalize("NFKD", ch).upper() if "A" <= c <= "Z")
+        if len(letters) == 1:
+            one.append(ch)
+            plain.append(letters)
+        elif letters and ch.upper() == ch:
+            several[ch] = letters
+    return "".join(one), "".join(plain), several
 
 
 def alphabet(spark: SparkSession) -> DataFrame:
@@ -51,16 +66,22 @@ def has_rune(text: Column) -> Column:
     return text.rlike("[\\u16A0-\\u16FF]")
 
 
-@F.pandas_udf(T.StringType())
-def _decomposed_upper(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKD", t).upper().split()))
+def has_symbol(text: Column) -> Column:
+    """Whether one of the 29 occurs; the block's single range is tested first, as it is the faster pattern."""
+    return has_rune(text) & text.rlike(f"[{RUNES}]")
 
 
 def _letters(text: Column) -> Column:
-    """Upper-case letters A to Z and white space of the compatibility decomposition."""
-    usual = F.translate(F.upper(text), ACCENTED + "\u00a0\u2007\u202f", PLAIN + "   ")
-    unusual = text.rlike(f"[^\\x00-\\x7F{ACCENTED}{ACCENTED.lower()}{LETTERLESS}]")
-    return F.regexp_replace(F.coalesce(_decomposed_upper(F.when(unusual, text)), usual), r"[^A-Z\s]", "")
+    """Upper-case letters A to Z and white space of the compatibility decomposition; inside the JVM throughout."""
+    one, plain, several = _decompositions()
+    upper = F.upper(text)
+    parted = upper
+    for ch, letters in several.items():
+        parted = F.replace(parted, F.lit(ch), F.lit(letters))
+    # ASCII texts have nothing to decompose, and few texts hold a character of several letters
+    rare = upper.rlike("[" + "".join(several) + "]")
+    decomposed = F.translate(F.when(rare, parted).otherwise(upper), one, plain)
+    return F.regexp_replace(F.when(F.octet_length(text) == F.length(text), upper).otherwise(decomposed), r"[^A-Z\s]+", "")
 
 
 def spell(text: Column) -> Column:
@@ -73,7 +94,7 @@ def spell(text: Column) -> Column:
     for s in MULTI:
         marked = F.replace(marked, F.lit(f"<{s}>"), F.lit(CANON[SPELLINGS[s]]))
     canon = F.translate(marked, SINGLE + " \t\n\x0b\x0c\r", "".join(CANON[SPELLINGS[s]] for s in SINGLE))
-    return F.when(~text.rlike(f"[{RUNES}]"), canon)
+    return F.when(~has_symbol(text), canon)
 
 
 def canon_of_runes(runes: Column) -> Column:

@@ -24,11 +24,12 @@ _DIGITS = "(?:[01]?[0-9]|2[0-8])(?![0-9])"
 # white space but line ends; opening brackets may only come before closing ones
 _GAP = r"(?:-|[\s,;:/\[(&&[^\n\r]]*+[\s,;:/\])&&[^\n\r]]*+)"
 
-RUNIC = f"([{RUNES}]{{{MIN_RUNIC},}})"
+# cheap look-aheads come first, so that most positions fail on one character
+RUNIC = f"((?={_BLOCK})[{RUNES}]{{{MIN_RUNIC},}})"
 JOINED = rf"({_BLOCK}+(?:[-./ \t]+{_BLOCK}+)+)"
-FRAGMENT = rf"([{RUNES}](?:[-./ \t]*[{RUNES}])*)"
-NUMERIC = rf"(?U)((?<![0-9])(?<![^0-9]-){_DIGITS}(?:{_GAP}{_DIGITS}){{{MIN_NUMERIC - 1},}})"
-TRANSLIT = rf"((?<![A-Za-z]){_SPELLING}(?:[-. /]{_SPELLING}){{{MIN_TRANSLIT - 1},}})"
+FRAGMENT = rf"((?={_BLOCK})[{RUNES}](?:[-./ \t]*[{RUNES}])*)"
+NUMERIC = rf"(?U)((?=[0-9])(?<![0-9])(?<![^0-9]-){_DIGITS}(?:{_GAP}{_DIGITS}){{{MIN_NUMERIC - 1},}})"
+TRANSLIT = rf"((?=[A-Za-z]{{1,3}}[-. /][A-Za-z]{{1,3}}[-. /])(?<![A-Za-z]){_SPELLING}(?:[-. /]{_SPELLING}){{{MIN_TRANSLIT - 1},}})"
 
 
 def _all(text: Column, pattern: str) -> Column:
@@ -63,9 +64,11 @@ def _credible(raw: Column) -> Column:
 def runs(text: Column) -> Column:
     """Array of ``notation, raw, canon`` in extractor order, then position; empty for NULL."""
     joined = F.flatten(F.transform(_all(text, JOINED), lambda m: F.filter(_all(m, FRAGMENT), lambda f: F.length(_glyphs(f)) >= MIN_JOINED)))
+    runic = text.rlike(_BLOCK)
+    none = F.array().cast("array<string>")
     found = F.concat(
-        _runs("runic", _all(text, RUNIC), _glyphs),
-        _runs("runic-joined", joined, _glyphs),
+        _runs("runic", F.when(runic, _all(text, RUNIC)).otherwise(none), _glyphs),
+        _runs("runic-joined", F.when(runic, joined).otherwise(none), _glyphs),
         _runs("numeric", _all(text, NUMERIC), _numbers),
         _runs("translit", F.filter(_all(text, TRANSLIT), _credible), _spelled),
     )

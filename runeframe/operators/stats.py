@@ -82,8 +82,15 @@ def positions_of(canon: Column, needle: str) -> Column:
     """Array of all positions of a needle, overlapping ones included, from 0."""
     if not needle:
         raise ValueError("the needle is empty")
-    grams = ngrams(canon, len(needle))
-    return F.filter(F.transform(grams, lambda g, i: F.when(g == needle, i)), lambda i: i.isNotNull())
+    quoted = "".join(c if c.isalnum() else "\\" + c for c in needle)
+    parts = F.filter(F.split(canon, f"(?={quoted})"), lambda p: p != "")  # every part but perhaps the first starts with the needle
+    walked = F.aggregate(
+        parts,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found")),
+        lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.when(F.startswith(p, F.lit(needle[0])), F.concat(acc["found"], F.array(acc["at"]))).otherwise(acc["found"]).alias("found")),
+    )["found"]
+    # the first part may start with the needle's first symbol without being a match
+    return F.when(F.startswith(canon, F.lit(needle)), walked).otherwise(F.filter(walked, lambda i: i > 0))
 
 
 def rune_counts(texts: DataFrame, canon: str) -> DataFrame:

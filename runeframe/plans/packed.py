@@ -28,5 +28,18 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbers.select(F.lit("runes.raw").alias("field"), "id", "pos", "value").unionAll(lists.select(F.lit("messages.body").alias("field"), "id", "pos", "value"))
 
 
+_END = r"[ ]*(?:[,;|/\t\n\r]|$)"
+_ITEM = rf"""[ ]*"(?:[^"\\]|""|\\.)*"{_END}|[ ]*'(?:[^'\\]|''|\\.)*'{_END}|[ ]*“[^”]*”{_END}|[^,;|/\t\n\r]*(?:[,;|/\t\n\r]|$)""".replace("'", "''")
+_LEAD = r"(?i)^\s*(keys|cribs|pages|tags|primes)\s*[:=]"
+P6_SQL = rf"""
+with nums as (select id, unnest(v) as value, unnest(range(1, len(v) + 1))::int as pos from (select id, regexp_extract_all(raw, '[0-9]+') v from runes where notation = 'numeric')),
+b as (select id, regexp_extract_all(regexp_replace(body, '{_LEAD}', ''), '{_ITEM}') v from messages where regexp_matches(body, '{_LEAD}')),
+c as (select id, list_filter(list_transform(v, lambda x: trim(regexp_replace(x, '[,;|/\t\n\r]$', ''))), lambda x: x <> '') v from b),
+u as (select id, list_transform(v, lambda x: case when length(x) > 1 and x[1] = '"' and x[-1] = '"' then replace(replace(x[2:-2], '""', '"'), '\"', '"')
+   when length(x) > 1 and x[1] = '''' and x[-1] = '''' then replace(replace(x[2:-2], '''''', ''''), '\''', '''')
+   when length(x) > 1 and x[1] = '“' and x[-1] = '”' then x[2:-2] else x end) v from c)
+select 'runes.raw' as field, id, pos, value from nums union all
+select 'messages.body', id, unnest(range(1, len(v) + 1))::int as pos, unnest(v) as value from u
+"""
 QUERIES = {"p6_found": p6_found}
-ORACLES: dict[str, str] = {}
+ORACLES = {"p6_found": P6_SQL}

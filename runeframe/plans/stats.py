@@ -14,7 +14,7 @@ LONG_PERIOD = 12
 
 
 def spelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text").where(F.col("text").isNotNull() & ~F.col("text").rlike(f"[{A.RUNES}]")))
+    texts = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text").where(F.col("text").isNotNull() & ~A.has_symbol(F.col("text"))))
     return texts.select("doc_id", "lang", A.spell(F.col("text")).alias("canon"))
 
 
@@ -103,7 +103,7 @@ def kasiski_gaps(spark, d):  # noqa: ANN001, ANN201
 
 def find_needle(spark, d):  # noqa: ANN001, ANN201
     found = stats.positions_of(F.col("canon"), NEEDLE)
-    return spelled(spark, d).select("doc_id", F.array_join(F.transform(found, lambda p: p.cast("string")), ",").alias("positions")).where("positions <> ''")
+    return spelled(spark, d).where(F.contains("canon", F.lit(NEEDLE))).select("doc_id", F.array_join(F.transform(found, lambda p: p.cast("string")), ",").alias("positions"))
 
 
 def model_n4(spark, d):  # noqa: ANN001, ANN201
