@@ -106,7 +106,32 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FUNCTIONS = (p1_found, p1_forms, p2_found, p2_clean, p4_found, p4_redacted, p5_found, p5_conversations, p7_found, p8_ids, p9_containers, p10_found)
 QUERIES = {f.__name__: f for f in FUNCTIONS}
-ORACLES = {"p5_found": P5_SQL}
+
+
+def _p1_sql() -> str:
+    """Pairs by reading form, the form made by DuckDB from the same tables of characters."""
+    readings, _ = canonical_text._tables()
+    single = {chr(c): v for c, v in readings.items() if len(v) == 1}
+    gone = "".join(chr(c) for c, v in readings.items() if not v and c < 0x10000)
+    several = {chr(c): v for c, v in readings.items() if len(v) > 1 and (0xFB00 <= c <= 0xFB06 or 0x2160 <= c <= 0x217F or c == 0x2026)}
+    form = "t"
+    for ch, v in several.items():
+        form = f"replace({form}, '{ch}', '{v}')"
+    quoted = lambda t: t.replace("'", "''")
+    form = f"nfc_normalize(translate({form}, '{quoted(''.join(single))}{gone}', '{quoted(''.join(single.values()))}'))"
+    return rf"""with a as (select 'messages.body' as field, id, body t from messages union all select 'runes.raw', id, raw from runes),
+      f as (select field, id, t, case when strlen(t) = length(t) then t else {form} end r from a where t is not null), v as (select * from f where r <> t)
+      select distinct v.field, least(v.id, f.id) as id_a, greatest(v.id, f.id) as id_b from v join f on v.field = f.field and v.r = f.r and v.t <> f.t where regexp_matches(v.r, '[^\s]')"""
+
+
+P7_SQL = f"""
+with g as (select id, msg_id, unnest(range(length(canon) - {MIN_SHARED - 1})) p, unnest(list_transform(range(length(canon) - {MIN_SHARED - 1}), lambda i: substring(canon, i::int + 1, {MIN_SHARED}))) w
+  from runes where length(canon) >= {MIN_SHARED}),
+s as (select w from g group by 1 having count(distinct msg_id) > 1)
+select id, count(distinct q) as n_shared from (select id, unnest(range(p, p + {MIN_SHARED})) q from g join s using (w)) group by 1
+"""
+ORACLES = {"p1_found": _p1_sql(), "p5_found": P5_SQL, "p7_found": P7_SQL}
+
 
 
 def queries() -> dict:

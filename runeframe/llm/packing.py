@@ -60,7 +60,7 @@ class Plan:
         return sum(n for _, n in self.configurations)
 
 
-def solve(histogram: dict[int, int], capacity: int, rounds: int = 400, step: float = 0.5, rate: float = 1.0) -> Plan:
+def solve(histogram: dict[int, int], capacity: int, rounds: int = 120, step: float = 0.5, rate: float = 1.0) -> Plan:
     """Configurations that hold every item of the histogram (lengths 1 to capacity).
 
     ``rounds`` bounds the pricing rounds, ``step`` is the share of the scarcest length that a
