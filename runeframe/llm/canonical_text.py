@@ -81,16 +81,20 @@ def canonical_form(text: str) -> str:
     return " ".join(folded.split())
 
 
+def _per_distinct(texts: pd.Series, form) -> pd.Series:  # noqa: ANN001
+    """``form`` of each text, made once per distinct text; nulls stay null."""
+    made = {t: form(t) for t in set(texts) if isinstance(t, str)}
+    return pd.Series([made.get(t) if isinstance(t, str) else None for t in texts], dtype=object)
+
+
 @F.pandas_udf(T.StringType())
 def _reading(texts: pd.Series) -> pd.Series:
-    distinct = {t: reading_form(t) for t in texts.dropna().unique()}
-    return texts.map(distinct)
+    return _per_distinct(texts, reading_form)
 
 
 @F.pandas_udf(T.StringType())
 def _canonical(texts: pd.Series) -> pd.Series:
-    distinct = {t: canonical_form(t) for t in texts.dropna().unique()}
-    return texts.map(distinct)
+    return _per_distinct(texts, canonical_form)
 
 
 def _is_ascii(text: Column) -> Column:
