@@ -34,9 +34,8 @@ def score(texts: DataFrame, key: str, canon: str, fitted: DataFrame, n: int = 4)
     if n < 1:
         raise ValueError("n must be positive")
     grams = texts.select(key, F.explode(ngrams(F.col(canon), n)).alias("gram"))
-    # equal n-grams of a text are looked up once
-    grams = grams.groupBy(key, "gram").agg(F.count(F.lit(1)).alias("_copies"))
-    return _looked_up(grams, fitted, n).groupBy(key).agg((F.sum(F.col("value") * F.col("_copies")) / F.sum("_copies")).alias("score"))
+    # a text's n-grams stay in its task up to the partial mean, so one row per text is shuffled
+    return _looked_up(grams, fitted, n).groupBy(key).agg(F.avg("value").alias("score"))
 
 
 def windowed(texts: DataFrame, key: str, canon: str, fitted: DataFrame, size: int = 100, step: int = 25, n: int = 4) -> DataFrame:

@@ -117,3 +117,17 @@ def canonical_query(query: str) -> tuple[str, str]:
             raise UnreadableQuery(f"{query!r} mixes spellings with digits")
         return "".join(CANON[SPELLINGS[w.upper()]] for w in latin), "translit"
     raise UnreadableQuery(f"{query!r} reads as no sequence: give runes, separated indices or separated spellings")
+
+
+def canonical_query_column(query: Column) -> Column:
+    """``struct<canon, notation>`` of a column of queries, NULL where the driver-side reader refuses."""
+    block, latin, digit = query.rlike(_BLOCK), query.rlike("[A-Za-z]"), query.rlike("[0-9]")
+    foreign = F.regexp_replace(query, f"[{RUNES}]", "").rlike(_BLOCK)
+    runic = F.when(block & ~foreign & ~latin & ~digit, F.struct(_glyphs(query).alias("canon"), F.lit("runic").alias("notation")))
+    separators = r"[\s,;:\[\]()\-|/]"
+    listed = query.rlike(rf"(?U)^{separators}*{_DIGITS}(?:{separators}+{_DIGITS})+{separators}*$") & ~query.rlike("(?<![0-9])-[0-9]")
+    numeric = F.when(listed, F.struct(_numbers(query).alias("canon"), F.lit("numeric").alias("notation")))
+    words = _all(query, "([A-Za-z]+)")
+    known = (F.size(words) > 0) & F.forall(words, lambda w: F.upper(w).isin(*SPELLINGS))
+    translit = F.when(~block & ~digit & known, F.struct(_spelled(query).alias("canon"), F.lit("translit").alias("notation")))
+    return F.coalesce(runic, numeric, translit)

@@ -35,9 +35,8 @@ def extract_indexed(spark, d):  # noqa: ANN001, ANN201
 
 
 def extract_counts(spark, d):  # noqa: ANN001, ANN201
-    """Runs per notation as the archive's own table cites them and as extraction finds them."""
-    mine = extract_indexed(spark, d).groupBy("notation").agg(F.count(F.lit(1)).alias("found"))
-    return mine
+    """Indexed runs per notation."""
+    return extract_indexed(spark, d).groupBy("notation").agg(F.count(F.lit(1)).alias("found"))
 
 
 _R = f"[{RUNES}]"
