@@ -52,10 +52,13 @@ def slice_reversed_odd(spark, d):  # noqa: ANN001, ANN201
 
 
 def asof_pinned(spark, d):  # noqa: ANN001, ANN201
-    """Each message with the last pinned one at or before it, channels in name order: the section-start join."""
-    rows = messages(spark, d).where("channel is not null and seq is not null")
-    starts = rows.where("pinned").select(F.col("channel").alias("page"), F.col("seq").alias("first_rune"), F.col("id").alias("section"))
-    placed = rows.select(F.col("channel").alias("page"), F.col("seq").alias("pos"), "id")
+    """Each message with the last pinned one at or before it, channels in name order: the section-start join.
+
+    A page is a block of a channel's positions, so a large channel is many partitions.
+    """
+    rows = messages(spark, d).where("channel is not null and seq is not null").withColumn("page", F.concat("channel", F.lit("\u0001"), F.lpad(F.expr("seq div 4096").cast("string"), 10, "0")))
+    starts = rows.where("pinned").select("page", F.col("seq").alias("first_rune"), F.col("id").alias("section"))
+    placed = rows.select("page", F.col("seq").alias("pos"), "id")
     return R.sections_by_offset(placed, F.col("page"), starts).select("id", F.col("section").alias("pinned_id"))
 
 

@@ -126,10 +126,13 @@ def fitness_windowed_max(spark, d):  # noqa: ANN001, ANN201
 
 
 def training_digest(spark, d):  # noqa: ANN001, ANN201
-    """Digest of each language's spelled texts: a digest of the ordered digests, so no text is gathered."""
-    each = spelled(spark, d).where("lang is not null").select(F.lower("lang").alias("lang"), (F.col("doc_id") % 64).alias("part"), "doc_id", F.sha2(F.col("canon").cast("binary"), 256).alias("h"))
-    parts = each.groupBy("lang", "part").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "h"))), lambda s: s["h"]), "").cast("binary"), 256).alias("h"))
-    return parts.groupBy("lang").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda s: s["h"]), "").cast("binary"), 256).alias("digest"))
+    """Digest of each language's spelled texts in id order, as a tree: at most 1,024 digests are joined at once."""
+    level = spelled(spark, d).where("lang is not null").select(F.lower("lang").alias("lang"), F.col("doc_id").alias("at"), F.sha2(F.col("canon").cast("binary"), 256).alias("h"))
+    for _ in range(2):
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "h"))), lambda s: s["h"]), "")
+        level = level.groupBy("lang", F.expr("at div 1024").alias("at")).agg(F.sha2(joined.cast("binary"), 256).alias("h"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "h"))), lambda s: s["h"]), "")
+    return level.groupBy("lang").agg(F.sha2(joined.cast("binary"), 256).alias("digest"))
 
 
 _MAP = "MAP {" + ", ".join(f"'{s}': '{A.CANON[i]}'" for s, i in A.SPELLINGS.items()) + "}"
@@ -196,7 +199,8 @@ _SQLS = {
       v as (select doc_id, pos, sum(coalesce(logp, floor)) over (partition by doc_id order by pos) u from {_grams('de', 'doc_id', 4)} left join m using (gram), fl),
       w as (select doc_id, length(canon) len, unnest(case when length(canon) <= 100 then [0] else list_distinct(list_concat(range(0, length(canon) - 99, 25), [length(canon) - 100])) end) s from de where length(canon) >= 4)
       select w.doc_id, round(max((e.u - coalesce(b.u, 0)) / (least(100, len) - 3)), 5) best from w join v e on e.doc_id = w.doc_id and e.pos = s + least(100, len) - 4 left join v b on b.doc_id = w.doc_id and b.pos = s - 1 group by 1""",
-    "training_digest": _W + """select lang, sha256(string_agg(h, '' order by part)) digest from (select lower(lang) lang, doc_id % 64 part, sha256(string_agg(sha256(canon), '' order by doc_id)) h from spelled where lang is not null group by 1, 2) group by 1""",
+    "training_digest": _W + """select lang, sha256(string_agg(h, '' order by a2)) digest from (select lang, a1 // 1024 a2, sha256(string_agg(h, '' order by a1)) h from (
+       select lower(lang) lang, doc_id // 1024 a1, sha256(string_agg(sha256(canon), '' order by doc_id)) h from spelled where lang is not null group by 1, 2) group by 1, 2) group by 1""",
 }
 QUERIES = {name: globals()[name] for name in _SQLS}
 ORACLES = dict(_SQLS)
