@@ -43,7 +43,7 @@ MATTER = re.compile(r"[ᚠ-᛿]+|\d+(?:[.,:/x-]\d+)*|\b(?:[A-Za-z]{1,3}[-./]){3,
 MIN_REPEAT = 8
 CLAUSE_SHARE = 0.16
 #: Share of the text outside sentences and matter that must be repetition, links or tags.
-STUFFED_SHARE = 1 / 3
+STUFFED_SHARE = 0.22
 
 
 def is_clause(unit: str) -> bool:
