@@ -130,7 +130,10 @@ with g as (select id, msg_id, unnest(range(length(canon) - {MIN_SHARED - 1})) p,
 s as (select w from g group by 1 having count(distinct msg_id) > 1)
 select id, count(distinct q) as n_shared from (select id, unnest(range(p, p + {MIN_SHARED})) q from g join s using (w)) group by 1
 """
-ORACLES = {"p1_found": _p1_sql(), "p5_found": P5_SQL, "p7_found": P7_SQL}
+P5_TURNS_SQL = P5_SQL.replace("select t.channel from t left join f using (channel)", ", bad as (select t.channel from t left join f using (channel)").rstrip() + """)
+select channel, seq, ro as role, a as author, b as body from w where channel not in (select channel from bad)
+"""
+ORACLES = {"p1_found": _p1_sql(), "p5_found": P5_SQL, "p5_conversations": P5_TURNS_SQL, "p7_found": P7_SQL}
 
 
 

@@ -41,6 +41,8 @@ BOUND = re.compile(r"\n|(?<=[.!?…])\s+")
 #: Runes, numbers, and rune spellings joined by separators.
 MATTER = re.compile(r"[ᚠ-᛿]+|\d+(?:[.,:/x-]\d+)*|\b(?:[A-Za-z]{1,3}[-./]){3,}[A-Za-z]{1,3}\b|\b[0-9a-f]{16,}\b")
 MIN_REPEAT = 8
+#: Characters an automaton is built over at once.
+BLOCK = 1 << 17
 CLAUSE_SHARE = 0.16
 #: Share of the text outside sentences and matter that must be repetition, links or tags.
 STUFFED_SHARE = 0.22
@@ -133,7 +135,8 @@ def shares(text: str) -> tuple[int, int, int]:
             unit = pattern.sub("", unit)
         plain.append(MATTER.sub("", unit))
     joined = "\n".join(plain)
-    cover = repeated_cover(joined)
+    # very long pages in blocks, to bound the automaton's memory; keywords repeat within any block
+    cover = np.concatenate([repeated_cover(joined[a : a + BLOCK]) for a in range(0, max(1, len(joined)), BLOCK)])
     stuffed += sum(1 for c, k in zip(joined, cover.tolist()) if k and not c.isspace())
     return total, total - settled, stuffed
 
