@@ -16,9 +16,25 @@ FLOOR_PENALTY = 2.0
 BROADCAST_N = 4
 
 
-def model(texts: DataFrame, canon: str, n: int = 4) -> DataFrame:
-    """``gram, logp, floor``: log10 shares of the n-grams, and the value of an n-gram that was never seen."""
+def boundaries(texts: DataFrame, canon: str, order: str, n: int) -> DataFrame:
+    """``canon``: the symbols on both sides of each boundary between consecutive texts, ``n - 1`` of each side.
+
+    Their n-grams are those of the concatenated texts that no text has alone. Texts must have at
+    least n - 1 symbols; one narrow row per text is sorted.
+    """
+    edges = texts.select(F.col(order).alias("o"), F.right(canon, F.lit(n - 1)).alias("tail"), F.left(canon, F.lit(n - 1)).alias("head"))
+    return edges.select(F.concat("tail", F.lead("head").over(Window.orderBy("o"))).alias("canon")).where("canon is not null")
+
+
+def model(texts: DataFrame, canon: str, n: int = 4, order: str | None = None) -> DataFrame:
+    """``gram, logp, floor``: log10 shares of the n-grams, and the value of an n-gram that was never seen.
+
+    With ``order`` the texts count as one text in that order, so n-grams span their boundaries.
+    """
     counted = ngram_counts(texts, canon, n)
+    if order is not None and n > 1:
+        spanning = ngram_counts(boundaries(texts, canon, order, n), "canon", n)
+        counted = counted.unionAll(spanning).groupBy("gram").agg(F.sum("n").alias("n"))
     total = counted.agg(F.sum("n").alias("total"))
     return counted.join(F.broadcast(total)).select("gram", F.log10(F.col("n") / F.col("total")).alias("logp"), (F.log10(F.lit(1.0) / F.col("total")) - FLOOR_PENALTY).alias("floor"))
 

@@ -6,6 +6,9 @@ gap belong to the rune before it. Rows are long: one per rune, one per printed r
 
 from __future__ import annotations
 
+import hashlib
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,3 +56,26 @@ def parse_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     printed = base.select("page", F.posexplode("gaps").alias("g", "gap")).select("page", (F.col("g") - 1).alias("anchor"), F.posexplode("gap.printed").alias("ord", "text"))
     leading = base.select("page", F.get("gaps", F.lit(0))["marks"].alias("leading_marks"))
     return placed, printed, leading
+
+
+def read_solutions(spark: SparkSession, folder: str) -> DataFrame:
+    """``file, text`` of the solution files; sections without one find no row."""
+    return spark.read.text(folder, wholetext=True, pathGlobFilter="*.md").select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
+
+
+def training_texts(spark: SparkSession, folders: list[tuple[str, str]]) -> DataFrame:
+    """``o, text``: training texts ordered by kind, then path; ``folders`` are pairs of folder and file pattern, a kind each."""
+    parts = [spark.read.text(f, wholetext=True, pathGlobFilter=p).select(F.concat(F.lit(f"{k}/"), F.col("_metadata.file_path")).alias("o"), F.col("value").alias("text")) for k, (f, p) in enumerate(folders)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionAll(part)
+    return out
+
+
+def corpus_digest(paths: list[str]) -> str:
+    """SHA-256 over names and bytes of a corpus's files in the order given; driver-side, as a running digest depends on order."""
+    digest = hashlib.sha256()
+    for path in map(Path, paths):
+        digest.update(path.name.encode())
+        digest.update(path.read_bytes())
+    return digest.hexdigest()

@@ -207,3 +207,13 @@ def test_streams_equal_batches(spark, tmp_path):
     assert S.run_available(S.once(stream(), ["id"], "at", "30 days")).count() == 200
     counted = S.run_available(S.counts(stream(), "at", "who", "1 day"), "complete")
     assert counted.agg(F.sum("n")).first()[0] == 201
+
+
+def test_solutions_training_and_digest(spark, tmp_path, rows):
+    (tmp_path / "b.md").write_text("AN END", encoding="utf-8")
+    (tmp_path / "a.txt").write_text("two\nlines", encoding="utf-8")
+    assert rows(transcriptions.read_solutions(spark, str(tmp_path))) == [("b.md", "AN END")]
+    texts = transcriptions.training_texts(spark, [(str(tmp_path), "*.md"), (str(tmp_path), "*.txt")])
+    assert [r["text"] for r in texts.orderBy("o").collect()] == ["AN END", "two\nlines"]
+    paths = [str(tmp_path / n) for n in ("a.txt", "b.md")]
+    assert transcriptions.corpus_digest(paths) != transcriptions.corpus_digest(paths[::-1]) and len(transcriptions.corpus_digest(paths)) == 64

@@ -171,3 +171,10 @@ def test_query_sequences(query, canon):
 def test_refused_query_sequences(query):
     with pytest.raises(notation.UnreadableQuery):
         notation.canonical_query(query)
+
+
+def test_ordered_model_spans_boundaries(spark, rows):
+    texts = spark.createDataFrame([(2, "fgh"), (1, "abcde"), (3, "abcdx")], "o int, c string")
+    whole = spark.createDataFrame([("abcdefghabcdx",)], "c string")
+    rounded = lambda df: [(g, round(p, 9), round(f, 9)) for g, p, f in rows(df)]
+    assert rounded(fitness.model(texts, "c", 3, "o")) == rounded(fitness.model(whole, "c", 3))
