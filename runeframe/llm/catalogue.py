@@ -30,9 +30,15 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.find_markup(messages, "id", "body", "body").unionAll(markup.find_markup(messages, "id", "extra", "extra"))
 
 
+def _both(of, first: str, second: str) -> DataFrame:  # noqa: ANN001
+    """``id, field, text``: the texts ``of`` gives for two fields of the messages."""
+    return of(first).select("id", F.lit(first).alias("field"), "text").unionAll(of(second).select("id", F.lit(second).alias("field"), "text"))
+
+
 def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clean text of every body."""
-    return markup.cleaned(table(spark, sf_dir, "messages"), "id", "body")
+    """Clean text of every body and every extra."""
+    messages = table(spark, sf_dir, "messages")
+    return _both(lambda field: markup.cleaned(messages, "id", field), "body", "extra")
 
 
 def gazetteer(spark: SparkSession, sf_dir: str) -> personal.Gazetteer:
