@@ -55,8 +55,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every body with placeholders in place of personal information."""
-    return personal.redacted(table(spark, sf_dir, "messages"), "id", "body", gazetteer(spark, sf_dir))
+    """Every body and every author with placeholders in place of personal information."""
+    messages, names = table(spark, sf_dir, "messages"), gazetteer(spark, sf_dir)
+    return _both(lambda field: personal.redacted(messages, "id", field, names), "body", "author")
 
 
 def _thread_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
