@@ -2,14 +2,21 @@
 
 The model has at most 29^n rows, a bound that does not grow with the corpus, which is why it may
 be broadcast. Scores over many windows of a text come from prefix sums, each n-gram looked up once.
+The best window and the best shift of whole tables are found inside the row, in Arrow batches with
+the model as an array: Spark has no expression that looks up a text's n-grams without exploding them.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from runeframe.functions.alphabet import CANON, N
 from runeframe.operators.stats import ngram_counts, ngrams
+from runeframe.session import cut_lineage
 
 FLOOR_PENALTY = 2.0
 #: Models of up to this n are broadcast: at most 29^4 = 707,281 rows.
@@ -35,6 +42,7 @@ def model(texts: DataFrame, canon: str, n: int = 4, order: str | None = None) ->
     if order is not None and n > 1:
         spanning = ngram_counts(boundaries(texts, canon, order, n), "canon", n)
         counted = counted.unionAll(spanning).groupBy("gram").agg(F.sum("n").alias("n"))
+    counted = cut_lineage(counted)  # read for the shares, the total and the floor, and counted once
     total = counted.agg(F.sum("n").alias("total"))
     return counted.join(F.broadcast(total)).select("gram", F.log10(F.col("n") / F.col("total")).alias("logp"), (F.log10(F.lit(1.0) / F.col("total")) - FLOOR_PENALTY).alias("floor"))
 
@@ -70,3 +78,74 @@ def windowed(texts: DataFrame, key: str, canon: str, fitted: DataFrame, size: in
     start = F.col("pos") - width + 1
     before = F.coalesce(F.lag("upto", size - n + 1).over(along), F.lit(0.0))
     return valued.withColumn("start", start).withColumn("score", (F.col("upto") - before) / width).where((F.col("start") >= 0) & ((F.col("start") % step == 0) | (F.col("start") == last)) & (F.col("start") <= last)).select(key, "start", "score")
+
+
+def _indices(texts: list[str]) -> np.ndarray:
+    """Symbol indices of the joined texts."""
+    at = np.full(256, -1, np.int64)
+    at[np.frombuffer(CANON.encode(), np.uint8)] = np.arange(N)
+    x = at[np.frombuffer("".join(texts).encode(), np.uint8)]
+    if (x < 0).any():
+        raise ValueError("not a canonical string")
+    return x
+
+
+def _codes(x: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of the n-grams along the last axis."""
+    last = x.shape[-1] - n + 1
+    return sum(x[..., j : last + j] * N ** (n - 1 - j) for j in range(n))
+
+
+def value_table(fitted: DataFrame, n: int) -> np.ndarray:
+    """The value of every possible n-gram by its number; n is at most ``BROADCAST_N``, which bounds the rows collected."""
+    if not 1 <= n <= BROADCAST_N:
+        raise ValueError(f"n must be 1 to {BROADCAST_N}")
+    known = fitted.select("gram", "logp", "floor").toArrow()
+    values = np.full(N**n, known["floor"][0].as_py() if len(known) else np.nan)
+    values[_codes(_indices(known["gram"].to_pylist()).reshape(-1, n), n)[:, 0]] = known["logp"].to_numpy()
+    return values
+
+
+def _per_text(texts: DataFrame, key: str, canon: str, n: int, handle, columns: str) -> DataFrame:  # noqa: ANN001
+    """``key`` and the columns of ``handle(indices)`` for every text of at least n symbols."""
+    schema = f"{key} {texts.schema[key].dataType.simpleString()}, {columns}"
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            batch = batch.filter(pc.greater_equal(pc.binary_length(batch.column(1)), n))
+            made = list(zip(*(handle(_indices([t])) for t in batch.column(1).to_pylist())))
+            if made:
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(m, t, from_pandas=True) for m, t in zip(made, types))], names)
+
+    names = [c.split()[0] for c in schema.split(", ")]
+    types = [{"int": pa.int32(), "double": pa.float64()}[c.split()[1]] for c in columns.split(", ")]
+    return texts.select(key, canon).mapInArrow(run, schema)  # a filter on the length here would compute the text twice
+
+
+def best_window(texts: DataFrame, key: str, canon: str, fitted: DataFrame, size: int = 100, step: int = 25, n: int = 4) -> DataFrame:
+    """``key, best``: the highest score of the windows that ``windowed`` gives, without a shuffle."""
+    if step < 1 or size < n:
+        raise ValueError("step must be positive and size at least n")
+    values = value_table(fitted, n)
+
+    def best(x: np.ndarray) -> tuple[float]:
+        upto = np.concatenate(([0.0], np.cumsum(values[_codes(x, n)])))
+        width = min(size, len(x)) - n + 1
+        last = max(len(x) - size, 0)
+        starts = np.append(np.arange(0, last + 1, step), last)
+        return (float(((upto[starts + width] - upto[starts]) / width).max()),)
+
+    return _per_text(texts, key, canon, n, best, "best double")
+
+
+def best_shift(texts: DataFrame, key: str, canon: str, fitted: DataFrame, n: int = 4, digits: int = 5) -> DataFrame:
+    """``key, shift, score``: the shift whose decryption has the highest score to ``digits`` places, the smallest of equal ones."""
+    values = value_table(fitted, n)
+    shifts = np.arange(N)[:, None]
+
+    def best(x: np.ndarray) -> tuple[int, float]:
+        scores = np.round(values[_codes((x - shifts) % N, n)].mean(axis=1), digits)
+        k = int(scores.argmax())
+        return k, float(scores[k])
+
+    return _per_text(texts, key, canon, n, best, "shift int, score double")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from runeframe.functions import alphabet as A
@@ -78,15 +77,18 @@ def primes_table(spark, d):  # noqa: ANN001, ANN201
     return C.keystream(C.primes_below(spark, PRIME_BOUND)).select(F.col("ord").cast("long").alias("ord"), "k")
 
 
+def _best_shift(spark, d, texts):  # noqa: ANN001, ANN202
+    return fitness.best_shift(texts, "id", "canon", fitness.model(english(spark, d), "canon", 4), 4)
+
+
+def key_sweep_topk_all(spark, d):  # noqa: ANN001, ANN201
+    """The best shift of every text, by fitness; texts without an n-gram have no score and no row."""
+    return _best_shift(spark, d, cited(spark, d))
+
+
 def key_sweep_topk(spark, d):  # noqa: ANN001, ANN201
     """The best shift of every text of 24 symbols or more, by fitness."""
-    texts = cited(spark, d).where("length(canon) >= 24").select("id", A.indices_of(F.col("canon")).alias("x"))
-    tries = C.key_sweep(texts, "id", "x").select(F.concat_ws("/", "id", "shift").alias("try"), A.canon_of(F.col("out")).alias("canon"))
-    scored = fitness.score(tries, "try", "canon", fitness.model(english(spark, d), "canon", 4), 4)
-    parts = F.split("try", "/")
-    ranked = scored.select(parts[0].cast("long").alias("id"), parts[1].cast("int").alias("shift"), F.round("score", 5).alias("score"))
-    best = Window.partitionBy("id").orderBy(F.desc("score"), "shift")
-    return ranked.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")
+    return _best_shift(spark, d, cited(spark, d).where("length(canon) >= 24"))
 
 
 _A = f"'{A.CANON}'"
@@ -127,5 +129,7 @@ _SQLS = {
        sc as (select id, sh, round(avg(coalesce(logp, floor)), 5) score from (select id, sh, unnest(list_transform(range(length(canon) - 3), lambda p: substring(canon, p::int + 1, 4))) gram from tr) left join m using (gram), fl group by 1, 2)
        select id, sh::int as shift, score from sc qualify row_number() over (partition by id order by score desc, sh) = 1""",
 }
-QUERIES = {name: globals()[name] for name in _SQLS}
+#: Whole table, without SQL.
+WHOLE = ("key_sweep_topk_all",)
+QUERIES = {name: globals()[name] for name in (*_SQLS, *WHOLE)}
 ORACLES = dict(_SQLS)

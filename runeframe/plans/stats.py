@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from runeframe.functions import alphabet as A
 from runeframe.operators import fitness, stats
-from runeframe.session import spread, table
+from runeframe.session import cut_lineage, spread, table
 
 NEEDLE = "cs"
 LONG_PERIOD = 12
@@ -46,7 +46,13 @@ def rune_counts(spark, d):  # noqa: ANN001, ANN201
     return stats.rune_counts(spelled(spark, d), "canon")
 
 
+def rune_frequencies_cited(spark, d):  # noqa: ANN001, ANN201
+    """Shares over all cited sequences."""
+    return stats.rune_frequencies(cited(spark, d), "canon").select("idx", F.round("share", 9).alias("share"))
+
+
 def rune_frequencies_dense(spark, d):  # noqa: ANN001, ANN201
+    """Shares over the sequences shorter than four symbols, few enough to leave symbols absent."""
     return stats.rune_frequencies(cited(spark, d).where("length(canon) < 4"), "canon").select("idx", F.round("share", 9).alias("share"))
 
 
@@ -72,10 +78,20 @@ def doublets_by_doc(spark, d):  # noqa: ANN001, ANN201
     return spelled(spark, d).select("doc_id", stats.doublets(c).alias("doublets"), F.round(stats.doublet_rate(c), 6).alias("rate"))
 
 
-def periodic_ioc(spark, d):  # noqa: ANN001, ANN201
+def _periods(texts):  # noqa: ANN001, ANN202
     c = F.col("canon")
     figures = F.inline(F.array(*(F.struct(F.lit(p).alias("period"), F.round(stats.periodic_ioc(c, p), 6).alias("ioc")) for p in range(2, LONG_PERIOD + 1))))
-    return cited(spark, d).where("length(canon) >= 60").select("id", figures)
+    return texts.select("id", figures)
+
+
+def periodic_ioc_all(spark, d):  # noqa: ANN001, ANN201
+    """Every period of every cited sequence."""
+    return _periods(cited(spark, d))
+
+
+def periodic_ioc(spark, d):  # noqa: ANN001, ANN201
+    """Every period of the sequences of 60 symbols or more."""
+    return _periods(cited(spark, d).where("length(canon) >= 60"))
 
 
 def chi2_vs_english(spark, d):  # noqa: ANN001, ANN201
@@ -119,10 +135,20 @@ def fitness_windowed(spark, d):  # noqa: ANN001, ANN201
     return fitness.windowed(cited(spark, d), "id", "canon", fitted, 100, 25, 4).select("id", "start", F.round("score", 5).alias("score"))
 
 
-def fitness_windowed_max(spark, d):  # noqa: ANN001, ANN201
+def _best_window(training, texts):  # noqa: ANN001, ANN202
+    fitted = fitness.model(training, "canon", 4)
+    return fitness.best_window(texts, "doc_id", "canon", fitted, 100, 25, 4).select("doc_id", F.round("best", 5).alias("best"))
+
+
+def fitness_windowed_max_all(spark, d):  # noqa: ANN001, ANN201
     """Each document's best window."""
-    fitted = fitness.model(english(spark, d), "canon", 4)
-    return fitness.windowed(spelled(spark, d).where("lower(lang) = 'de'"), "doc_id", "canon", fitted, 100, 25, 4).groupBy("doc_id").agg(F.round(F.max("score"), 5).alias("best"))
+    texts = cut_lineage(spelled(spark, d))  # spelled once for the model and the scores
+    return _best_window(texts.where("lower(lang) = 'en'"), texts)
+
+
+def fitness_windowed_max(spark, d):  # noqa: ANN001, ANN201
+    """Each German document's best window."""
+    return _best_window(english(spark, d), spelled(spark, d).where("lower(lang) = 'de'"))
 
 
 def training_digest(spark, d):  # noqa: ANN001, ANN201
@@ -202,5 +228,7 @@ _SQLS = {
     "training_digest": _W + """select lang, sha256(string_agg(h, '' order by a2)) digest from (select lang, a1 // 1024 a2, sha256(string_agg(h, '' order by a1)) h from (
        select lower(lang) lang, doc_id // 1024 a1, sha256(string_agg(sha256(canon), '' order by doc_id)) h from spelled where lang is not null group by 1, 2) group by 1, 2) group by 1""",
 }
-QUERIES = {name: globals()[name] for name in _SQLS}
+#: Whole tables, without SQL; the queries of the same operators with SQL are confined to a part of the rows.
+WHOLE = ("rune_frequencies_cited", "periodic_ioc_all", "fitness_windowed_max_all")
+QUERIES = {name: globals()[name] for name in (*_SQLS, *WHOLE)}
 ORACLES = dict(_SQLS)
