@@ -27,6 +27,21 @@ def transcription_parse(spark, d):  # noqa: ANN001, ANN201
     return _parsed(spark, d)
 
 
+def _all_parsed(spark, d):  # noqa: ANN001, ANN202
+    pages = table(spark, d, "runes").where(A.has_rune(F.col("raw"))).select(F.col("id").alias("page"), "raw")
+    return parse_pages(pages)
+
+
+def transcription_parse_all(spark, d):  # noqa: ANN001, ANN201
+    """Runes of every row that holds one, whatever else the row holds."""
+    return _all_parsed(spark, d)[0]
+
+
+def transcription_printed_all(spark, d):  # noqa: ANN001, ANN201
+    """Printed matter of the same rows."""
+    return _all_parsed(spark, d)[1]
+
+
 def _parts(found):  # noqa: ANN001, ANN202
     return found.select("page", F.col("part").cast("int").alias("part"), A.canon_of(F.col("indices")).alias("canon"), "start", "n")
 
@@ -143,7 +158,9 @@ select f channel, 'Part of it' channel_name, ts, regexp_replace(author, ' \(pinn
   row_number() over (partition by f order by id)::int seq from ok where ts is not null"""
 _EN = "en as (select *, case when lower(trim(verdict)) in ('running', 'disproved', 'abandoned', 'inconclusive', 'promising', 'solved') then lower(trim(verdict)) end v from experiments)"
 _NAMES = ("transcription_parse", "words_islands", "lines_islands", "concat_offsets", "slice_reversed_odd", "asof_pinned", "section_after", "first_mismatch", "export_parse", "log_next_id", "log_filter", "log_search_json", "log_params_json", "log_times", "stale_files", "corpus_verify")
-QUERIES = {name: globals()[name] for name in _NAMES}
+#: Every row with a rune, without SQL; ``transcription_parse`` is confined to rows without printed matter.
+WHOLE = ("transcription_parse_all", "transcription_printed_all")
+QUERIES = {name: globals()[name] for name in (*_NAMES, *WHOLE)}
 ORACLES = {
     "transcription_parse": f"with {_TK} select page, pos, idx, line::bigint as line, row_number() over (partition by page, line order by pos)::int as col, marks_after from rr",
     "words_islands": f"with {_PG} " + _PARTS.format(rn=_RN, c=_C, t="replace(t, '/', '')", sep="[-.]+"),
