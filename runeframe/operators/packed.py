@@ -75,9 +75,10 @@ class Splitter:
         found: dict[int, list[int]] = {}
         if self.automaton is not None:
             low = text.lower()
-            if len(low) == len(text):
-                for end, size in self.automaton.iter(low):
-                    found.setdefault(end + 1 - size, []).append(end + 1)
+            if len(low) != len(text):  # a character whose lower case is longer stays, so that offsets hold
+                low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+            for end, size in self.automaton.iter(low):
+                found.setdefault(end + 1 - size, []).append(end + 1)
         return found
 
     def _quoted(self, text: str, at: int) -> tuple[int, str] | None:

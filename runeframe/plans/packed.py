@@ -12,12 +12,16 @@ from runeframe.session import table
 LEAD = r"(?i)[\s\u200b\ufeff]*(?:keys|cribs|pages|tags|primes)\s*[:=]"
 #: Rune indices are known whole values of a number list, with and without a leading zero.
 INDICES = (*map(str, range(29)), *(f"0{i}" for i in range(10)))
+#: Bound on the known values sent to every task.
+MAX_KNOWN = 1000
 NUMBERS = Packing(other_than_digits=True, known=INDICES)
 
 
 def headlines(spark: SparkSession, sf_dir: str) -> tuple[str, ...]:
     """Known whole values of bodies: the section headlines, a fixed table of a few rows."""
-    rows = table(spark, sf_dir, "sections").select("headline").where("headline is not null").distinct().limit(1000).collect()
+    rows = table(spark, sf_dir, "sections").select("headline").where("headline is not null").distinct().limit(MAX_KNOWN + 1).collect()
+    if len(rows) > MAX_KNOWN:
+        raise ValueError(f"more than {MAX_KNOWN} known values: load them per task instead")
     return tuple(sorted(r[0] for r in rows))
 
 
