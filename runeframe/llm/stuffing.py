@@ -1,13 +1,11 @@
 """Pages stuffed with keywords, links or tags.
 
-A page is cut into units at line ends and sentence ends. Units with clause structure (enough words
-of the closed classes among their words) are sentences; runes, numbers and rune spellings are
-transcription matter. Of what is left, a suffix automaton per page measures the characters covered
-by repeated maximal substrings. A page is stuffed if what is left is most of its visible text and
-links, tags and covered characters are a good part of that.
-
-The cover can only lie outside sentences and transcription matter, so the automaton is built for
-the pages where that rest is most of the text; for the others the answer is settled without it.
+The suffix automaton of every page, built over its whole text, tells which characters lie in
+repeated maximal substrings. Repetition counts where clause structure is missing: a page is cut
+into units at line ends and sentence ends, units with enough function words among their words are
+sentences, and runes, numbers and rune spellings are transcription matter. A page is stuffed if
+what is left is most of its visible text and links, tags and covered characters are a good part
+of that.
 """
 
 from __future__ import annotations
@@ -19,80 +17,132 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words of the closed classes (articles, pronouns, prepositions, conjunctions, auxiliaries) per language.
+#: Function words (articles, pronouns, prepositions, conjunctions, auxiliaries, particles) per language.
 CLOSED = frozenset(
     """
-    the a an this that these those it its it's he she they them we we're i i'm you you'll you'd your my our their his her who which what when where why how
-    and or but so because since although though unless while if then than as of in on at by with without for from to into over before after
-    between is are was were be been am do does did has have had not no nobody someone somebody everybody everything nothing can can't could would should will
-    won't shall may might must there here that's they've let's
-    der die das den dem des ein eine einen einem einer und oder aber wenn weil dass so als wie ist sind war waren wird wurde wurden haben hat hatte wir ich
-    er sie es nicht noch schon auf in im an am zu zum zur von vom mit nach bei für über warum dort
-    le la les l un une des du de d et ou mais que qui est sont était été a ont avait on nous je il elle ce cette ne pas plus sur dans à au aux pour par avec
-    après alors si semble reste pourquoi hier ensemble
-    el los las lo un una unos unas y o pero que es son fue era está están ha han hemos había habían se no ya si en de del al a por para con sin después antes
-    porque qué creo sigue ayer juntos
+    the a an this that these those it its it's he she they him them we us we're i i'm i've me you you'll you'd you've your my our his her their who whom whose which what
+    when where why how and or nor but so yet because since although though unless while whereas if then than as of in on at by with without within for from to into onto
+    over under before after between through during against about above below near is are was were be been being am do does did has have had having not no nobody nothing
+    none someone somebody something everyone everybody everything anyone anybody anything each every either neither both all any some such can can't could couldn't would
+    should will won't shall may might must there here that's there's let's they've don't doesn't didn't isn't wasn't aren't
+    der die das den dem des ein eine einen einem einer eines und oder aber denn wenn weil dass ob damit so als wie ist sind war waren wird werden wurde wurden haben hat
+    hatte hatten sein ich du er sie es wir ihr mich dich sich uns euch mein dein unser nicht kein keine noch schon auch nur auf in im an am zu zum zur von vom mit nach
+    bei für über unter vor aus durch gegen ohne um warum was wer wo da dort hier man
+    le la les l un une des du de d et ou mais donc car que qu qui quoi dont où est sont était étaient été être a ont avait avoir on nous vous je tu il elle ils elles lui
+    se ce cet cette ces mon ton son notre votre leur ne pas plus sur sous dans à au aux pour par avec sans après avant entre si comme pourquoi ici ensemble hier
+    el los las lo un una unos unas y e o u pero sino que quien cual es son fue era eran está están estaba ser ha han hemos había habían yo tú él ella nosotros ellos se me
+    te nos su mi no ya si en de del al a por para con sin sobre entre hasta desde después antes porque qué como cuando donde juntos ayer
     """.split()
 )
 LINK = re.compile(r"(?:https?://|www\.)[^\s<>\"'\])|]+|<a\b[^>]*>|</a>|\bhref=\S+", re.I)
 TAG = re.compile(r"#[^\W\d_]\w*")
 #: Bounds of units: line ends, and white space after a sentence end.
 BOUND = re.compile(r"\n|(?<=[.!?…])\s+")
-#: Runes, numbers, and rune spellings joined by separators.
-MATTER = re.compile(r"[ᚠ-᛿]+|\d+(?:[.,:/x-]\d+)*|\b(?:[A-Za-z]{1,3}[-./]){3,}[A-Za-z]{1,3}\b|\b[0-9a-f]{16,}\b")
+#: Rune spellings joined by separators, and digests.
+SPELLINGS = re.compile(r"\b[A-Za-z]{1,3}[-./](?:[A-Za-z]{1,3}[-./]){2,}[A-Za-z]{1,3}\b")
+DIGESTS = re.compile(r"\b[0-9a-f]{16,}\b")
+RUNES = (0x16A0, 0x16FF)
+#: Characters that join the parts of one number.
+JOINTS = np.isin(np.arange(0x80), [ord(c) for c in ".,:/x-"])
+#: Shortest repetition that covers characters.
 MIN_REPEAT = 8
-#: Characters an automaton is built over at once.
-BLOCK = 1 << 17
 CLAUSE_SHARE = 0.16
 #: Share of the text outside sentences and matter that must be repetition, links or tags.
 STUFFED_SHARE = 0.22
 
 
 def is_clause(unit: str) -> bool:
-    """Whether a unit reads as a sentence: two different words of the closed classes, and enough of them."""
+    """Whether a unit reads as a sentence: two different function words, and enough of them."""
     words = unit.lower().split()
     closed = [w for w in words if w in CLOSED]
     return len(closed) >= CLAUSE_SHARE * len(words) and len(set(closed)) >= 2
 
 
-def repeated_cover(text: str, least: int = MIN_REPEAT) -> np.ndarray:
-    """For each character whether it lies in a substring of at least ``least`` characters that occurs elsewhere in the text too.
+def _symbols(text: str) -> np.ndarray:
+    """The text's characters as dense codes from 1, in the order of their code points."""
+    try:
+        raw = np.frombuffer(text.encode("latin-1"), np.uint8)
+        return np.cumsum(np.bincount(raw, minlength=256) > 0)[raw]
+    except UnicodeEncodeError:
+        raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        return np.unique(raw, return_inverse=True)[1] + 1
+
 
-    Suffix automaton: the longest repeated suffix that ends at a character is as long as the
-    suffix link of its prefix's state, or the whole prefix where that state has several ends.
+def link_lengths(text: str) -> np.ndarray:
+    """For the state of each prefix in the text's suffix automaton the length of its suffix link.
+
+    That is the longest suffix of the prefix that ends elsewhere in the text too. The tree of
+    suffix links is the suffix tree of the reversed text, so the states are found as arrays: the
+    reversed suffixes are sorted by prefix doubling, where each round takes only those not yet
+    told apart, and a prefix's link is as long as its longest common part with a neighbour in
+    that order. Common parts come from the ranks of the rounds, longest first.
     """
     n = len(text)
     if n < 2:
-        return np.zeros(n, bool)
-    link, size, step = [-1], [0], [{}]
-    prefix, last = [0] * n, 0
-    for i, ch in enumerate(text):
-        cur = len(link)
-        size.append(i + 1)
-        step.append({})
-        link.append(0)
-        p = last
-        while p >= 0 and ch not in step[p]:
-            step[p][ch] = cur
-            p = link[p]
-        if p >= 0:
-            q = step[p][ch]
-            if size[p] + 1 == size[q]:
-                link[cur] = q
-            else:
-                copy = len(link)
-                size.append(size[p] + 1)
-                step.append(step[q].copy())
-                link.append(link[q])
-                while p >= 0 and step[p].get(ch) == q:
-                    step[p][ch] = copy
-                    p = link[p]
-                link[q] = link[cur] = copy
-        prefix[i] = last = cur
-    link_a, size_a, state = np.array(link), np.array(size), np.array(prefix)
-    several = np.zeros(len(link), bool)
-    several[link_a[1:]] = True
-    longest = np.where(several[state], size_a[state], size_a[link_a[state]])
+        return np.zeros(n, np.int64)
+    codes = _symbols(text)[::-1]
+    bits = int(codes.max()).bit_length()
+    span = max(1, 62 // bits)
+    padded = np.zeros(n + span, np.int64)
+    padded[:n] = codes
+    packed = np.zeros(n, np.int64)
+    for j in range(span):
+        packed <<= bits
+        packed |= padded[j : j + n]
+    order = np.argsort(packed)
+    new = np.empty(n, bool)
+    new[0] = True
+    np.not_equal(packed[order[1:]], packed[order[:-1]], out=new[1:])
+    place = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    rank = np.empty(2 * n + 1, np.int64)  # a rank is the first place of a class; past the end -1
+    rank[n:] = -1
+    rank[order] = place
+    ranks, spans = [rank], [span]
+    while True:
+        same = ~new
+        same[:-1] |= ~new[1:]
+        where = np.flatnonzero(same)
+        if not len(where) or span >= n:
+            break
+        members = order[where]
+        second = rank[members + span]
+        head = place[where]
+        sort = np.argsort(head * (n + 1) + second)
+        members, second = members[sort], second[sort]
+        order[where] = members  # classes keep their places, so ``head`` still holds
+        apart = np.empty(len(where), bool)
+        apart[0] = True
+        apart[1:] = (head[1:] != head[:-1]) | (second[1:] != second[:-1])
+        new[where] = apart
+        place = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        rank = rank.copy()
+        rank[order] = place
+        ranks.append(rank)
+        span *= 2
+        spans.append(span)
+    left, right = order[:-1].copy(), order[1:].copy()
+    common = np.zeros(n - 1, np.int64)
+    open_ = np.flatnonzero(ranks[0][left] == ranks[0][right])
+    for rank, span in zip(ranks[::-1], spans[::-1]):
+        at = common[open_]
+        a, b = np.minimum(left[open_] + at, n), np.minimum(right[open_] + at, n)
+        common[open_] += span * ((rank[a] == rank[b]) & (rank[a] >= 0))
+    width = np.append(packed, [0])
+    a, b = np.minimum(left + common, n), np.minimum(right + common, n)
+    differ = width[a] ^ width[b]
+    differ &= ~(differ >> 1)  # the highest bit stays, and no rounding reaches the next one
+    common += (bits * spans[0] - np.frexp(differ.astype(np.float64))[1]) // bits
+    common = np.minimum(common, n - np.maximum(left, right))
+    longest = np.zeros(n, np.int64)
+    longest[left] = common
+    longest[right] = np.maximum(longest[right], common)
+    return longest[::-1]
+
+
+def repeated_cover(text: str, least: int = MIN_REPEAT) -> np.ndarray:
+    """For each character whether it lies in a repeated maximal substring of at least ``least`` characters."""
+    n = len(text)
+    longest = link_lengths(text)
     ends = np.flatnonzero(longest >= least)
     edge = np.zeros(n + 1, np.int64)
     np.add.at(edge, ends + 1 - longest[ends], 1)
@@ -100,45 +150,54 @@ def repeated_cover(text: str, least: int = MIN_REPEAT) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def _visible(text: str) -> int:
-    return sum(map(len, text.split()))
+def _blanks(raw: np.ndarray) -> np.ndarray:
+    blank = (raw == 32) | ((raw >= 9) & (raw <= 13)) | ((raw >= 28) & (raw <= 31)) | (raw == 0x85)
+    if len(raw) and raw.max() > 0x7F:
+        blank |= (raw == 0xA0) | (raw == 0x1680) | ((raw >= 0x2000) & (raw <= 0x200A)) | (raw == 0x2028) | (raw == 0x2029) | (raw == 0x202F) | (raw == 0x205F) | (raw == 0x3000)
+    return blank
 
 
-def shares(text: str) -> tuple[int, int, int]:
-    """Visible characters, those outside sentences and transcription matter, and those of the latter in links, tags or repetitions.
+def _matter(raw: np.ndarray, text: str) -> np.ndarray:
+    """Which characters are runes, numbers with their joints, rune spellings or digests."""
+    digit = (raw >= 48) & (raw <= 57)
+    matter = digit | ((raw >= RUNES[0]) & (raw <= RUNES[1]))
+    between = np.flatnonzero(digit[:-2] & digit[2:]) + 1
+    matter[between[JOINTS[np.minimum(raw[between], 0x7F)]]] = True
+    for pattern in (SPELLINGS, DIGESTS):
+        for m in pattern.finditer(text):
+            matter[m.start() : m.end()] = True
+    return matter
 
-    Where sentences and matter come to half of the text, the page is settled and (visible, 0, 0) is returned.
-    """
-    total, settled = _visible(text), 0
-    rest: list[str] = []
-    for unit in BOUND.split(text):
-        if not unit:
-            continue
-        if is_clause(unit) and not LINK.search(unit):
-            settled += _visible(unit)
-        else:
-            linkless = LINK.sub("", unit)
-            bare = MATTER.sub("", linkless)
-            seen, left = _visible(unit), _visible(bare)
-            matter = _visible(linkless) - left
-            if matter * 2 > seen:
-                settled += seen
-            else:
-                settled += matter
-                rest.append(unit)
-        if settled * 2 >= total:
-            return total, 0, 0
-    stuffed, plain = 0, []
-    for unit in rest:
-        for pattern in (LINK, TAG):
-            stuffed += sum(len(m[0]) for m in pattern.finditer(unit))
-            unit = pattern.sub("", unit)
-        plain.append(MATTER.sub("", unit))
-    joined = "\n".join(plain)
-    # very long pages in blocks, to bound the automaton's memory; keywords repeat within any block
-    cover = np.concatenate([repeated_cover(joined[a : a + BLOCK]) for a in range(0, max(1, len(joined)), BLOCK)])
-    stuffed += sum(1 for c, k in zip(joined, cover.tolist()) if k and not c.isspace())
-    return total, total - settled, stuffed
+
+def _mask(n: int, spans: list[tuple[int, int]]) -> np.ndarray:
+    mask = np.zeros(n, bool)
+    for x, y in spans:
+        mask[x:y] = True
+    return mask
+
+
+def shares(text: str) -> tuple[int, int, int]:
+    """Visible characters, those outside sentences and transcription matter, and those of the latter in links, tags or repetitions."""
+    n, raw = len(text), np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    visible, link = ~_blanks(raw), np.zeros(n, bool)
+    low = text.lower()
+    if any(sign in low for sign in ("://", "www.", "<a", "</a", "href=")):
+        link = _mask(n, [m.span() for m in LINK.finditer(text)])
+    matter = _matter(raw, text) & ~link
+    bounds = [m.span() for m in BOUND.finditer(text)]
+    starts, ends = np.array([0, *(y for _, y in bounds)]), np.array([*(x for x, _ in bounds), n])
+    upto = lambda mask: np.concatenate(([0], np.cumsum(mask)))
+    within = lambda sums: sums[ends] - sums[starts]
+    seen, linked = within(upto(visible)), within(upto(link))
+    settled = within(upto(matter)) * 2 > seen
+    for k in np.flatnonzero((seen > 0) & (linked == 0) & ~settled).tolist():
+        settled[k] = is_clause(text[starts[k] : ends[k]])
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, starts[settled], 1)
+    np.add.at(edge, ends[settled], -1)
+    rest = visible & ~matter & (np.cumsum(edge[:n]) == 0)
+    marked = repeated_cover(text) | link | _mask(n, [m.span() for m in TAG.finditer(text)] if "#" in text else [])
+    return int(visible.sum()), int(rest.sum()), int((rest & marked).sum())
 
 
 def is_stuffed(text: str | None) -> bool:

@@ -168,6 +168,23 @@ def test_repeated_cover_equals_brute_force():
         assert ST.repeated_cover(text, 5).tolist() == want.tolist()
 
 
+def test_links_equal_the_definition():
+    """The longest suffix of each prefix that ends elsewhere too."""
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice(some) for _ in range(rnd.randint(0, 50))) for some in ("ab", "abcdefghij ", "aé ᚠ\U0001f600") for _ in range(30)] + ["", "a", "aaaa", "ab" * 30]
+    for t in texts:
+        want = [max((k for k in range(1, i + 2) if any(t.endswith(t[i + 1 - k : i + 1], 0, j) for j in range(k, len(t) + 1) if j != i + 1)), default=0) for i in range(len(t))]
+        assert ST.link_lengths(t).tolist() == want
+
+
+def test_a_passage_repeated_far_apart():
+    """One long passage given twice: its copies lie further apart than any block of 131,072 characters."""
+    rnd = random.Random(9)
+    passage = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ,") for _ in range(131_072))
+    assert ST.repeated_cover(passage + "\n" + passage).sum() >= 2 * len(passage)
+    assert ST.is_stuffed(passage + "\n" + passage) and not ST.is_stuffed(passage)
+
+
 SPAM = ["rune tattoo " * 40, "Tags: " + "decoder ring, prime dice, rune mug, lucky rune, " * 8, "\n".join(f"odd root {i} - www.quill-hound.test" for i in range(20)), "\n".join(f"[late seed](https://x{i}.test/a?id={i})" for i in range(20)), "#runemug #decoderring #codebook " * 10, "It is what the page says.\n" + "cheap gold rune, gold rune near me, best gold rune, " * 9]
 FINE = [None, "", " ", "brb", "The hypothesis looks final at offset 163 and nobody checked it. " * 30, "Transcription notes, page 26\n" + "ᛞᛡ.ᛋᚦᚻ-ᛗᚪᚷᛝᛇ\n" * 40, "We list the primes of the page.\n" + "2663 2731 59 534 1551 1763 239 233\n" * 30, "cipher: a way of hiding what is said in a text\nkey: what is needed for reading it\n" * 15, "On a page with sense the reader finds what they need. " * 12 + "\nFurther reading:\n" + "\n".join(f"https://x.test/{i}" for i in range(6))]
 
