@@ -139,7 +139,7 @@ def test_containers(spark):
     rnd = random.Random(4)
     items = [(i, rnd.choice([0, 7, 13, 29, 40, 51, 99, 100, 101, 350])) for i in range(300)] + [(1000, None), (1001, 100), (1002, 200)] + [(2000 + i, 30) for i in range(200)]
     df = spark.createDataFrame([(*x, 0, 0) for x in items], "id long, n long, part int, length int")
-    placed = [tuple(r) for r in PK.packed(df, "id", "n", 100, groups=4).collect()]
+    placed = [tuple(r) for r in PK.packed(df, "id", "n", 100, group_rows=50).collect()]
     used = check_packing(items, 100, placed)
     total = sum(s or 0 for _, s in items)
     assert used <= 1.12 * -(-total // 100)
@@ -168,6 +168,32 @@ def test_repeated_cover_equals_brute_force():
         assert ST.repeated_cover(text, 5).tolist() == want.tolist()
 
 
+def unlike_histograms():
+    rnd = np.random.default_rng(3)
+    count = lambda lengths: {int(a): int(b) for a, b in zip(*np.unique(lengths, return_counts=True))}
+    return {
+        "mostly small": count(np.minimum(2048, 1 + rnd.gamma(1.2, 380, 10_000).astype(int))),
+        "mostly small, a thousand times": {k: v * 1000 for k, v in count(np.minimum(2048, 1 + rnd.gamma(1.2, 380, 10_000).astype(int))).items()},
+        "up to two thirds": count(rnd.integers(300, 1400, 20_000)),
+        "about a third": count(rnd.integers(600, 760, 30_000)),
+        "five lengths": {700: 100_000, 650: 70_000, 1000: 50_000, 30: 1000, 349: 40_000},
+    }
+
+
+@pytest.mark.parametrize("name,over", [("mostly small", 0.001), ("mostly small, a thousand times", 0.001), ("up to two thirds", 0.005), ("about a third", 0.006), ("five lengths", 0.01)])
+def test_configurations_place_the_items(name, over):
+    """Over nine tenths by configurations, close to the bound, on unlike histograms."""
+    histogram = unlike_histograms()[name]
+    plan = PK.solve(histogram, 2048)
+    held = {}
+    for config, n in plan.configurations:
+        assert sum(length * k for length, k in config.items()) <= 2048
+        for length, k in config.items():
+            held[length] = held.get(length, 0) + n * k
+    assert held == histogram
+    assert plan.share > 0.9 and plan.containers <= (1 + over) * -(-plan.lower_bound // 1)
+
+
 def test_links_equal_the_definition():
     """The longest suffix of each prefix that ends elsewhere too."""
     rnd = random.Random(8)
