@@ -75,6 +75,67 @@ def test_navigation_goes_and_content_stays():
     assert "n5" not in kept and sum(f"m{i}" in kept.split() for i in range(12)) == 0
 
 
+def test_tags_of_no_element_and_declarations_stay():
+    for text in ("<foo>bar</foo>", "List<String> x</String>", "<?php echo 1; ?> y", "a </ x> b", "<!-x> b"):
+        assert M.clean(text) == text and not M.constructs(text)
+    assert M.clean("<![CDATA[a < b]]> <b>c</b>") == "a < b c"
+    assert M.clean("say <script> now") == "say  now" and M.clean("a<script>x = 1</script>b") == "ab"
+    assert M.clean('a <a title="x<y" href="/z">b</a>') == "a b"
+    assert M.clean("a \x02 1\x03 <b>c</b>") == "a \x02 1\x03 c"
+
+
+def test_code_is_held_from_every_notation():
+    assert M.clean("<pre>*x* = y\n\n\n\nb = '''doc''' &lt; 1</pre>\n**c**") == "```\n*x* = y\n\n\n\nb = '''doc''' < 1\n```\n\nc"
+    assert M.clean("<code>a *b* c</code> and `x_1_` <i>d</i>") == "`a *b* c` and `x_1_` d"
+    assert M.clean("```\n<b>x</b> **y**\n\n\n\nz\n```\n*w*") == "```\n<b>x</b> **y**\n\n\n\nz\n```\nw"
+
+
+def test_few_navigation_links_go_too():
+    links = ["<a href='/'>Home</a>", "<a href='/b'>Board</a>", "<a href='/c'>Contact</a>"]
+    text = "<p>The article says this at some length, as articles do.</p>\n<p>And it says one more thing.</p>"
+    for nav in ("\n".join(links), " ".join(links)):
+        kept = M.clean(f"{nav}\n{text}")
+        assert "article says" in kept and "one more thing" in kept and "Home" not in kept and "Contact" not in kept
+    assert M.clean("see <a href='/x'>the page</a>") == "see the page" and M.clean("\n".join(links)) == "Home\nBoard\nContact"
+
+
+def test_lines_cluster_by_smoothed_ratio():
+    assert M.threshold([1, 2, 1, 50, 52]) == 26 and M.threshold([]) == 0 and M.threshold([3]) == 3
+    flat = M.smoothed([4.0] * 9)
+    assert all(abs(v - 4) < 1e-9 for v in flat) and M.smoothed([0, 0, 10, 0, 0])[2] > M.smoothed([0, 0, 10, 0, 0])[1] > 0
+
+
+BLOCKS = {
+    "heading": ("# {a}", {"html": "<h1>{a}</h1>", "markdown": "# {a}", "wiki": None, "latex": "\\section{{{a}}}"}),
+    "strong": ("the {a} is {b}", {"html": "<p>the <b>{a}</b> is <i>{b}</i></p>", "markdown": "the **{a}** is *{b}*", "wiki": "the '''{a}''' is ''{b}''", "latex": "the \\textbf{{{a}}} is \\emph{{{b}}}"}),
+    "link": ("see {a} now", {"html": "<p>see <a href='/x'>{a}</a> now</p>", "markdown": "see [{a}](https://x.example/1) now", "wiki": "see [[Page|{a}]] now", "latex": None}),
+    "list": ("- {a}\n- {b}", {"html": "<ul><li>{a}</li><li>{b}</li></ul>", "markdown": None, "wiki": "* {a}\n* {b}", "latex": "\\begin{{itemize}}\n\\item {a}\n\\item {b}\n\\end{{itemize}}"}),
+    "code": ("`{a}*{b}*`", {"html": "<code>{a}*{b}*</code>", "markdown": "`{a}*{b}*`", "wiki": None, "latex": None}),
+    "formula": ("${a}_1 = {b}^2$", {"html": None, "markdown": "${a}_1 = {b}^2$", "wiki": None, "latex": "\\({a}_1 = {b}^2\\)"}),
+}
+
+
+def test_generated_texts_come_out_clean():
+    """Marked-up texts made from blocks whose clean text is known, in every notation, mixed with plain lines."""
+    import random
+
+    rnd, words = random.Random(11), "cipher lantern page index runes mirror totient orchard".split()
+    for _ in range(300):
+        source, want = [], []
+        for _ in range(rnd.randint(1, 6)):
+            clean, forms = rnd.choice(list(BLOCKS.values()))
+            form = rnd.choice([f for f in forms.values() if f])
+            a, b = rnd.sample(words, 2)
+            source.append(form.format(a=a, b=b))
+            want += clean.format(a=a, b=b).split("\n")
+            if rnd.random() < 0.5:
+                source.append(f"a plain line about {a} & {b} < 3")
+                want.append(source[-1])
+        # starred lines alone are no markup and stay as they are, a list either way
+        got = [line.replace("* ", "- ", 1) if line.startswith("* ") else line for line in M.clean("\n".join(source)).split("\n") if line.strip()]
+        assert got == want, source
+
+
 def test_markup_rows(spark, rows):
     df = spark.createDataFrame([(1, "<b>x</b>", "z"), (2, None, "z"), (3, "", "z"), (4, "plain", "z"), (5, "<b>x</b>", "z"), (6, "y " * 60_000 + "**b** c", "z")], "id long, t string, field string")
     assert rows(M.find_markup(df, "id", "t", "body")) == [(1, "body"), (5, "body"), (6, "body")]
