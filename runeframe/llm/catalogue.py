@@ -12,17 +12,23 @@ from runeframe.session import table
 MAX_MEMBERS = 100_000
 
 
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     bodies = table(spark, sf_dir, "messages").select(F.lit("messages.body").alias("field"), "id", F.col("body").alias("text"))
-    raws = table(spark, sf_dir, "runes").select(F.lit("runes.raw").alias("field"), "id", F.col("raw").alias("text"))
-    return canonical_text.look_alike_pairs(bodies.unionAll(raws))
+    return bodies.unionAll(table(spark, sf_dir, "runes").select(F.lit("runes.raw").alias("field"), "id", F.col("raw").alias("text")))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical_text.look_alike_pairs(_texts(spark, sf_dir))
+
+
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's class of equal canonical form."""
+    return canonical_text.classes(_texts(spark, sf_dir))
 
 
 def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row's text in canonical form."""
-    bodies = table(spark, sf_dir, "messages").select(F.lit("messages.body").alias("field"), "id", canonical_text.canonical(F.col("body")).alias("form"))
-    raws = table(spark, sf_dir, "runes").select(F.lit("runes.raw").alias("field"), "id", canonical_text.canonical(F.col("raw")).alias("form"))
-    return bodies.unionAll(raws)
+    return _texts(spark, sf_dir).select("field", "id", canonical_text.canonical(F.col("text")).alias("form"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,24 +117,48 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffing.find_stuffed(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-FUNCTIONS = (p1_found, p1_forms, p2_found, p2_clean, p4_found, p4_redacted, p5_found, p5_conversations, p7_found, p8_ids, p9_containers, p10_found)
+FUNCTIONS = (p1_found, p1_classes, p1_forms, p2_found, p2_clean, p4_found, p4_redacted, p5_found, p5_conversations, p7_found, p8_ids, p9_containers, p10_found)
 QUERIES = {f.__name__: f for f in FUNCTIONS}
 
 
-def _p1_sql() -> str:
-    """Pairs by reading form, the form made by DuckDB from the same tables of characters."""
-    readings, _ = canonical_text._tables()
-    single = {chr(c): v for c, v in readings.items() if len(v) == 1}
-    gone = "".join(chr(c) for c, v in readings.items() if not v and c < 0x10000)
-    several = {chr(c): v for c, v in readings.items() if len(v) > 1 and (0xFB00 <= c <= 0xFB06 or 0x2160 <= c <= 0x217F or c == 0x2026)}
-    form = "t"
-    for ch, v in several.items():
-        form = f"replace({form}, '{ch}', '{v}')"
-    quoted = lambda t: t.replace("'", "''")
-    form = f"nfc_normalize(translate({form}, '{quoted(''.join(single))}{gone}', '{quoted(''.join(single.values()))}'))"
-    return rf"""with a as (select 'messages.body' as field, id, body t from messages union all select 'runes.raw', id, raw from runes),
-      f as (select field, id, t, case when strlen(t) = length(t) then t else {form} end r from a where t is not null), v as (select * from f where r <> t)
-      select distinct v.field, least(v.id, f.id) as id_a, greatest(v.id, f.id) as id_b from v join f on v.field = f.field and v.r = f.r and v.t <> f.t where regexp_matches(v.r, '[^\s]')"""
+#: Fixed values, written for the SQL from the published list of confusable characters: look-alike letters, and their likeness below.
+_ALIKE = "аеорсухѕіјһԁԛԝӏАВЕКМНОРСТУХЅІЈԚԜΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϳͿօսɡı‐‑․ꓸ"
+_PLAIN = "aeopcyxsijhdqwlABEKMHOPCTYXSIJQWABEZHIKMNOPTYXovjJouɡi--..".replace("ɡ", "g")
+_SPACES, _UNSEEN = r"[\x{A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]", r"[\x{AD}\x{34F}\x{61C}\x{180B}-\x{180F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{FE00}-\x{FE0F}\x{FEFF}]"
+_ROMAN = "I II III IV V VI VII VIII IX X XI XII".split()
+_JOINED = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "…": "...", "‥": ".."} | {chr(0x2160 + i): r for i, r in enumerate(_ROMAN)} | {chr(0x2170 + i): r.lower() for i, r in enumerate(_ROMAN)}
+
+
+def _reading_sql(text: str) -> str:
+    """Reading form in DuckDB; texts with a Greek or Cyrillic letter that has no likeness keep their letters."""
+    form = f"regexp_replace(regexp_replace({text}, '{_UNSEEN}', '', 'g'), '{_SPACES}', ' ', 'g')"
+    for ch, plain in _JOINED.items():
+        form = f"replace({form}, '{ch}', '{plain}')"
+    wide = "".join(chr(0xFEE0 + c) for c in range(0x21, 0x7F)), "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''")
+    form = f"translate({form}, '{wide[0]}', '{wide[1]}')"
+    latin = f"translate({form}, '{_ALIKE}', '{_PLAIN}')"
+    return rf"nfc_normalize(case when regexp_matches({latin}, '[\x{{370}}-\x{{4FF}}]') then {form} else {latin} end)"
+
+
+def _folded_sql(form: str) -> str:
+    """Canonical form from a reading form: raised and circled characters plain, case folded, spaces single."""
+    for ch, plain in {"ß": "ss", "ẞ": "ss", "½": "1⁄2", "¼": "1⁄4", "¾": "3⁄4", "™": "tm"}.items():
+        form = f"replace({form}, '{ch}', '{plain}')"
+    raised = "⁰¹²³⁴⁵⁶⁷⁸⁹ⁿⁱªº₀₁₂₃₄₅₆₇₈₉①②③④⑤⑥⑦⑧⑨ς", "0123456789niao0123456789123456789σ"
+    for i in range(10, 21):
+        form = f"replace({form}, '{chr(0x2460 + i - 1)}', '{i}')"
+    circled = "".join(chr(0x24B6 + i) for i in range(26)) + "".join(chr(0x24D0 + i) for i in range(26))
+    form = f"translate({form}, '{raised[0]}{circled}', '{raised[1]}{'abcdefghijklmnopqrstuvwxyz' * 2}')"
+    return rf"trim(regexp_replace(nfc_normalize(lower({form})), '[\s\x{{1c}}-\x{{1f}}\x{{85}}\x{{2028}}\x{{2029}}\x{{0b}}\x{{1680}}]+', ' ', 'g'))"
+
+
+_P1_ROWS = "a as (select 'messages.body' as field, id, body t from messages union all select 'runes.raw', id, raw from runes)"
+P1_SQL = rf"""with {_P1_ROWS},
+  f as (select field, id, t, case when strlen(t) = length(t) then t else {_reading_sql('t')} end r from a where t is not null), v as (select * from f where r <> t)
+  select distinct v.field, least(v.id, f.id) as id_a, greatest(v.id, f.id) as id_b from v join f on v.field = f.field and v.r = f.r and v.t <> f.t where regexp_matches(v.r, '[^\s]')"""
+P1_FORMS_SQL = f"with {_P1_ROWS} select field, id, {_folded_sql(_reading_sql('t'))} as form from a"
+P1_CLASSES_SQL = f"""with {_P1_ROWS}, f as (select field, id, {_reading_sql('t')} r from a where t is not null), g as (select field, id, r, {_folded_sql('r')} c from f where r is not null)
+  select field, id, min(id) over w as class_id, count(*) over w as n_rows, n_forms from g join (select field, c, count(distinct r) n_forms from g group by 1, 2) using (field, c) where c <> '' window w as (partition by field, c)"""
 
 
 P7_SQL = f"""
@@ -140,7 +170,7 @@ select id, count(distinct q) as n_shared from (select id, unnest(range(p, p + {M
 P5_TURNS_SQL = P5_SQL.replace("select t.channel from t left join f using (channel)", ", bad as (select t.channel from t left join f using (channel)").rstrip() + """)
 select channel, seq, ro as role, a as author, b as body from w where channel not in (select channel from bad)
 """
-ORACLES = {"p1_found": _p1_sql(), "p5_found": P5_SQL, "p5_conversations": P5_TURNS_SQL, "p7_found": P7_SQL}
+ORACLES = {"p1_found": P1_SQL, "p1_forms": P1_FORMS_SQL, "p1_classes": P1_CLASSES_SQL, "p5_found": P5_SQL, "p5_conversations": P5_TURNS_SQL, "p7_found": P7_SQL}
 
 
 

@@ -37,6 +37,22 @@ def test_pairs(spark, rows):
     assert CT.look_alike_pairs(df.limit(0)).count() == 0
 
 
+def test_words_keep_their_script():
+    """Look-alikes are settled by the letters of the word that have none; the reading is the same whichever was typed."""
+    russian, mixed = "привет", "приv\u0435т".replace("v", "в").replace("\u0435", "e")
+    assert CT.reading_form(russian) == russian == CT.reading_form(mixed)
+    assert CT.reading_form("Νίκος νέος") == "Νίκος νέος" and CT.reading_form("\u0441\u043e\u0440") == "cop"
+    assert CT.reading_form("Αlpha приvет") == "Alpha приvет"
+
+
+def test_classes(spark, rows):
+    texts = ["Ok", "ok", "o\u200bk", "\u043ek", None, "", " \u200b", "x\u00b2", "x2", "y"]
+    df = spark.createDataFrame([("f", i, t, 0, 0) for i, t in enumerate(texts)] + [("g", 0, "ok", 0, 0)], "field string, id long, text string, class_id int, salt int")
+    ok, square = [("f", i, 0, 4, 2) for i in range(4)], [("f", i, 7, 2, 2) for i in (7, 8)]
+    assert rows(CT.classes(df)) == sorted([*ok, *square, ("f", 9, 9, 1, 1), ("g", 0, 0, 1, 1)], key=repr)
+    assert CT.classes(df.limit(0)).count() == 0
+
+
 def test_canonical_column(spark):
     df = spark.createDataFrame([("A  b",), ("\uff21\u00a0B",), (None,), ("\u200b",)], "t string")
     assert [r[0] for r in df.select(CT.canonical(F.col("t"))).collect()] == ["a b", "a b", None, ""]
