@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from runeframe.llm import canonical_text, conversations, markup, packing, personal, shared_spans, stuffing, tokens
 from runeframe.session import table
 
-#: Bound on the member table, whose names become the gazetteer sent to every task.
-MAX_MEMBERS = 100_000
+#: Bound on the distinct given and family names of the member table that are sent to every task.
+MAX_NAMES = 1_000_000
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,22 +48,28 @@ def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gazetteer(spark: SparkSession, sf_dir: str) -> personal.Gazetteer:
-    """Names of the member table, whose size is checked before it goes to the tasks."""
-    rows = table(spark, sf_dir, "members").select("full_name").where("full_name is not null").distinct().limit(MAX_MEMBERS + 1).collect()
-    if len(rows) > MAX_MEMBERS:
-        raise ValueError(f"more than {MAX_MEMBERS} names: load a gazetteer per task instead")
-    return personal.Gazetteer.of(r[0] for r in rows)
+    """Distinct names of the member table, whose number grows with the language rather than the members and is checked before they go to the tasks."""
+    words = F.expr(r"filter(split(lower(full_name), '\\s+'), w -> w <> '')")
+    named = table(spark, sf_dir, "members").select(words.alias("w")).where("size(w) >= 2")
+    last = F.expr("w[size(w) - 1]")
+    found = []
+    for part in (F.explode(F.expr("filter(slice(w, 1, size(w) - 1), x -> length(trim(BOTH '.' FROM x)) > 1)")), last):
+        rows = named.select(part.alias("n")).distinct().limit(MAX_NAMES + 1).collect()
+        if len(rows) > MAX_NAMES:
+            raise ValueError(f"more than {MAX_NAMES} names: give the operator a gazetteer of your own")
+        found.append(frozenset(r[0] for r in rows))
+    return personal.Gazetteer(*found)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages, names = table(spark, sf_dir, "messages"), gazetteer(spark, sf_dir)
-    return personal.find_kinds(messages, "id", "body", "body", names).unionAll(personal.find_kinds(messages, "id", "author", "author", names))
+    return personal.find_kinds(messages, "id", "body", "body", names).unionAll(personal.find_kinds(messages, "id", "author", "author", names, signatures=True))
 
 
 def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every body and every author with placeholders in place of personal information."""
     messages, names = table(spark, sf_dir, "messages"), gazetteer(spark, sf_dir)
-    return _both(lambda field: personal.redacted(messages, "id", field, names), "body", "author")
+    return _both(lambda field: personal.redacted(messages, "id", field, names, signatures=field == "author"), "body", "author")
 
 
 def _thread_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -5,7 +5,9 @@ the result, the span of source characters it stands for: homoglyphs and invisibl
 ``at``/``dot`` spellings, and digits written as words. Identifiers are detected in the result and
 their spans are mapped back, so only the disguised stretch of the source is replaced.
 
-Names come from a gazetteer of given and family names, found by a multi-pattern automaton.
+Names come from a gazetteer of given and family names, found by a multi-pattern automaton, and
+beyond it from shape and context: words with the shape of a name behind words that introduce one
+or before words that tell what someone did, and authors that are written like names.
 """
 
 from __future__ import annotations
@@ -72,6 +74,29 @@ grove mews rue chemin impasse allée quai calle avenida avda plaza paseo camino
 AT_DOT_WORDS = ("dot", "(at", "[at", "{at", "<at", "( at", "[ at", "(@", "[@", "{@", " @", "@ ")
 
 
+_NAME_WORD = r"(?:[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?:['’-][A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)*|[A-ZÀ-ÖØ-Þ]{3,}(?:['’-][A-ZÀ-ÖØ-Þ]{2,})*)"
+_INITIAL = r"[A-ZÀ-ÖØ-Þ]\."
+#: What is written like a name: given and family name, initials, or family name first.
+NAME_SHAPE = re.compile(rf"(?<![\w.@/'’-])(?:(?:{_NAME_WORD}|{_INITIAL})[ \u00a0]+(?:{_INITIAL}[ \u00a0]+)?({_NAME_WORD})|{_NAME_WORD},[ \u00a0]+(?:{_NAME_WORD}|{_INITIAL}))(?![\w@])")
+#: Words that introduce a name, and words that follow the name of someone who acts.
+INTRODUCES = re.compile(
+    r"(?i)(?<![\w@])(?:my name is|i am called|i(?:'m| am)|mein name ist|ich heiße|je m['’]appelle|me llamo|signed|gezeichnet|signé|firmado|regards|yours|cheers|thanks(?: to)?|thank you|danke|merci(?: à)?"
+    r"|gracias(?: a)?|credits? to|i asked|asked|i met|met|ask|contact|(?:is|was|found|solved|written|posted|sent|made|done|drawn) by|that was|this is|it was|dear|mr\.?|mrs\.?|ms\.?|dr\.?|prof\.?|herr|frau|señora?|monsieur|madame)[ :,]{1,2}$"
+)
+#: The introductions after which a name in lower case is taken, where one of its words is known.
+SURE_WORDS = ("my name is", "signed", "credit to", "asked", "met ", "thanks", " by ", "that was")
+LOWER_CASE = re.compile(r"(?<![\w@])(?:my name is|signed,?|credit to|asked|met|thanks|by|that was)[ ]+(([a-zß-öø-ÿ]{3,}(?:['’-][a-zß-öø-ÿ]+)*)[ \u00a0]+(?:[a-z]\.[ \u00a0]+)?([a-zß-öø-ÿ]{3,}(?:['’-][a-zß-öø-ÿ]+)*))(?![\w@])")
+ACTS = re.compile(r"[ ](?:and I\b|solved|wrote|said|says|told|asked|posted|found|noticed|split|helped|sent|called)\b")
+DETERMINED = re.compile(r"(?i)(?<!\w)(?:the|an?|this|that|these|those|my|our|your|their|his|her|every|each|no|der|die|das|le|la|les|el|los|las)[ ]$")
+#: Capitalised words that no name consists of.
+NO_NAME = frozenset(
+    """the and but that this these those not was were with from then than when what who how why all any some page pages section rune runes key keys prime primes
+    january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday""".split()
+)
+#: An author written like a name, in any case.
+NAME_AS_AUTHOR = re.compile(r"[\s\u200b]*((?:[^\W\d_]{2,}(?:['’-][^\W\d_]{2,})*|[^\W\d_]\.)[ \u00a0]+(?:[^\W\d_]\.[ \u00a0]+)*[^\W\d_]{3,}(?:['’-][^\W\d_]{2,})*|[^\W\d_]{3,}(?:['’-][^\W\d_]{2,})*,[ \u00a0]+(?:[^\W\d_]{2,}|[^\W\d_]\.))[\s\u200b]*(?:\(pinned\)\s*)?")
+
+
 @dataclass(frozen=True)
 class Gazetteer:
     """Given and family names in lower case."""
@@ -167,19 +192,19 @@ def _lower(text: str) -> str:
 
 
 class Finder:
-    """Finds identifiers; built once per task from the gazetteer.
+    """Finds identifiers; built once per task from the gazetteer. ``signatures``: texts are what people sign with.
 
     One pass of the automaton over the lower-cased text finds the family names and tells which of
     the slower patterns can match at all.
     """
 
-    def __init__(self, names: Gazetteer) -> None:
+    def __init__(self, names: Gazetteer, signatures: bool = False) -> None:
         import ahocorasick
 
-        self.names = names
+        self.names, self.signatures = names, signatures
         self.automaton = ahocorasick.Automaton()
         words: dict[str, str] = {}
-        for kind, some in (("d", [w for w in DIGIT_WORDS if len(w) > 2]), ("s", STREET_WORDS), ("a", AT_DOT_WORDS), ("n", names.family)):
+        for kind, some in (("d", [w for w in DIGIT_WORDS if len(w) > 2]), ("s", STREET_WORDS), ("a", AT_DOT_WORDS), ("i", SURE_WORDS), ("n", names.family)):
             for w in some:
                 words[w] = words.get(w, "") + kind
         for w, kinds in words.items():
@@ -200,6 +225,7 @@ class Finder:
         found: list[tuple[int, int, str]] = []
         if families:
             found += ((*spans.source(a, b), kind) for a, b, kind in self._persons(spans.text, families))
+        found += ((*spans.source(a, b), "person_name") for a, b in self._shaped(spans.text, "i" in flags))
         if "a" in flags or spoken >= 4:
             spans = plain_spellings(spans, "a" in flags, spoken >= 4)
         t = spans.text
@@ -241,7 +267,7 @@ class Finder:
             if a and low[a - 1] in "-." or low[b : b + 1] == "-" and low[b + 1 : b + 2].isalpha():
                 if not (a and low[a - 1] == "."):
                     continue
-            m = self.before.search(t[max(0, a - 60) : a])
+            m = self.before.search(t[_words_back(t, a, 4) : a])
             if m and m[1]:
                 words = m[1].split()
                 shift = a - len(m[1])
@@ -256,9 +282,35 @@ class Finder:
                     if len(words) > 1 and re.fullmatch(r"[^\W\d_]\.", words[0]) and re.fullmatch(r"[^\W\d_]\.", words[-1]):
                         yield shift, b, "person_name"
                         continue
-            after = re.match(r",[ \u00a0]+([^\W\d_][\w'’-]*|[^\W\d_]\.)(?![\w@])", t[b : b + 40])
+            after = AFTER_FAMILY.match(t, b)
             if after and after[1].lower() in self.names.given:
-                yield a, b + after.end(), "person_name"
+                yield a, after.end(), "person_name"
+
+    def _shaped(self, t: str, introduced: bool) -> Iterator[tuple[int, int]]:
+        """Names beyond the gazetteer, by shape and context."""
+        if self.signatures and (m := NAME_AS_AUTHOR.fullmatch(t)):
+            yield m.span(1)
+        for m in NAME_SHAPE.finditer(t):
+            a, b = m.span()
+            if INTRODUCES.search(t, max(0, a - 24), a) or (ACTS.match(t, b) and m[1] and not m[0].isupper() and not DETERMINED.search(t, max(0, a - 6), a)):
+                if not any(w.strip(".,").lower() in NO_NAME for w in m[0].split()):
+                    yield a, b
+        for m in LOWER_CASE.finditer(t) if introduced else ():
+            if (m[2] in self.names.given or m[3] in self.names.family) and m[2] not in NO_NAME and m[3] not in NO_NAME:
+                yield m.span(1)
+
+
+AFTER_FAMILY = re.compile(r",[ \u00a0]+([^\W\d_][\w'’-]*|[^\W\d_]\.)(?![\w@])")
+
+
+def _words_back(t: str, at: int, words: int) -> int:
+    """Where the last ``words`` words before a position start."""
+    for _ in range(words):
+        while at and t[at - 1].isspace():
+            at -= 1
+        while at and not t[at - 1].isspace():
+            at -= 1
+    return at
 
 
 def redact(text: str, found: list[tuple[int, int, str]]) -> str:
@@ -285,16 +337,17 @@ def _distinct_run(batches, finder, handle):  # noqa: ANN001
         yield batch, [None if t is None else seen[t] for t in texts]
 
 
-def find_kinds(df, id_col: str, text_col: str, field: str, names: Gazetteer):  # noqa: ANN001, ANN201
+def find_kinds(df, id_col: str, text_col: str, field: str, names: Gazetteer, signatures: bool = False):  # noqa: ANN001, ANN201
     """``id, field, kind``: kinds of personal information in each row's text, one row per kind.
 
+    ``signatures``: the texts are what people sign with, so one written like a name is a name.
     Null, empty and blank texts have none; repeated rows are reported each; other columns are ignored.
     """
     import pyarrow as pa
     from pyspark.sql import functions as F
 
     def run(batches):  # noqa: ANN001, ANN202
-        finder = Finder(names)
+        finder = Finder(names, signatures)
         for batch, kinds in _distinct_run(batches, finder, lambda found, _: sorted({k for *_, k in found})):
             ids, out = [], []
             for i, ks in zip(batch.column(0).to_pylist(), kinds):
@@ -306,13 +359,13 @@ def find_kinds(df, id_col: str, text_col: str, field: str, names: Gazetteer):  #
     return df.select(F.col(id_col).cast("long"), F.col(text_col)).where(F.length(text_col) > 0).mapInArrow(run, FINDINGS)
 
 
-def redacted(df, id_col: str, text_col: str, names: Gazetteer):  # noqa: ANN001, ANN201
+def redacted(df, id_col: str, text_col: str, names: Gazetteer, signatures: bool = False):  # noqa: ANN001, ANN201
     """``id, text``: every row's text with placeholders; null stays null, empty stays empty."""
     import pyarrow as pa
     from pyspark.sql import functions as F
 
     def run(batches):  # noqa: ANN001, ANN202
-        finder = Finder(names)
+        finder = Finder(names, signatures)
         for batch, texts in _distinct_run(batches, finder, lambda found, t: redact(t, found)):
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(texts, pa.string())], ["id", "text"])
 

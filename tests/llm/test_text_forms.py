@@ -180,6 +180,53 @@ def test_harmless_look_alikes(text):
     assert P.Finder(NAMES)(text) == []
 
 
+BEYOND = ["my name is Maria Kowalski by the way", "thanks Jörg Müller", "signed, Müller, Jörg", "Maria K. Berg and I split the pages", "I asked M. Kowalski about it", "met JÖRG MÜLLER at the fair", "my name is brisco berglund by the way", "as Dr. Ada Lovelace-Byron put it"]
+NOT_BEYOND = ["thanks Everybody", "And Iron Doors", "met at Quiet Well", "that was Section Two", "signed, sealed, delivered", "my name is not important here", "met someone there", "the Silent Orchard solved nothing", "by Monday Evening"]
+
+
+@pytest.mark.parametrize("text", BEYOND)
+def test_names_beyond_the_gazetteer(text):
+    assert [k for *_, k in P.Finder(NAMES)(text)] == ["person_name"]
+
+
+@pytest.mark.parametrize("text", NOT_BEYOND)
+def test_no_names(text):
+    assert P.Finder(NAMES)(text) == []
+
+
+def test_held_out_names_are_found():
+    """Half of the given and half of the family names are taken away; nine in ten of the names are still found."""
+    import random
+
+    rnd = random.Random(12)
+    given, family = ["".join(rnd.choice(["ba", "lo", "ri", "ne", "tu", "ka"]) for _ in range(3)).title() for _ in range(40)], ["".join(rnd.choice(["fel", "mor", "stan", "wick", "dren"]) for _ in range(2)).title() for _ in range(25)]
+    half = P.Finder(P.Gazetteer(frozenset(g.lower() for g in given[::2]), frozenset(f.lower() for f in family[::2])))
+    frames = ["my name is {} by the way", "signed, {}", "thanks {}", "met {} at the library", "I asked {} about it", "all credit to {} for it", "the scan is by {}.", "{} solved this", "so {} and I split the pages", "that was {}, not me"]
+    found = total = 0
+    for _ in range(600):
+        g, f = rnd.choice(given), rnd.choice(family)
+        name = rnd.choice([f"{g} {f}", f"{g} {f}", f"{g} L. {f}", f"{g[0]}. {f}", f"{f}, {g}", f"{g} {f}".lower()])
+        total += 1
+        found += [k for *_, k in half(rnd.choice(frames).format(name))] == ["person_name"]
+    assert found >= 0.9 * total
+
+
+def test_signatures():
+    find = P.Finder(P.Gazetteer(frozenset(), frozenset()), signatures=True)
+    for name in ("Maria Berg", "maria berg", "M. Berg", "Berg, Maria", "Maria K. Berg (pinned)", " MARIA BERG "):
+        assert [k for *_, k in find(name)] == ["person_name"], name
+    for handle in ("owl48", "rune.mason", "harp_98", "", "x y", "bot-x", "fox (pinned)"):
+        assert find(handle) == [], handle
+
+
+def test_long_names():
+    """No window around a family name: a given name of any length is seen."""
+    long = "B" + "ri" * 50
+    names = P.Gazetteer(frozenset([long.lower()]), frozenset(["oakenfurl"]))
+    for text in (f"so {long} oakenfurl left", f"so oakenfurl, {long} left"):
+        assert [k for *_, k in P.Finder(names)(text)] == ["person_name"]
+
+
 def test_redaction_keeps_the_rest():
     find = P.Finder(NAMES)
     text = "ｓｏ ow\u200bl [at] mail [dot] example or T. Oakenfurl, 01 99 00 62 39; runes 5 12 24"
