@@ -3,13 +3,15 @@
 A span is shared if at least ``k`` characters of a text appear verbatim in a text of another
 owner. Texts are cut so that every window of ``k`` characters meets all its copies in one place:
 each window is assigned to the smallest hash of the ``m``-grams in it, runs of windows with the
-same smallest hash form one piece, and pieces go to the shard of that hash. A shard builds a
-compressed FM-index over its distinct pieces (a wavelet matrix over the Burrows-Wheeler transform)
+same smallest hash form one piece, and pieces go to the shard of that hash. A shard builds an
+FM-index over its distinct pieces (a wavelet matrix over the Burrows-Wheeler transform)
 and streams its pieces through it by backward search, all positions at once: the search yields the
 matching statistics up to ``k``, and windows that reach ``k`` with more than one owner are shared.
 
 Exact copies are merged before the shuffle at both levels (texts and pieces), so a text quoted in
-a third of all rows is one text; hash groups are indexed in bounded portions.
+a third of all rows is one text. Pieces of one hash must be indexed together; a hash whose pieces
+exceed a portion is split: its pieces are cut again by the two smallest hashes of each window, then
+by three and so on, until every group fits or its windows hold no further hash to tell them apart.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runeframe.session import cut_lineage
+
 
 class RankBits:
     """A bit vector with constant-time counts of ones before a position."""
@@ -121,8 +125,8 @@ def shared_windows(pieces: list[str], low: np.ndarray, high: np.ndarray, k: int)
     return [hit[cut[i] : cut[i + 1]] - starts[i] for i in range(len(pieces))]
 
 
-def _pieces_of(texts: list[str], k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, start, end and hash of each piece; every text has at least ``k`` characters."""
+def _gram_hashes(texts: list[str], m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the ``m``-grams of the joined texts, and the texts' starts and lengths."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     starts = np.concatenate(([0], np.cumsum(lengths)))[:-1]
     codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
@@ -133,14 +137,35 @@ def _pieces_of(texts: list[str], k: int, m: int) -> tuple[np.ndarray, np.ndarray
     grams ^= grams >> np.uint64(29)
     grams *= np.uint64(0xBF58476D1CE4E5B9)
     grams ^= grams >> np.uint64(32)
-    width, least, span = k - m + 1, grams, 1
-    while span < width:  # sliding minimum by doubling
-        step = min(span, width - span)
-        least = np.minimum(least[:-step], least[step:])
-        span += step
+    return grams, starts, lengths
+
+
+def _pieces_of(texts: list[str], k: int, m: int, smallest: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, start, end and hash of each piece; every text has at least ``k`` characters.
+
+    The hash of a window is made of the ``smallest`` smallest different hashes in it, fewer where it holds fewer.
+    """
+    grams, starts, lengths = _gram_hashes(texts, m)
+    width = k - m + 1
     at = np.repeat(starts, lengths - k + 1) + np.concatenate([np.arange(x) for x in (lengths - k + 1).tolist()])
     of = np.repeat(np.arange(len(texts)), lengths - k + 1)
-    hashes = least[at]
+    if smallest == 1:
+        least, span = grams, 1
+        while span < width:  # sliding minimum by doubling
+            step = min(span, width - span)
+            least = np.minimum(least[:-step], least[step:])
+            span += step
+        hashes = least[at]
+    else:
+        inside = np.sort(np.lib.stride_tricks.sliding_window_view(grams, width)[at], axis=1)
+        first = np.ones(inside.shape, bool)
+        first[:, 1:] = inside[:, 1:] != inside[:, :-1]
+        order = np.cumsum(first, axis=1)
+        hashes = np.zeros(len(at), np.uint64)
+        for j in range(width):  # the same windows have the same hashes, so the same mixture
+            used = first[:, j] & (order[:, j] <= smallest)
+            mixed = (hashes ^ inside[:, j]) * np.uint64(0x9E3779B97F4A7C15)
+            hashes = np.where(used, mixed ^ (mixed >> np.uint64(31)), hashes)
     new = np.ones(len(at), bool)
     new[1:] = (of[1:] != of[:-1]) | (hashes[1:] != hashes[:-1])
     begin = np.flatnonzero(new)
@@ -148,17 +173,20 @@ def _pieces_of(texts: list[str], k: int, m: int) -> tuple[np.ndarray, np.ndarray
     return of[begin], at[begin] - starts[of[begin]], at[end] - starts[of[begin]] + k, hashes[begin].view(np.int64)
 
 
-def _cut(k: int, m: int):  # noqa: ANN202
+def _cut(k: int, m: int, smallest: int = 1):  # noqa: ANN202
+    """Cuts texts ``(k1, k2, off, text, low, high)`` into pieces; offsets go on from those given."""
+
     def run(batches):  # noqa: ANN001, ANN202
         for batch in batches:
             if not batch.num_rows:
                 continue
-            texts = batch.column(2).to_pylist()
-            of, a, b, h = _pieces_of(texts, k, m)
+            texts = batch.column(3).to_pylist()
+            of, a, b, h = _pieces_of(texts, k, m, smallest)
             take = pa.array(of)
             pieces = [texts[t][x:y] for t, x, y in zip(of.tolist(), a.tolist(), b.tolist())]
+            off = np.asarray(batch.column(2))[of] + a
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(a, pa.int32()), pa.array(pieces, pa.string()), pa.array(h, pa.int64()), batch.column(3).take(take), batch.column(4).take(take)],
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(off, pa.int32()), pa.array(pieces, pa.string()), pa.array(h, pa.int64()), batch.column(4).take(take), batch.column(5).take(take)],
                 ["k1", "k2", "off", "piece", "h", "low", "high"],
             )
 
@@ -191,12 +219,38 @@ def _search(k: int, portion: int):  # noqa: ANN202
     return run
 
 
+PIECES = "k1 long, k2 int, off int, piece string, h long, low long, high long"
+
+
+def _settled(pieces: DataFrame, k: int, m: int, portion: int, salts: int) -> DataFrame:
+    """The pieces, those of hashes with more than ``portion`` characters of different pieces cut again by more hashes.
+
+    Only the hot hashes come to a decision here, and only their number reaches the driver.
+    """
+    pieces = cut_lineage(pieces)
+    calm: list[DataFrame] = []
+    for smallest in range(2, k - m + 2):
+        sizes = pieces.select("h", "piece").distinct().groupBy("h").agg(F.sum(F.length("piece")).alias("size"))
+        hot = cut_lineage(sizes.where(F.col("size") > portion).select("h"))
+        if hot.isEmpty():
+            break
+        # a hot hash is one row on the small side, repeated per salt, so its pieces are not gathered
+        spread = hot.select("h", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(True).alias("hot"))
+        marked = pieces.withColumn("salt", F.pmod(F.xxhash64("k1", "off"), F.lit(salts)).cast("int")).join(spread, ["h", "salt"], "left")
+        calm.append(marked.where("hot is null").select(*pieces.columns))
+        again = marked.where("hot").select("k1", "k2", "off", "piece", "low", "high")
+        pieces = cut_lineage(again.mapInArrow(_cut(k, m, smallest), PIECES))
+    for part in calm:
+        pieces = pieces.unionAll(part)
+    return pieces
+
+
 def shared_lengths(rows: DataFrame, id_col: str, text_col: str, owner_col: str, k: int = 24, m: int = 12, portion: int = 1 << 20, salts: int = 8) -> DataFrame:
     """``id, n_shared``: positions of each text in spans of at least ``k`` characters that another owner's text holds too.
 
     Only rows with ``n_shared`` > 0. Null texts and texts shorter than ``k`` share nothing; rows
     with a null owner count as one further owner; repeated rows are reported each; other columns
-    are ignored. ``portion`` is the number of characters indexed at once.
+    are ignored. ``portion`` is the number of characters indexed at once, and of one hash.
     """
     if not 0 < m <= k:
         raise ValueError("need 0 < m <= k")
@@ -204,7 +258,7 @@ def shared_lengths(rows: DataFrame, id_col: str, text_col: str, owner_col: str,
     base = rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(owner_col).cast("long"), F.lit(-(2**63))).alias("owner")).where(F.length("text") >= k)
     keys = [F.xxhash64(text).alias("k1"), F.hash(text, F.lit("text")).alias("k2")]
     distinct = base.groupBy("text").agg(F.min("owner").alias("low"), F.max("owner").alias("high")).select(*keys, "text", "low", "high")
-    pieces = distinct.mapInArrow(_cut(k, m), "k1 long, k2 int, off int, piece string, h long, low long, high long")
+    pieces = _settled(distinct.select("k1", "k2", F.lit(0).alias("off"), "text", "low", "high").mapInArrow(_cut(k, m), PIECES), k, m, portion, salts)
     merged = pieces.groupBy("h", "piece").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     shared = merged.repartition(F.col("h")).sortWithinPartitions("h").mapInArrow(_search(k, portion), "piece string, starts array<int>")
     salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")

@@ -82,6 +82,31 @@ def test_shared_spans_equal_brute_force(spark, portion):
     assert SS.shared_lengths(df.limit(0), "rid", "txt", "own", 12, 6).count() == 0
 
 
+def test_hot_hashes_are_split():
+    """One gram in every text makes one hash hot; its windows part by their further hashes, the result stays exact."""
+    rnd = random.Random(15)
+    word = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    texts = [word(9) + "qqqqqq" + word(9) for _ in range(200)]
+    of, a, b, one = SS._pieces_of(texts, 12, 6)
+    _, _, _, two = SS._pieces_of(texts, 12, 6, 2)
+    group = lambda h: max(np.unique(h, return_counts=True)[1])
+    assert group(two) < group(one)
+    same = {}
+    for smallest in (1, 2, 3, 7):  # equal windows always meet
+        of, a, b, h = SS._pieces_of(texts, 12, 6, smallest)
+        for t, x, y, key in zip(of.tolist(), a.tolist(), b.tolist(), h.tolist()):
+            for j in range(x, y - 11):
+                assert same.setdefault((smallest, texts[t][j : j + 12]), key) == key
+
+
+def test_shared_spans_with_hot_hashes(spark):
+    rnd = random.Random(16)
+    word = lambda n: "".join(rnd.choice("ab") for _ in range(n))
+    data = [(i, word(8) + "a" * 9 + word(8), i % 7) for i in range(60)]
+    df = spark.createDataFrame(data, "rid long, txt string, own long")
+    assert {r[0]: r[1] for r in SS.shared_lengths(df, "rid", "txt", "own", 12, 6, 100, 2).collect()} == brute_shared(data, 12)
+
+
 def test_fm_index_counts():
     rnd = np.random.default_rng(1)
     text = np.append(rnd.integers(1, 5, 400), 0)
