@@ -36,14 +36,25 @@ CLOSED = frozenset(
 )
 LINK = re.compile(r"(?:https?://|www\.)[^\s<>\"'\])|]+|<a\b[^>]*>|</a>|\bhref=\S+", re.I)
 TAG = re.compile(r"#[^\W\d_]\w*")
-#: Bounds of units: line ends, and white space after a sentence end.
-BOUND = re.compile(r"\n|(?<=[.!?…])\s+")
 #: Rune spellings joined by separators, and digests.
 SPELLINGS = re.compile(r"\b[A-Za-z]{1,3}[-./](?:[A-Za-z]{1,3}[-./]){2,}[A-Za-z]{1,3}\b")
 DIGESTS = re.compile(r"\b[0-9a-f]{16,}\b")
 RUNES = (0x16A0, 0x16FF)
-#: Characters that join the parts of one number.
-JOINTS = np.isin(np.arange(0x80), [ord(c) for c in ".,:/x-"])
+LINE_END, SENTENCE_END, BLANK, DIGIT, MATTER, JOINT, LETTER, HEXADECIMAL = (1 << i for i in range(8))
+
+
+def _kinds() -> np.ndarray:
+    """What a character is, by code point; all beyond the table are other characters."""
+    kinds = np.zeros(0x3002, np.uint8)
+    for chars, kind in (("\n", LINE_END), (".!?…", SENTENCE_END), ("0123456789", DIGIT | MATTER), (".,:/x-", JOINT), ("0123456789abcdef", HEXADECIMAL)):
+        for c in chars:
+            kinds[ord(c)] |= kind
+    for code in range(len(kinds)):
+        kinds[code] |= BLANK * chr(code).isspace() | MATTER * (RUNES[0] <= code <= RUNES[1]) | LETTER * (code < 0x80 and chr(code).isalpha())
+    return kinds
+
+
+KINDS = _kinds()
 #: Shortest repetition that covers characters.
 MIN_REPEAT = 8
 CLAUSE_SHARE = 0.16
@@ -68,8 +79,8 @@ def _symbols(text: str) -> np.ndarray:
         return np.unique(raw, return_inverse=True)[1] + 1
 
 
-def link_lengths(text: str) -> np.ndarray:
-    """For the state of each prefix in the text's suffix automaton the length of its suffix link.
+def link_lengths(text: str, least: int = 1) -> np.ndarray:
+    """For the state of each prefix in the text's suffix automaton the length of its suffix link; 0 for links shorter than ``least``.
 
     That is the longest suffix of the prefix that ends elsewhere in the text too. The tree of
     suffix links is the suffix tree of the reversed text, so the states are found as arrays: the
@@ -78,31 +89,36 @@ def link_lengths(text: str) -> np.ndarray:
     that order. Common parts come from the ranks of the rounds, longest first.
     """
     n = len(text)
+    longest = np.zeros(n, np.int64)
     if n < 2:
-        return np.zeros(n, np.int64)
+        return longest
     codes = _symbols(text)[::-1]
-    bits = int(codes.max()).bit_length()
-    span = max(1, 62 // bits)
+    bits, low = int(codes.max()).bit_length(), n.bit_length()
+    span = max(1, (63 - low) // bits)
     padded = np.zeros(n + span, np.int64)
     padded[:n] = codes
-    packed = np.zeros(n, np.int64)
-    for j in range(span):
+    packed = padded[:n].copy()
+    for j in range(1, span):
         packed <<= bits
         packed |= padded[j : j + n]
-    order = np.argsort(packed)
+    ordered = packed << low  # first characters and place in one number, so that one plain sort orders both
+    ordered |= np.arange(n)
+    ordered.sort()
+    order = ordered & ((1 << low) - 1)
+    ordered >>= low
     new = np.empty(n, bool)
     new[0] = True
-    np.not_equal(packed[order[1:]], packed[order[:-1]], out=new[1:])
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
     place = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank = np.empty(2 * n + 1, np.int64)  # a rank is the first place of a class; past the end -1
     rank[n:] = -1
     rank[order] = place
     ranks, spans = [rank], [span]
-    while True:
+    while span < n:
         same = ~new
         same[:-1] |= ~new[1:]
         where = np.flatnonzero(same)
-        if not len(where) or span >= n:
+        if not len(where):
             break
         members = order[where]
         second = rank[members + span]
@@ -116,24 +132,23 @@ def link_lengths(text: str) -> np.ndarray:
         new[where] = apart
         place = np.maximum.accumulate(np.where(new, np.arange(n), 0))
         rank = rank.copy()
-        rank[order] = place
+        rank[members] = place[where]
         ranks.append(rank)
         span *= 2
         spans.append(span)
-    left, right = order[:-1].copy(), order[1:].copy()
-    common = np.zeros(n - 1, np.int64)
-    open_ = np.flatnonzero(ranks[0][left] == ranks[0][right])
+    first = packed[order] >> bits * max(0, spans[0] - least)
+    near = np.flatnonzero(first[1:] == first[:-1])  # neighbours that share enough to matter
+    left, right = order[near], order[near + 1]
+    common = np.zeros(len(near), np.int64)
     for rank, span in zip(ranks[::-1], spans[::-1]):
-        at = common[open_]
-        a, b = np.minimum(left[open_] + at, n), np.minimum(right[open_] + at, n)
-        common[open_] += span * ((rank[a] == rank[b]) & (rank[a] >= 0))
-    width = np.append(packed, [0])
-    a, b = np.minimum(left + common, n), np.minimum(right + common, n)
-    differ = width[a] ^ width[b]
+        a, b = rank[np.minimum(left + common, n)], rank[np.minimum(right + common, n)]
+        common += span * ((a == b) & (a >= 0))
+    ended = np.append(packed, 0)
+    differ = ended[np.minimum(left + common, n)] ^ ended[np.minimum(right + common, n)]
     differ &= ~(differ >> 1)  # the highest bit stays, and no rounding reaches the next one
     common += (bits * spans[0] - np.frexp(differ.astype(np.float64))[1]) // bits
     common = np.minimum(common, n - np.maximum(left, right))
-    longest = np.zeros(n, np.int64)
+    common[common < least] = 0
     longest[left] = common
     longest[right] = np.maximum(longest[right], common)
     return longest[::-1]
@@ -142,7 +157,7 @@ def link_lengths(text: str) -> np.ndarray:
 def repeated_cover(text: str, least: int = MIN_REPEAT) -> np.ndarray:
     """For each character whether it lies in a repeated maximal substring of at least ``least`` characters."""
     n = len(text)
-    longest = link_lengths(text)
+    longest = link_lengths(text, least)
     ends = np.flatnonzero(longest >= least)
     edge = np.zeros(n + 1, np.int64)
     np.add.at(edge, ends + 1 - longest[ends], 1)
@@ -150,21 +165,17 @@ def repeated_cover(text: str, least: int = MIN_REPEAT) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def _blanks(raw: np.ndarray) -> np.ndarray:
-    blank = (raw == 32) | ((raw >= 9) & (raw <= 13)) | ((raw >= 28) & (raw <= 31)) | (raw == 0x85)
-    if len(raw) and raw.max() > 0x7F:
-        blank |= (raw == 0xA0) | (raw == 0x1680) | ((raw >= 0x2000) & (raw <= 0x200A)) | (raw == 0x2028) | (raw == 0x2029) | (raw == 0x202F) | (raw == 0x205F) | (raw == 0x3000)
-    return blank
-
-
-def _matter(raw: np.ndarray, text: str) -> np.ndarray:
+def _matter(kinds: np.ndarray, text: str) -> np.ndarray:
     """Which characters are runes, numbers with their joints, rune spellings or digests."""
-    digit = (raw >= 48) & (raw <= 57)
-    matter = digit | ((raw >= RUNES[0]) & (raw <= RUNES[1]))
-    between = np.flatnonzero(digit[:-2] & digit[2:]) + 1
-    matter[between[JOINTS[np.minimum(raw[between], 0x7F)]]] = True
-    for pattern in (SPELLINGS, DIGESTS):
-        for m in pattern.finditer(text):
+    matter, digit, letter = kinds & MATTER > 0, kinds & DIGIT > 0, kinds & LETTER > 0
+    joint = kinds[1:-1] & JOINT > 0
+    matter[1:-1] |= joint & digit[:-2] & digit[2:]
+    if np.count_nonzero(joint & letter[:-2] & letter[2:]) >= 3:
+        for m in SPELLINGS.finditer(text):
+            matter[m.start() : m.end()] = True
+    gaps = np.flatnonzero(kinds & HEXADECIMAL == 0)
+    if len(kinds) > 16 and np.diff(gaps, prepend=-1, append=len(kinds)).max() > 16:
+        for m in DIGESTS.finditer(text):
             matter[m.start() : m.end()] = True
     return matter
 
@@ -178,26 +189,35 @@ def _mask(n: int, spans: list[tuple[int, int]]) -> np.ndarray:
 
 def shares(text: str) -> tuple[int, int, int]:
     """Visible characters, those outside sentences and transcription matter, and those of the latter in links, tags or repetitions."""
-    n, raw = len(text), np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    visible, link = ~_blanks(raw), np.zeros(n, bool)
+    n = len(text)
+    if n < 2:
+        return n - text.isspace() * n, 0, 0
+    try:
+        kinds = KINDS[np.frombuffer(text.encode("latin-1"), np.uint8)]
+    except UnicodeEncodeError:
+        kinds = KINDS[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), len(KINDS) - 1)]
+    visible, link = kinds & BLANK == 0, np.zeros(n, bool)
     low = text.lower()
     if any(sign in low for sign in ("://", "www.", "<a", "</a", "href=")):
         link = _mask(n, [m.span() for m in LINK.finditer(text)])
-    matter = _matter(raw, text) & ~link
-    bounds = [m.span() for m in BOUND.finditer(text)]
-    starts, ends = np.array([0, *(y for _, y in bounds)]), np.array([*(x for x, _ in bounds), n])
-    upto = lambda mask: np.concatenate(([0], np.cumsum(mask)))
-    within = lambda sums: sums[ends] - sums[starts]
-    seen, linked = within(upto(visible)), within(upto(link))
-    settled = within(upto(matter)) * 2 > seen
-    for k in np.flatnonzero((seen > 0) & (linked == 0) & ~settled).tolist():
-        settled[k] = is_clause(text[starts[k] : ends[k]])
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, starts[settled], 1)
-    np.add.at(edge, ends[settled], -1)
-    rest = visible & ~matter & (np.cumsum(edge[:n]) == 0)
-    marked = repeated_cover(text) | link | _mask(n, [m.span() for m in TAG.finditer(text)] if "#" in text else [])
-    return int(visible.sum()), int(rest.sum()), int((rest & marked).sum())
+    matter = _matter(kinds, text) & ~link
+    # a unit ends before a line end, and behind a sentence end that white space follows
+    cut = kinds & LINE_END > 0
+    cut[1:] |= (kinds[:-1] & SENTENCE_END > 0) & ~visible[1:]
+    cut[0] = True
+    starts = np.flatnonzero(cut)
+    seen = np.add.reduceat(visible, starts, dtype=np.int64)
+    settled = np.add.reduceat(matter, starts, dtype=np.int64) * 2 > seen
+    units = (seen > 0) & (np.add.reduceat(link, starts, dtype=np.int64) == 0) & ~settled
+    ends = np.append(starts[1:], n)
+    words = low if len(low) == n else text
+    for k, a, b in zip(np.flatnonzero(units).tolist(), starts[units].tolist(), ends[units].tolist()):
+        settled[k] = is_clause(words[a:b])
+    rest = visible & ~matter & ~np.repeat(settled, ends - starts)
+    marked = repeated_cover(text) | link
+    if "#" in text:
+        marked |= _mask(n, [m.span() for m in TAG.finditer(text)])
+    return int(np.count_nonzero(visible)), int(np.count_nonzero(rest)), int(np.count_nonzero(rest & marked))
 
 
 def is_stuffed(text: str | None) -> bool:
