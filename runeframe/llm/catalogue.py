@@ -112,6 +112,16 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encoded(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again."""
+    return tokens.decoded(p8_ids(spark, sf_dir), "doc_id", "ids")
+
+
+def p8_multi_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text as ids of the vocabulary made for many languages."""
+    return tokens.encoded(table(spark, sf_dir, "documents"), "doc_id", "text", "byte_bpe_multi_50k")
+
+
 def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in containers of 2,048 tokens."""
     sizes = tokens.counted(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -123,7 +133,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffing.find_stuffed(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-FUNCTIONS = (p1_found, p1_classes, p1_forms, p2_found, p2_clean, p4_found, p4_redacted, p5_found, p5_conversations, p7_found, p8_ids, p9_containers, p10_found)
+FUNCTIONS = (p1_found, p1_classes, p1_forms, p2_found, p2_clean, p4_found, p4_redacted, p5_found, p5_conversations, p7_found, p8_ids, p8_decoded, p8_multi_ids, p9_containers, p10_found)
 QUERIES = {f.__name__: f for f in FUNCTIONS}
 
 
@@ -176,7 +186,7 @@ select id, count(distinct q) as n_shared from (select id, unnest(range(p, p + {M
 P5_TURNS_SQL = P5_SQL.replace("select t.channel from t left join f using (channel)", ", bad as (select t.channel from t left join f using (channel)").rstrip() + """)
 select channel, seq, ro as role, a as author, b as body from w where channel not in (select channel from bad)
 """
-ORACLES = {"p1_found": P1_SQL, "p1_forms": P1_FORMS_SQL, "p1_classes": P1_CLASSES_SQL, "p5_found": P5_SQL, "p5_conversations": P5_TURNS_SQL, "p7_found": P7_SQL}
+ORACLES = {"p1_found": P1_SQL, "p1_forms": P1_FORMS_SQL, "p1_classes": P1_CLASSES_SQL, "p5_found": P5_SQL, "p5_conversations": P5_TURNS_SQL, "p7_found": P7_SQL, "p8_decoded": "select doc_id, coalesce(text, '') as text from documents"}
 
 
 

@@ -42,22 +42,25 @@ def resolve_parents(messages: DataFrame, group: str, node: str, parent: str) ->
     known = nodes.select("g", F.col("v").alias("p"), F.lit(True).alias("exists"))
     state = F.when(F.col("p").isNull(), WHOLE).when(F.col("exists").isNull(), ORPHAN)
     step = cut_lineage(nodes.join(known, ["g", "p"], "left").select("g", "v", F.when(state.isNull(), F.col("p")).alias("p"), state.alias("s")))
-    total, rounds = step.agg(F.count(F.lit(1)).alias("n"), F.count("p").alias("open")).first()[:], 0
-    open_now = total[1]
-    while open_now and 2**rounds <= total[0]:
-        above = step.select("g", F.col("v").alias("p"), F.col("p").alias("pp"), F.col("s").alias("ps"))
-        # only open messages jump; the resolved ones are carried over without a shuffle
-        jumped = step.where("p is not null").join(above, ["g", "p"]).select("g", "v", F.when(F.col("ps").isNull(), F.col("pp")).alias("p"), F.col("ps").alias("s"))
-        step = cut_lineage(step.where("p is null").unionAll(jumped))
-        open_now = step.where("p is not null").count()
+    total, open_now = step.agg(F.count(F.lit(1)), F.count("p")).first()
+    settled, step, rounds = step.where("p is null"), step.where("p is not null"), 0
+    while open_now and 2**rounds <= total:
+        # only open messages jump and are written again; what is settled stays where it was written
+        above = settled.unionAll(step).select("g", F.col("v").alias("p"), F.col("p").alias("pp"), F.col("s").alias("ps"))
+        jumped = cut_lineage(step.join(above, ["g", "p"]).select("g", "v", F.when(F.col("ps").isNull(), F.col("pp")).alias("p"), F.col("ps").alias("s")))
+        settled, step = settled.unionAll(jumped.where("p is null")), jumped.where("p is not null")
+        open_now = step.count()
         rounds += 1
-    return step.select(F.col("g").alias(group), F.col("v").alias(node), F.coalesce("s", F.lit(CYCLE)).alias("state"))
+    return settled.unionAll(step).select(F.col("g").alias(group), F.col("v").alias(node), F.coalesce("s", F.lit(CYCLE)).alias("state"))
 
 
 def _rows(messages: DataFrame, channels: DataFrame, members: DataFrame) -> DataFrame:
-    """One row per channel and position of the threads, with role and visibility. Repeated rows are copies: the first is taken."""
+    """One row per channel and position of the threads, with role and visibility.
+
+    Repeated rows are copies: the first is taken. A handle listed more than once has the first of its roles by name.
+    """
     threads = channels.where("kind = 'thread' and channel is not null").select("channel").distinct()
-    handles = members.where("author is not null").select(F.lower(F.trim("author")).alias("handle"), "speaker_role").dropDuplicates(["handle"])
+    handles = members.where("author is not null").select(F.lower(F.trim("author")).alias("handle"), "speaker_role").groupBy("handle").agg(F.min("speaker_role").alias("speaker_role"))
     rows = (
         messages.select("channel", "seq", "id", "author", "body")
         .join(threads, "channel", "left_semi")
@@ -104,10 +107,12 @@ def thread_states(messages: DataFrame, channels: DataFrame, members: DataFrame)
 
 
 def conversations(messages: DataFrame, channels: DataFrame, members: DataFrame) -> DataFrame:
-    """``channel, seq, role, author, body``: the usable threads, one row per turn from root to leaf.
+    """``channel, seq, role, author, body``: the usable threads, one row per turn from root to leaf, in order of channel and position.
 
-    A role is null where no member has the author's handle. Turns stay rows, so a very long
-    thread is never gathered in one place.
+    A whole thread's positions are 1, 2, 3 …, so ``seq`` is a turn's place in its conversation. A
+    role is null where no member has the author's handle. Turns stay rows, ordered by range
+    partitions, so a very long thread is never gathered in one place.
     """
     usable = thread_states(messages, channels, members).where("not (broken or nameless or unanswered)").select("channel")
-    return _rows(messages, channels, members).join(usable, "channel", "left_semi").select("channel", "seq", F.col("speaker_role").alias("role"), "author", "body")
+    turns = _rows(messages, channels, members).join(usable, "channel", "left_semi")
+    return turns.select("channel", "seq", F.col("speaker_role").alias("role"), "author", "body").orderBy("channel", "seq")

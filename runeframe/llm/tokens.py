@@ -256,3 +256,19 @@ def counted(documents: DataFrame, id_col: str, text_col: str, name: str = "byte_
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
 
     return documents.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, n_tokens long")
+
+
+def decoded(rows: DataFrame, id_col: str, ids_col: str, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
+    """``doc_id, text``: every row's ids as text; an empty list gives an empty text, null stays null.
+
+    Bytes that are no whole character, as in a list cut within one, become replacement characters.
+    """
+    _, tables = _shared_tables(rows.sparkSession, name, folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decode = Decoder(tables.value[0])
+        for batch in batches:
+            texts = [None if ids is None else decode(ids) for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return rows.select(F.col(id_col).cast("long"), F.col(ids_col)).mapInArrow(run, "doc_id long, text string")

@@ -54,6 +54,8 @@ def test_threads(spark, rows):
     turns = [(r["channel"], r["seq"], r["role"]) for r in CV.conversations(m, c, who).orderBy("channel", "seq").collect()]
     assert turns == [("good", 1, "system"), ("good", 2, "user"), ("good", 3, "assistant"), ("repeated", 1, "user"), ("repeated", 2, "assistant")]
     assert CV.thread_states(m.limit(0), c.limit(0), who).count() == 0
+    doubled = who.unionAll(spark.createDataFrame([("ANN", "system", 1), ("ann ", "zzz", 1)], who.schema))
+    assert {r["role"] for r in CV.conversations(m, c, doubled).where("lower(author) like '%ann%'").collect()} == {"system"} or CV.conversations(m, c, doubled).count() == 0
 
 
 def brute_shared(rows_, k):
@@ -144,6 +146,8 @@ def test_encoded_rows(spark):
     assert got[1] == got[5] and len(got[1]) == 2 and got[2] == got[3] == [] and len(got[4]) == 1
     assert {r[0]: r[1] for r in TK.counted(df, "doc_id", "text").collect()} == {1: 2, 2: 0, 3: 0, 4: 1, 5: 2}
     assert TK.encoded(df.limit(0), "doc_id", "text").count() == 0
+    back = TK.decoded(TK.encoded(df, "doc_id", "text").unionAll(spark.createDataFrame([(9, None)], "doc_id long, ids array<int>")), "doc_id", "ids")
+    assert {r[0]: r[1] for r in back.collect()} == {1: "the cat", 2: "", 3: "", 4: " ", 5: "the cat", 9: None}
 
 
 def check_packing(items, capacity, placed):
