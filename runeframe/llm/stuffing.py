@@ -79,6 +79,20 @@ def _symbols(text: str) -> np.ndarray:
         return np.unique(raw, return_inverse=True)[1] + 1
 
 
+def _runs(codes: np.ndarray, bits: int, span: int) -> np.ndarray:
+    """At each place the next ``span`` codes in one number, zeros past the end; made from runs of half the length."""
+    if span == 1:
+        return codes
+    half = span // 2
+    runs = _runs(codes, bits, half)
+    packed = runs << bits * half
+    packed[:-half] |= runs[half:]
+    if span % 2:
+        packed <<= bits
+        packed[: 1 - span] |= codes[span - 1 :]
+    return packed
+
+
 def link_lengths(text: str, least: int = 1) -> np.ndarray:
     """For the state of each prefix in the text's suffix automaton the length of its suffix link; 0 for links shorter than ``least``.
 
@@ -95,12 +109,7 @@ def link_lengths(text: str, least: int = 1) -> np.ndarray:
     codes = _symbols(text)[::-1]
     bits, low = int(codes.max()).bit_length(), n.bit_length()
     span = max(1, (63 - low) // bits)
-    padded = np.zeros(n + span, np.int64)
-    padded[:n] = codes
-    packed = padded[:n].copy()
-    for j in range(1, span):
-        packed <<= bits
-        packed |= padded[j : j + n]
+    packed = _runs(codes.astype(np.int64), bits, span)
     ordered = packed << low  # first characters and place in one number, so that one plain sort orders both
     ordered |= np.arange(n)
     ordered.sort()
@@ -114,28 +123,28 @@ def link_lengths(text: str, least: int = 1) -> np.ndarray:
     rank[n:] = -1
     rank[order] = place
     ranks, spans = [rank], [span]
-    while span < n:
-        same = ~new
-        same[:-1] |= ~new[1:]
-        where = np.flatnonzero(same)
-        if not len(where):
-            break
-        members = order[where]
+    same = ~new
+    same[:-1] |= ~new[1:]
+    where = np.flatnonzero(same)  # places of the suffixes not yet told apart
+    while len(where) and span < n:
+        members, head = order[where], place[where]
         second = rank[members + span]
-        head = place[where]
         sort = np.argsort(head * (n + 1) + second)
         members, second = members[sort], second[sort]
         order[where] = members  # classes keep their places, so ``head`` still holds
         apart = np.empty(len(where), bool)
         apart[0] = True
         apart[1:] = (head[1:] != head[:-1]) | (second[1:] != second[:-1])
-        new[where] = apart
-        place = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        head = np.maximum.accumulate(np.where(apart, where, 0))
+        place[where] = head
         rank = rank.copy()
-        rank[members] = place[where]
+        rank[members] = head
         ranks.append(rank)
         span *= 2
         spans.append(span)
+        same = ~apart
+        same[:-1] |= ~apart[1:]
+        where = where[same]
     first = packed[order] >> bits * max(0, spans[0] - least)
     near = np.flatnonzero(first[1:] == first[:-1])  # neighbours that share enough to matter
     left, right = order[near], order[near + 1]
@@ -159,9 +168,7 @@ def repeated_cover(text: str, least: int = MIN_REPEAT) -> np.ndarray:
     n = len(text)
     longest = link_lengths(text, least)
     ends = np.flatnonzero(longest >= least)
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, ends + 1 - longest[ends], 1)
-    np.add.at(edge, ends + 1, -1)
+    edge = np.bincount(ends + 1 - longest[ends], minlength=n + 1) - np.bincount(ends + 1, minlength=n + 1)
     return np.cumsum(edge[:n]) > 0
 
 
@@ -173,8 +180,10 @@ def _matter(kinds: np.ndarray, text: str) -> np.ndarray:
     if np.count_nonzero(joint & letter[:-2] & letter[2:]) >= 3:
         for m in SPELLINGS.finditer(text):
             matter[m.start() : m.end()] = True
-    gaps = np.flatnonzero(kinds & HEXADECIMAL == 0)
-    if len(kinds) > 16 and np.diff(gaps, prepend=-1, append=len(kinds)).max() > 16:
+    run = kinds & HEXADECIMAL > 0
+    for k in (1, 2, 4, 8):  # whether sixteen stand in a row
+        run = run[:-k] & run[k:] if len(run) > k else run[:0]
+    if run.any():
         for m in DIGESTS.finditer(text):
             matter[m.start() : m.end()] = True
     return matter
