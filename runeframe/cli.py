@@ -36,7 +36,8 @@ def arguments(argv: list[str]) -> argparse.Namespace:
         find.add_argument(f"--{name}")
     find.add_argument("--limit", type=int, default=search.LIMIT)
     find.add_argument("--window", type=int, default=search.WINDOW)
-    find.add_argument("--chars", type=int, default=search.CHARS)
+    find.add_argument("--chars", type=int, default=search.CHARS, help="characters of a body that are shown")
+    find.add_argument("--full", action="store_true", help="show whole bodies")
     find.add_argument("--json", action="store_true")
     find.add_argument("--exports", help="warn where the index is older than these exports")
     log = sub.add_parser("log", help="add, list or search log entries")
@@ -45,21 +46,19 @@ def arguments(argv: list[str]) -> argparse.Namespace:
     log.add_argument("term", nargs="?")
     for name in ("section", "method", "verdict", "params", "coverage", "notes"):
         log.add_argument(f"--{name}")
-    log.add_argument("--sections", default="", help="known sections, separated by commas")
+    log.add_argument("--sections", default="", help="known sections: their table (a .csv file), or ids separated by commas")
     log.add_argument("--json", action="store_true")
     sub.add_parser("verify", help="run the drift checks of the built-in tables")
     return top.parse_args(argv)
 
 
-def render_blocks(blocks: DataFrame, chars: int) -> str:
-    """Blocks as text: ``>`` marks hits, long bodies are cut. A search's limit bounds the blocks."""
+def render_blocks(blocks: DataFrame) -> str:
+    """Blocks as text: ``>`` marks hits, cut bodies end in dots. A search's limit bounds the blocks."""
     out = []
-    for b in blocks.orderBy("rank", "block").collect():
+    for b in blocks.orderBy("rank", "channel", "block").collect():
         out.append(f"== {b['channel']} {b['first_seq']}-{b['last_seq']}")
         for m in b["messages"]:
-            body = (m["body"] or "(no text)")[:chars]
-            more = " ..." if m["truncated"] or len(m["body"] or "") > chars else ""
-            out.append(f"{'>' if m['matched'] else ' '} {m['line']} {m['ts']} {m['author']}: {body}{more}" + (f"  [{m['note']}]" if m["note"] else ""))
+            out.append(f"{'>' if m['matched'] else ' '} {m['line']} {m['ts']} {m['author']}: {m['body'] or '(no text)'}{' ...' if m['truncated'] else ''}" + (f"  [{m['note']}]" if m["note"] else ""))
     return "\n".join(out) or "no hits"
 
 
@@ -68,7 +67,8 @@ def _search(spark: SparkSession, a: argparse.Namespace) -> int:
         raise InvalidQuery("give a query, a sequence or the channel list, and one of them only")
     if a.limit < 1 or a.window < 0 or a.chars < 1:
         raise InvalidQuery("limit and chars must be positive, window must not be negative")
-    messages = search.archive(indexstore.load(spark, a.folder, "messages"))
+    store = indexstore.search_store(spark, a.folder)
+    messages = store.table("messages")
     if a.exports:
         for r in exports.stale(indexstore.load(spark, a.folder, "provenance"), exports.fingerprints(spark, a.exports)).collect():
             print(f"warning: {r['file']} was {r['state']} since the index was built", file=sys.stderr)
@@ -77,7 +77,7 @@ def _search(spark: SparkSession, a: argparse.Namespace) -> int:
         print("\n".join(summary.toJSON().collect() if a.json else (f"{r['n']:>8} {r['channel']} {r['first_ts']} .. {r['last_ts']}" for r in summary.collect())))
         return 0
     filters = search.Filters(a.channel, a.author, a.since, a.until)
-    notation, indices = None, None
+    notation, indices, searched = None, None, None
     if a.runes:
         canon, notation = canonical_query(a.runes)
         indices = [CANON.index(c) for c in canon]
@@ -87,21 +87,21 @@ def _search(spark: SparkSession, a: argparse.Namespace) -> int:
         _, searched, fell_back = parse(a.query)
         if fell_back:
             print(f"note: searched {searched} instead; every word is required", file=sys.stderr)
-        hits, order = search.text_hits(messages, a.query, filters, a.limit), [F.col("score"), F.col("id")]
+        hits, order = store.text_hits(a.query, filters, a.limit), [F.col("score"), F.col("id")]
     ranked = hits.withColumn("rank", F.row_number().over(Window.orderBy(*order))).cache()
-    blocks = search.context_blocks(messages, ranked, a.window)
-    print(search.result_json(blocks, a.runes or a.query, ranked.count(), notation, indices).first()["json"] if a.json else render_blocks(blocks, a.chars))
+    blocks = store.context_blocks(ranked, a.window, None if a.full else a.chars)
+    print(search.result_json(blocks, a.runes or a.query, ranked.count(), notation, indices, searched).first()["json"] if a.json else render_blocks(blocks))
     return 0
 
 
 def _log(spark: SparkSession, a: argparse.Namespace) -> int:
-    known = {s for s in a.sections.split(",") if s}
+    known = explog.known_sections(spark, a.sections) if a.sections.endswith(".csv") else {s for s in a.sections.split(",") if s}
     if a.action == "add":
         print(f"logged #{explog.add(a.path, known, a.section or '', a.method or '', a.verdict or 'running', a.params, a.coverage or '', a.notes or '')}")
         return 0
     entries, bad = explog.read_log(spark, a.path)
     for r in bad.collect():
-        print(f"warning: unreadable line {r['raw'][:60]!r}", file=sys.stderr)
+        print(f"warning: unreadable line {r['line']}: {r['raw'][:60]!r}", file=sys.stderr)
     entries = explog.matching(entries, known or None, a.section, a.verdict)
     if a.action == "search":
         entries = explog.searching(entries, a.term or "")

@@ -11,7 +11,6 @@ import re
 import unicodedata
 from dataclasses import dataclass
 from functools import cache
-from itertools import permutations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,18 +100,45 @@ class Phrase:
         """Occurrences; overlapping ones count."""
         return self.matches(joined).cast("int") if self.opens else F.regexp_count(joined, F.lit(f"(?={self.pattern()})"))
 
+    def starts(self, words: Column) -> Column:
+        """Places in an array of words at which the phrase begins."""
+        size, last = len(self.words), self.words[-1]
+
+        def here(i: Column) -> Column:
+            ends = F.get(words, i + size - 1)
+            whole = F.startswith(ends, F.lit(last)) if self.prefix else ends == last
+            for k, w in enumerate(self.words[:-1]):
+                whole = whole & (F.get(words, i + k) == w)
+            return whole & (i == 0) if self.opens else whole
+
+        places = F.when(F.size(words) >= size, F.sequence(F.lit(0), F.size(words) - size)).otherwise(F.array().cast("array<int>"))
+        return F.filter(places, here)
+
 
 @dataclass(frozen=True)
 class Near:
-    """Phrases with at most ``distance`` words between the first and the last."""
+    """Any number of phrases, each ending at most ``distance`` words before the one that starts last."""
 
     phrases: tuple[Phrase, ...]
     distance: int
 
     def matches(self, joined: Column) -> Column:
-        gap = rf"(?:\S+ ){{0,{self.distance}}}"
-        orders = ["(?: " + f" {gap}".join(" ".join(p.words) + (r"\S*" if p.prefix else "") for p in order) + " )" for order in permutations(self.phrases)]
-        return joined.rlike("|".join(orders))
+        words = F.filter(F.split(joined, " "), lambda w: w != "")
+        starts = [p.starts(words) for p in self.phrases]
+
+        def within(places: Column, reach: int, at: Column) -> Column:
+            return F.exists(places, lambda i: (i <= at) & (i + reach >= at))
+
+        def last(at: Column) -> Column:
+            near = F.lit(True)
+            for p, places in zip(self.phrases, starts):
+                near = near & within(places, len(p.words) + self.distance, at)
+            return near
+
+        every = F.lit(True)
+        for p in self.phrases:  # the cheap test first
+            every = every & p.matches(joined)
+        return F.when(every, F.exists(F.flatten(F.array(*starts)), last)).otherwise(False)
 
 
 @dataclass(frozen=True)
@@ -212,8 +238,8 @@ class _Parser:
                 self.take()
                 distance = int(self.take())
             self.take(")")
-            if not phrases or len(phrases) > 4:
-                raise SyntaxError("NEAR takes one to four phrases")
+            if not phrases:
+                raise SyntaxError("NEAR without a phrase")
             return Near(tuple(phrases), distance) if len(phrases) > 1 else phrases[0]
         return self.phrase()
 
@@ -238,13 +264,20 @@ class _Parser:
         return Phrase(tuple(words), prefix, opens)
 
 
+#: Outside quotes: a column filter, or a hyphen before a word, which is read as one.
+_COLUMN = re.compile(r"\w+\s*:|-\s*(?=\w)")
+
+
 def parse(query: str) -> tuple[object, str, bool]:
     """``(tree, query searched, fell back)``.
 
-    A query that is not valid in the query language is searched as its quoted words, all required;
-    that includes words with a hyphen, which other dialects read as a column filter. Without any
-    word it is refused.
+    A query that is not valid in the query language is searched as its quoted words, all required.
+    A column filter is refused, as the index of texts and that of neighbourhoods share no column,
+    and so is a query without any word.
     """
+    bare = re.sub(r'"(?:[^"]|"")*"', " ", query)
+    if named := _COLUMN.search(bare):
+        raise InvalidQuery(f"no such column: {named[0].strip(' :-') or bare[named.end() :].split()[0]} in {query!r}; quote words with a hyphen or colon")
     try:
         return _Parser(query).whole(), query, False
     except (SyntaxError, ValueError):
@@ -266,10 +299,18 @@ def ranked(docs: DataFrame, id_col: str, joined_col: str, tree) -> DataFrame:  #
     # one narrow row per document, written once: both the figures and the scores read it
     base = cut_lineage(docs.select(F.col(id_col).alias("id"), token_count(joined).alias("dl"), *(p.count(joined).alias(f"tf{i}") for i, p in enumerate(phrases)), tree.matches(joined).alias("hit")))
     figures = base.agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("avgdl"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(phrases))))
+    score = bm25([F.col(f"tf{i}") for i in range(len(phrases))], [F.col(f"df{i}") for i in range(len(phrases))])
+    return base.where("hit").join(F.broadcast(figures)).select("id", score.alias("score"))
+
+
+def bm25(tfs: list[Column], dfs: list[Column]) -> Column:
+    """BM25 of a document, negated so that the best is the smallest, from counts of its phrases and of the documents that hold them.
+
+    ``dl``, ``docs`` and ``avgdl`` are columns. A phrase in more than half of the documents keeps a small positive weight.
+    """
     score = F.lit(0.0)
-    for i in range(len(phrases)):
-        df, tf = F.col(f"df{i}"), F.col(f"tf{i}")
+    for tf, df in zip(tfs, dfs):
         ratio = (F.col("docs") - df + 0.5) / (df + 0.5)
         idf = F.greatest(F.log(F.greatest(ratio, F.lit(1e-300))), F.lit(1e-6))
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return base.where("hit").join(F.broadcast(figures)).select("id", (-score).alias("score"))
+    return -score

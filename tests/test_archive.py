@@ -11,191 +11,271 @@ from runeframe.functions import alphabet as A
 from runeframe.operators import runetext, search, textindex, verify
 from runeframe.sources import exports, explog, indexstore, transcriptions
 
-EXPORT = """Guild: Archive
-Channel: Pages / 54-55-jpg
+HALL = """Guild: Orchard Keepers
+Topic: whatever comes
+Channel:  Rooms / lantern hall
 
-[3/14/2021 9:05 AM] alice
-first message
+[11/2/2017 11:58 PM] wren
+the night shift starts
 
-[3/14/2021 9:06 AM] bob (pinned)
-runes ᚠᚢᚦᚩᚱᚳ here
-second line
+and goes on in a second paragraph
 
-[3/14/2021 9:07 AM] carol
-indices 19, 21, 23, 27 and a matrix
-1 0 0
-0 -1 0
+[11/3/2017 12:00 AM] moss-7 (pinned)
+carved over the door: ᛋᛏᚪᚱ
+and beside it 15 16 24 4 26 15
 
-[3/14/2021 9:08 AM] dave
-{Attachments}
-https://example.invalid/a.png
+[11/3/2017 1:15 PM] tarn
+{Embed}
+A title
+https://pics.example/tree.png
 
-text again
-[3/14/2021 9:09 AM] quoted in a paragraph
+back in my own words
+[11/3/2017 1:16 PM] nobody, quoted in a paragraph
 
-[1/2/2020 9:99 PM] impossible
-tail
+[13/40/2017 1:16 PM] on no such day
+the end
+
+[11/4/2017 9:00 AM] wren
+{Reactions}
+:owl: (2)
 """
 
 
 @pytest.fixture(scope="module")
 def exported(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("exports")
-    (folder / "54-55.txt").write_bytes(EXPORT.encode())
-    (folder / "crlf.txt").write_bytes(b"\r\n[1/2/2020 9:09 PM] eve\r\nhello\r\n")
-    (folder / "empty.txt").write_text("Guild: x\nChannel: y\n", encoding="utf-8")
+    (folder / "hall.txt").write_bytes(HALL.encode())
+    (folder / "attic.txt").write_bytes("\r\n[7/9/2018 6:30 AM] finch\r\n  dust  \r\n".encode())
+    (folder / "zero.txt").write_text("Guild: Orchard Keepers\nChannel: nothing here\n", encoding="utf-8")
     return str(folder)
 
 
-def test_export_parse(spark, exported):
-    got = {(r["channel"], r["seq"]): r for r in exports.parse_exports(exports.read_exports(spark, exported)).collect()}
-    assert sorted(r["id"] for r in got.values()) == [1, 2, 3, 4, 5]
-    a = got["54-55", 1]
-    assert (a["channel_name"], a["ts"], a["author"], a["pinned"], a["body"], a["line"]) == ("Pages / 54-55-jpg", "2021-03-14 09:05", "alice", False, "first message", 4)
-    assert got["54-55", 2]["pinned"] and got["54-55", 2]["author"] == "bob" and got["54-55", 2]["body"] == "runes ᚠᚢᚦᚩᚱᚳ here\nsecond line"
-    d = got["54-55", 4]
-    assert d["extra"] == "{Attachments}\nhttps://example.invalid/a.png"
-    assert d["body"] == "text again\n[3/14/2021 9:09 AM] quoted in a paragraph\n[1/2/2020 9:99 PM] impossible\ntail"
-    assert got["crlf", 1]["body"] == "hello" and got["crlf", 1]["channel_name"] == "crlf"
-
-
-def test_broken_bytes_fail(spark, tmp_path):
-    (tmp_path / "x.txt").write_bytes(b"[1/2/2020 9:09 PM] eve\n\xff\xfe")
+def test_exports_become_messages(spark, exported):
+    parsed = exports.parse_exports(exports.read_exports(spark, exported)).orderBy("id").collect()
+    shown = [(r["id"], r["channel"], r["channel_name"], r["seq"], r["ts"], r["author"], r["pinned"], r["line"]) for r in parsed]
+    assert shown == [
+        (1, "attic", "attic", 1, "2018-07-09 06:30", "finch", False, 2),
+        (2, "hall", "Rooms / lantern hall", 1, "2017-11-02 23:58", "wren", False, 5),
+        (3, "hall", "Rooms / lantern hall", 2, "2017-11-03 00:00", "moss-7", True, 10),
+        (4, "hall", "Rooms / lantern hall", 3, "2017-11-03 13:15", "tarn", False, 14),
+        (5, "hall", "Rooms / lantern hall", 4, "2017-11-04 09:00", "wren", False, 25),
+    ]
+    assert [(r["body"], r["extra"]) for r in parsed] == [
+        ("dust", ""),
+        ("the night shift starts\nand goes on in a second paragraph", ""),
+        ("carved over the door: ᛋᛏᚪᚱ\nand beside it 15 16 24 4 26 15", ""),
+        ("back in my own words\n[11/3/2017 1:16 PM] nobody, quoted in a paragraph\n[13/40/2017 1:16 PM] on no such day\nthe end", "{Embed}\nA title\nhttps://pics.example/tree.png"),
+        ("", "{Reactions}\n:owl: (2)"),
+    ]
+
+
+def test_a_file_of_another_encoding_fails(spark, tmp_path):
+    (tmp_path / "old.txt").write_bytes("[7/9/2018 6:30 AM] finch\nné".encode("latin-1"))
     with pytest.raises(Exception, match="UTF-8"):
         exports.read_exports(spark, str(tmp_path)).collect()
 
 
-def test_index_is_published_whole_or_not_at_all(spark, exported, tmp_path, rows):
-    folder = str(tmp_path / "index")
-    first = indexstore.build(spark, exported, folder)
-    runs = indexstore.load(spark, folder, "runes")
-    assert sorted((r["notation"], r["canon"]) for r in runs.collect()) == [("numeric", "tvx1"), ("runic", "abcdef")]
+def test_an_index_replaces_the_last_one_only_when_whole(spark, exported, tmp_path, rows):
+    place = tmp_path / "index"
+    version = indexstore.build(spark, exported, str(place))
     with pytest.raises(Exception):
-        indexstore.build(spark, exported + "-missing", folder)
-    assert (tmp_path / "index" / "_CURRENT").read_text() == first
-    now = exports.fingerprints(spark, exported)
-    assert exports.stale(indexstore.load(spark, folder, "provenance"), now).count() == 0
-    assert rows(exports.stale(now.where("file <> 'crlf.txt'"), now)) == [("crlf.txt", "added")]
+        indexstore.build(spark, str(tmp_path / "absent"), str(place))
+    assert (place / indexstore.POINTER).read_text() == version
+    found = indexstore.load(spark, str(place), "runes").select("notation", "canon", "n")
+    assert rows(found) == [("numeric", "pqye0p", 6), ("runic", "pqye", 4)]
+    now, then = exports.fingerprints(spark, exported), indexstore.load(spark, str(place), "provenance")
+    assert exports.stale(then, now).isEmpty()
+    longer = now.withColumn("bytes", F.when(F.col("file") == "hall.txt", 1).otherwise(F.col("bytes")))
+    assert rows(exports.stale(then.where("file <> 'attic.txt'"), longer.where("file <> 'zero.txt'"))) == [("attic.txt", "added"), ("hall.txt", "changed"), ("zero.txt", "removed")]
 
 
-def small_archive(spark):
-    texts = ["first message about autokey", "autokey", "nothing here", "Café running key", "key running", "the skip search failed", "spiral"]
-    data = [(i + 1, "c", i + 1, f"2021-03-14 09:{i:02d}", "Alice" if i % 2 else "bob", False, t, i + 4) for i, t in enumerate(texts)]
-    data += [(20, "d", 1, "2021-03-14 20:00", "zoe", True, "first elsewhere", 4), (21, "d", 2, "2021-03-15 09:00", "zoe", False, None, 8)]
-    return search.archive(spark.createDataFrame(data, "id long, channel string, seq int, ts string, author string, pinned boolean, body string, line int"))
+ROOM = ["owls at dusk", "dusk owls", "a lantern burned", "naïve reading of the carving", "carving, reading, carving", "one two three four five owls", None]
 
 
-@pytest.mark.parametrize("query,ids", [("first", {1, 20}), ("firs*", {1, 20}), ("first OR spiral", {1, 7, 20}), ("first NOT autokey", {20}), ('"running key"', {4}), ("NEAR(key running, 2)", {4, 5}), ("cafe", {4}), ("^autokey", {2}), ("(first OR key) NOT elsewhere", {1, 4, 5}), ("running + key", {4}), ("nonexistentterm", set())])
-def test_query_language(spark, query, ids):
-    tree, _, fell_back = textindex.parse(query)
-    assert not fell_back
-    assert {r["id"] for r in small_archive(spark).where(tree.matches(textindex.tokens(F.col("body")))).collect()} == ids
+@pytest.fixture(scope="module")
+def room(spark):
+    columns = "id long, channel string, seq int, ts string, author string, pinned boolean, body string, line int"
+    data = [(10 + i, "room", i + 1, f"2017-11-03 1{i}:30", ("Wren", "tarn")[i % 2], False, t, 3 * i) for i, t in enumerate(ROOM)]
+    data += [(30, "shed", 1, "2018-01-01 08:00", "finch", True, "owls elsewhere", 4), (31, "shed", 2, "2018-01-02 08:00", "finch", False, "lantern", 8)]
+    return search.archive(spark.createDataFrame(data, columns))
+
 
+MATCHES = [
+    ("owls", {10, 11, 15, 30}), ("lant*", {12, 31}), ("owls lantern", set()), ("lantern OR dusk", {10, 11, 12, 31}), ("owls NOT dusk", {15, 30}), ('"owls at"', {10}), ('"at owls"', set()), ("NAIVE", {13}),
+    ("^dusk", {11}), ("^owls", {10, 30}), ("reading + of", {13}), ("(lantern OR owls) NOT (dusk OR elsewhere)", {12, 15, 31}), ("NEAR(owls dusk, 1)", {10, 11}), ("NEAR(one five, 2)", set()), ("NEAR(one five, 3)", {15}),
+    ("NEAR(one two three four five owls, 3)", set()), ("NEAR(one two three four five owls, 4)", {15}), ("NEAR(five owls one three two four, 4)", {15}), ('NEAR("two three" owls five one "three four", 4)', {15}), ("nowhere", set()),
+]
 
-@pytest.mark.parametrize("query,searched", [("auto(key", '"auto" "key"'), ("first AND", '"first" "AND"'), ("NEAR/", '"NEAR"'), ("54-55", '"54" "55"')])
-def test_invalid_syntax_falls_back_to_words(query, searched):
+
+@pytest.mark.parametrize("query,ids", MATCHES)
+def test_query_language(room, query, ids):
+    tree, searched, fell_back = textindex.parse(query)
+    assert (searched, fell_back) == (query, False)
+    assert {r["id"] for r in room.where(tree.matches(textindex.tokens(F.col("body")))).collect()} == ids
+
+
+@pytest.mark.parametrize("query,searched", [("owls (", '"owls"'), ("AND dusk", '"AND" "dusk"'), ("dusk OR", '"dusk" "OR"'), ("NEAR(a", '"NEAR" "a"')])
+def test_what_is_no_query_is_searched_as_words(query, searched):
     assert textindex.parse(query)[1:] == (searched, True)
 
 
-def test_refused_searches(spark):
-    for bad in (lambda: textindex.parse('"'), lambda: search.text_hits(small_archive(spark), "x", limit=0), *(lambda v=v: search.Filters(since=v) for v in ("March", "2021-99-99", "2021-13-01", "2021-02-30", "2021-00-05"))):
+BAD_DATES = ["soon", "17", "2017-2", "2017-00", "2017-04-31", "2017-11-3", "2017/11/03", "2017-11-03 10:00", "0000"]
+
+
+@pytest.mark.parametrize("value", BAD_DATES)
+def test_dates_that_do_not_exist(value):
+    for side in ("since", "until"):
+        with pytest.raises(textindex.InvalidQuery, match=side):
+            search.Filters(**{side: value})
+
+
+def test_refused_searches(room):
+    for bad in (lambda: textindex.parse("!?"), lambda: textindex.parse(""), lambda: textindex.parse("lamp-post"), lambda: textindex.parse("body: owls"), lambda: textindex.parse("-owls"), lambda: search.text_hits(room, "owls", limit=-1)):
         with pytest.raises(textindex.InvalidQuery):
             bad()
-    for fine in ("2021", "2021-03", "2021-03-14"):
-        search.Filters(since=fine, until=fine)
+    assert not textindex.parse('"lamp-post" owls')[2]
+    assert search.Filters(since="2016-02-29", until="2017") and search.Filters(since="2017-11")
 
 
-def test_text_search_ranks_by_neighbourhood_and_filters(spark):
-    m = small_archive(spark)
-    hits = search.text_hits(m, "autokey").collect()
-    assert {h["id"] for h in hits} == {1, 2} and all(h["score"] < 0 for h in hits)
-    assert {h["id"] for h in search.text_hits(m, "first", search.Filters(author="zo")).collect()} == {20}
-    assert search.text_hits(m, "first", search.Filters(since="2022")).count() == 0
-    assert search.text_hits(m, "first", search.Filters(until="2021")).count() == 2
+def test_text_hits_filter_and_rank(room):
+    ids = lambda *a, **k: {r["id"] for r in search.text_hits(room, *a, **k).collect()}
+    assert ids("owls") == {10, 11, 15, 30} and all(r["score"] < 0 for r in search.text_hits(room, "owls").collect())
+    assert len(ids("owls", limit=2)) == 2
+    assert ids("owls", search.Filters(author="FIN")) == {30} and ids("owls", search.Filters(channel="room", author="wr")) == {10}
+    assert ids("owls", search.Filters(since="2018")) == {30} and ids("owls", search.Filters(until="2017-11")) == {10, 11, 15}
 
 
-def test_neighbourhood_needs_time_and_place(spark):
-    got = {r["id"]: r["text"] for r in textindex.neighbourhoods(small_archive(spark)).collect()}
-    assert got[1] == "first message about autokey\nautokey\nnothing here" and got[20] == "first elsewhere" and got[21] == ""
+def test_neighbourhoods_need_time_and_place(room):
+    around = {r["id"]: r["text"].split("\n") for r in textindex.neighbourhoods(room).collect()}
+    assert around[12] == [t for t in ROOM[:5]] and around[10] == ROOM[:3]
+    assert around[30] == ["owls elsewhere"] and around[31] == ["lantern"]
+    assert around[16] == [*ROOM[4:6], ""]
 
 
-def test_blocks_merge_and_json_keeps_its_keys(spark):
-    m = small_archive(spark)
-    hits = spark.createDataFrame([(1, "c", 1, 2, None), (3, "c", 3, 1, "note"), (20, "d", 1, 3, None)], "id long, channel string, seq int, rank int, note string")
-    blocks = {(b["channel"], b["block"]): b for b in search.context_blocks(m, hits, 1).collect()}
-    assert blocks["c", 1]["first_seq"] == 1 and blocks["c", 1]["last_seq"] == 4 and blocks["c", 1]["rank"] == 1
-    assert [x["matched"] for x in blocks["c", 1]["messages"]] == [True, False, True, False]
+def test_blocks_merge_and_json_keeps_its_keys(spark, room):
+    hits = spark.createDataFrame([(10, "room", 1, 3, None), (12, "room", 3, 1, "why"), (16, "room", 7, 2, None), (31, "shed", 2, 4, None)], "id long, channel string, seq int, rank int, note string")
+    blocks = search.context_blocks(room, hits, 1).orderBy("rank", "channel", "block").collect()
+    assert [(b["channel"], b["rank"], b["first_seq"], b["last_seq"]) for b in blocks] == [("room", 1, 1, 4), ("room", 1, 6, 7), ("shed", 4, 1, 2)]
+    assert [(m["seq"], m["matched"], m["note"]) for m in blocks[0]["messages"]] == [(1, True, None), (2, False, None), (3, True, "why"), (4, False, None)]
+    keys = set()
     for chosen in (hits, hits.limit(0)):
-        shown = json.loads(search.result_json(search.context_blocks(m, chosen, 1), "q", chosen.count()).first()["json"])
-        assert {"query", "notation", "indices", "hits", "conversations"} <= set(shown)
-
-
-def test_sequence_search(spark, rows):
-    runs = spark.createDataFrame([(1, 1, "runic", "ᚠᚢᚦ  x", "abc", 3), (2, 1, "numeric", "0 1 2 3", "abcd", None), (3, 2, "runic", "ᚠᚢ", "ab", 2)], "id long, msg_id long, notation string, raw string, canon string, n int")
-    assert [(r["id"], r["n"], r["note"]) for r in search.sequence_hits(small_archive(spark), runs, "F-U-TH").collect()] == [(1, 4, "numeric: 0 1 2 3")]
+        shown = json.loads(search.result_json(search.context_blocks(room, chosen, 1), "q", chosen.count(), searched='"q"').first()["json"])
+        keys.add(tuple(sorted(shown)))
+        assert shown["hits"] == chosen.count() and len(shown["conversations"]) == (3 if shown["hits"] else 0)
+        for c in shown["conversations"]:
+            assert {"channel", "channel_name", "file", "messages"} <= set(c) and c["file"] == c["channel"] + ".txt"
+    assert keys == {("conversations", "hits", "indices", "notation", "query", "searched")}
+
+
+def test_long_bodies_are_cut_where_asked(spark):
+    long = spark.createDataFrame([(1, "c", 1, "2017-11-03 10:00", "wren", False, "owl " * 1000, 1)], "id long, channel string, seq int, ts string, author string, pinned boolean, body string, line int")
+    hits = spark.createDataFrame([(1, "c", 1, 1)], "id long, channel string, seq int, rank int")
+    for chars, shown in ((600, 600), (2000, 2000), (None, 4000)):
+        m = search.context_blocks(search.archive(long), hits, 1, chars).first()["messages"][0]
+        assert len(m["body"]) == shown and m["truncated"] == (shown < 4000)
+
+
+def test_stored_index_answers_like_the_archive(spark, room, tmp_path, rows):
+    indexstore.write_search(room, str(tmp_path / "s"))
+    store = indexstore.SearchStore(spark, str(tmp_path / "s"))
+    rounded = lambda df: sorted((r["id"], r["channel"], r["seq"], round(r["score"], 9)) for r in df.collect())
+    for query, _ in MATCHES[1::3]:
+        assert rounded(store.text_hits(query)) == rounded(search.text_hits(room, query)), query
+    for filters in (search.Filters(author="fin"), search.Filters(since="2018"), search.Filters(channel="room", until="2017")):
+        assert rounded(store.text_hits("owls OR lantern", filters)) == rounded(search.text_hits(room, "owls OR lantern", filters))
+    hits = store.text_hits("owls").withColumn("rank", F.lit(1))
+    assert store.context_blocks(hits, 1).count() == search.context_blocks(room, hits, 1).count()
+
+
+def test_sequence_search(spark, room):
+    runs = spark.createDataFrame([(1, 10, "runic", "ᛋᛏᚪᚱ   so", "pqye", 4), (2, 10, "numeric", "15 16 24 4 9", "pqyej", None), (3, 12, "translit", "S-T-A", "pqy", 3)], "id long, msg_id long, notation string, raw string, canon string, n int")
+    found = search.sequence_hits(room, runs, "S-T-A").collect()
+    assert [(r["id"], r["n"], r["note"]) for r in found] == [(10, 5, "numeric: 15 16 24 4 9"), (12, 3, "translit: S-T-A")]
     with pytest.raises(textindex.InvalidQuery):
-        search.sequence_hits(small_archive(spark), runs, "F-U")
+        search.sequence_hits(room, runs, "15 16")
 
 
-def test_transcription_and_rune_rows(spark, rows):
-    pages = spark.createDataFrame([("p1", "&ᚠᚢ-ᚦ/ᚩ 12.5 ᚱ.\nᚳ"), ("p2", "7ᚷ$ᚹ"), ("p3", ""), ("p4", None)], "page string, raw string")
+def test_pages_become_rune_rows(spark, rows):
+    pages = spark.createDataFrame([("one", "§ᛋᛏ-ᚪ/ᚱ 7:3 ᛟ&\nᚹ"), ("two", "x1ᛚ.ᛖ"), ("blank", " "), ("null", None)], "page string, raw string")
     runes, printed, leading = transcriptions.parse_pages(pages)
-    assert [r[1:] for r in rows(runes) if r[0] == "p1"] == [(0, 0, 1, 1, ""), (1, 1, 1, 2, "-"), (2, 2, 1, 3, "/"), (3, 3, 2, 1, ""), (4, 4, 2, 2, "."), (5, 5, 2, 3, "")]
-    assert rows(printed) == [("p1", 3, 0, "12.5"), ("p2", -1, 0, "7")]
-    assert dict(rows(leading)) == {"p1": "&", "p2": "", "p3": "", "p4": ""}
-    words = [w["indices"] for w in runetext.words(runes, "page", printed).where("page = 'p1'").orderBy("part").collect()]
-    assert words == [[0, 1], [2, 3], [4], [5]]
-    moved, shifted = runetext.concat(runes.where("page in ('p1', 'p2')"), "page", "page", printed, leading.where("page in ('p1', 'p2')"))
-    assert [r["idx"] for r in moved.orderBy("pos").collect()] == [0, 1, 2, 3, 4, 5, 6, 7]
-    assert {(r["page"], r["anchor"]) for r in shifted.collect()} == {("p1", 3), ("p2", 5)}
-    part = runes.where("page = 'p1'")
-    for start, stop, step in ((1, 4, 1), (None, None, -1), (None, None, 2), (-3, None, 1), (4, 1, -2), (5, 2, 1)):
-        got = [r["idx"] for r in runetext.slice_rows(part, "page", start, stop, step).orderBy("pos").collect()]
-        assert got == list(range(6))[slice(start, stop, step)], (start, stop, step)
+    assert [r[1:] for r in rows(runes.where("page = 'one'"))] == [(0, 15, 1, 1, ""), (1, 16, 1, 2, "-"), (2, 24, 1, 3, "/"), (3, 4, 2, 1, ""), (4, 22, 2, 2, "&"), (5, 7, 2, 3, "")]
+    assert rows(printed) == [("one", 3, 0, "7:3"), ("two", -1, 0, "x1")]
+    assert dict(rows(leading)) == {"one": "§", "two": "", "blank": "", "null": ""}
+    parts = runetext.words(runes, "page", printed).where("page = 'one'").orderBy("part").collect()
+    assert [w["indices"] for w in parts] == [[15, 16], [24, 4], [22], [7]]
+    moved, shifted = runetext.concat(runes, "page", "page", printed, leading)
+    assert [r["idx"] for r in moved.orderBy("pos").collect()] == [15, 16, 24, 4, 22, 7, 20, 18]
+    assert {(r["page"], r["anchor"]) for r in shifted.collect()} == {("one", 3), ("two", 5)}
     with pytest.raises(Exception, match="outside the alphabet"):
-        transcriptions.parse_pages(spark.createDataFrame([("x", "ᚲ")], "page string, raw string"))[0].collect()
+        transcriptions.parse_pages(spark.createDataFrame([("p", "ᛟᚴ")], "page string, raw string"))[0].collect()
 
 
-def test_sections_by_offset(spark, rows):
-    runes = spark.createDataFrame([(p, i) for p in ("a", "b", "c") for i in range(3)], "page string, pos int")
-    starts = spark.createDataFrame([("a", 1, "0.1"), ("c", 2, "0.10")], "page string, first_rune int, section string")
-    got = rows(runetext.sections_by_offset(runes, F.col("page"), starts))
-    assert [r[2] for r in got] == [None, "0.1", "0.1", "0.1", "0.1", "0.1", "0.1", "0.1", "0.10"]
+def test_slices_follow_sequences(spark):
+    runes = spark.createDataFrame([("p", i, i * 3 % 29, 1, i + 1, "-") for i in range(9)], "page string, pos int, idx int, line int, col int, marks_after string")
+    values = [i * 3 % 29 for i in range(9)]
+    for start, stop, step in ((2, 7, 1), (None, None, -1), (None, -2, 3), (-4, None, 1), (7, 0, -2), (6, 3, 1), (0, 100, 4), (None, None, 1)):
+        got = runetext.slice_rows(runes, "page", start, stop, step).orderBy("pos").collect()
+        assert [r["idx"] for r in got] == values[slice(start, stop, step)], (start, stop, step)
+        assert {r["marks_after"] for r in got} <= ({"-"} if step == 1 else {""})
 
 
-def test_csv_keeps_section_ids(spark, tmp_path, rows):
-    (tmp_path / "s.csv").write_text('section,notes\n0.1,"say ""x"""\n0.10,\n', encoding="utf-8")
-    assert rows(transcriptions.read_csv(spark, str(tmp_path / "s.csv"), "section string, notes string")) == [("0.1", 'say "x"'), ("0.10", "")]
+def test_sections_reach_from_start_to_start(spark, rows):
+    runes = spark.createDataFrame([(p, i) for p in ("leaf-1", "leaf-2", "leaf-3") for i in range(4)], "page string, pos int")
+    starts = spark.createDataFrame([("leaf-1", 2, "4.1"), ("leaf-3", 1, "4.10")], "page string, first_rune int, section string")
+    assert [r[2] for r in rows(runetext.sections_by_offset(runes, F.col("page"), starts))] == [None] * 2 + ["4.1"] * 7 + ["4.10"] * 3
 
 
-def test_log(spark, tmp_path, rows):
-    path, known = str(tmp_path / "log" / "x.jsonl"), {"0.1", "0.2"}
+def test_tables_keep_section_ids(spark, tmp_path, rows):
+    (tmp_path / "t.csv").write_text('section,notes\n4.1,"a ""b"", c"\n4.10,\n', encoding="utf-8")
+    assert rows(transcriptions.read_csv(spark, str(tmp_path / "t.csv"), "section string, notes string")) == [("4.1", 'a "b", c'), ("4.10", "")]
+
+
+def test_log_entries(spark, tmp_path):
+    path, known = str(tmp_path / "deep" / "log.jsonl"), {"4.1", "4.10"}
     entries, bad = explog.read_log(spark, path)
-    assert entries.count() == bad.count() == 0 and explog.next_id(entries).first()[0] == 1
-    with pytest.raises(explog.LogError):
-        explog.add(path, known, "0.05", "m", "running")
-    with ThreadPoolExecutor(6) as pool:
-        assert sorted(pool.map(lambda i: explog.add(path, known, "0.1", f"m{i}", "running", '{"k": 1}' if i else "free text"), range(6))) == [1, 2, 3, 4, 5, 6]
-    explog.add(path, known, "all", "line sep", "solved", notes="a b")
+    assert entries.isEmpty() and bad.isEmpty() and explog.next_id(entries).first()[0] == 1
+    with ThreadPoolExecutor(5) as pool:
+        ids = list(pool.map(lambda k: explog.add(path, known, "4.10", f"sweep {k}", "running", '{"from": 2}' if k % 2 else "by hand"), range(5)))
+    assert sorted(ids) == [1, 2, 3, 4, 5]
+    assert explog.add(path, known, explog.ALL_SECTIONS, "two\u2028lines", "promising", coverage="half", notes="ü") == 6
     entries, bad = explog.read_log(spark, path)
-    assert bad.count() == 0 and explog.next_id(entries).first()[0] == 8
-    assert explog.searching(entries, "VERDICT").count() == 7 and explog.matching(entries, known, "all", "solved").count() == 1
-    with pytest.raises(explog.LogError):
-        explog.matching(entries, known, "0.3")
+    assert entries.count() == 6 and bad.isEmpty() and explog.next_id(entries).first()[0] == 7
+    assert explog.searching(entries, "SWEEP").count() == 5 and explog.searching(entries, "coverage").count() == 6
+    assert [r["id"] for r in explog.matching(entries, known, "all", "promising").collect()] == [6]
+
+
+def test_log_refuses(spark, tmp_path):
+    path, known = str(tmp_path / "log.jsonl"), {"4.1"}
+    for section, verdict in (("4.2", "running"), ("4.1", "perhaps"), ("", "running")):
+        with pytest.raises(explog.LogError):
+            explog.add(path, known, section, "m", verdict)
+    assert not (tmp_path / "log.jsonl").exists()
+    assert explog.add(path, known, "4.1", "m", "solved") == 1
     with open(path, "a", encoding="utf-8") as f:
-        f.write("{broken\n")
-    assert explog.read_log(spark, path)[1].count() == 1
-    with pytest.raises(explog.LogError, match="unreadable"):
-        explog.add(path, known, "0.1", "m", "running")
+        f.write("\n[1]\n{cut off\n")
+    assert [(r["line"], r["raw"]) for r in explog.read_log(spark, path)[1].orderBy("line").collect()] == [(3, "[1]"), (4, "{cut off")]
+    with pytest.raises(explog.LogError, match="3, 4"):
+        explog.add(path, known, "4.1", "m", "running")
+    for section, verdict in (("9.9", None), (None, "perhaps")):
+        with pytest.raises(explog.LogError):
+            explog.matching(explog.read_log(spark, path)[0], known, section, verdict)
+
+
+def test_known_sections_come_from_their_table(spark, tmp_path):
+    columns = [c.split()[0] for c in transcriptions.SECTIONS.split(", ")]
+    rows_ = [",".join([s] + ["", "0"] + [""] * (len(columns) - 3)) for s in ("4.1", "4.10")]
+    (tmp_path / "sections.csv").write_text("\n".join([",".join(columns), *rows_]) + "\n", encoding="utf-8")
+    assert explog.known_sections(spark, str(tmp_path / "sections.csv")) == {"4.1", "4.10"}
 
 
 def test_checks_do_not_pass_over_nothing(spark):
     table = A.alphabet(spark)
     assert all(r["passed"] for r in verify.report([verify.alphabet_check(table), verify.spelling_check(table)]).collect())
-    assert not verify.check("none", table.limit(0), F.lit(False)).first()["passed"]
+    assert not verify.check("nothing", table.limit(0), F.lit(False)).first()["passed"]
+    assert not verify.check("too few", table, F.lit(False), exactly=30).first()["passed"]
     assert verify.skipped(spark, "sentences", "no table").first()["passed"] is None
-    pairs = spark.createDataFrame([("AN END", "yjsjx")], "english string, canon string")
-    assert verify.speller_check(pairs).first()["passed"]
+    wrong = spark.createDataFrame([("A STAR", "ypqye"), ("STAR", "pqyx")], "english string, canon string")
+    assert [r["passed"] for r in (verify.speller_check(wrong.limit(1)).first(), verify.speller_check(wrong).first())] == [True, False]
 
 
 def test_streams_equal_batches(spark, tmp_path):
@@ -210,10 +290,10 @@ def test_streams_equal_batches(spark, tmp_path):
 
 
 def test_solutions_training_and_digest(spark, tmp_path, rows):
-    (tmp_path / "b.md").write_text("AN END", encoding="utf-8")
-    (tmp_path / "a.txt").write_text("two\nlines", encoding="utf-8")
-    assert rows(transcriptions.read_solutions(spark, str(tmp_path))) == [("b.md", "AN END")]
+    for name, text in (("key.md", "A STAR"), ("notes.txt", "owls\nat dusk"), ("area.txt", "x")):
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    assert rows(transcriptions.read_solutions(spark, str(tmp_path))) == [("key.md", "A STAR")]
     texts = transcriptions.training_texts(spark, [(str(tmp_path), "*.md"), (str(tmp_path), "*.txt")])
-    assert [r["text"] for r in texts.orderBy("o").collect()] == ["AN END", "two\nlines"]
-    paths = [str(tmp_path / n) for n in ("a.txt", "b.md")]
+    assert [r["text"] for r in texts.orderBy("o").collect()] == ["A STAR", "x", "owls\nat dusk"]
+    paths = [str(tmp_path / n) for n in ("area.txt", "key.md")]
     assert transcriptions.corpus_digest(paths) != transcriptions.corpus_digest(paths[::-1]) and len(transcriptions.corpus_digest(paths)) == 64

@@ -1,64 +1,89 @@
-"""Exit codes and output of the command line, and the column form of sequence queries."""
+"""Exit codes and output of the command line."""
 
 import json
 
 import pytest
 
 from runeframe import cli
-from runeframe.operators import notation
-from tests_support import EXPORT_TEXT
+from runeframe.sources.transcriptions import SECTIONS
+
+LETTERS = """Guild: Orchard Keepers
+Channel: Letters
+
+[5/6/2016 8:00 AM] finch
+dear gardener, the owls are back
+
+[5/6/2016 8:40 AM] wren (pinned)
+they sit over ᛟᚹᛚᛖᛏ
+"""
 
 
 @pytest.fixture(scope="module")
 def index(spark, tmp_path_factory):
-    folder = tmp_path_factory.mktemp("cli")
-    (folder / "x").mkdir()
-    (folder / "x" / "54-55.txt").write_text(EXPORT_TEXT, encoding="utf-8")
-    assert cli.main(["index", str(folder / "x"), str(folder / "i")]) == 0
-    return str(folder / "i")
+    folder = tmp_path_factory.mktemp("letters")
+    (folder / "in").mkdir()
+    (folder / "in" / "letters.txt").write_text(LETTERS, encoding="utf-8")
+    assert cli.main(["index", str(folder / "in"), str(folder / "out")]) == 0
+    return str(folder / "out")
 
 
-def test_search(index, capsys):
-    capsys.readouterr()
-    assert cli.main(["search", index, "first", "--json"]) == 0
-    found = json.loads(capsys.readouterr().out)
-    assert found["hits"] == 1 and found["conversations"][0]["channel"] == "54-55"
-    assert cli.main(["search", index, "--runes", "F-U-TH"]) == 0
-    assert "> 7 2021-03-14 09:06 bob" in capsys.readouterr().out
-    assert cli.main(["search", index, "nonexistentterm"]) == 0
-    assert "no hits" in capsys.readouterr().out
-    assert cli.main(["search", index, "--channels"]) == 0
-
-
-@pytest.mark.parametrize("args", [["first", "--limit", "0"], ["first", "--window", "-1"], ["first", "--since", "March"], ["first", "--runes", "0 1 2"], ["--runes", "F-U"], ["--runes", "2025"], ['"']])
-def test_bad_queries(index, args):
+@pytest.fixture
+def run(index, capsys):
+    def one(*args):
+        capsys.readouterr()
+        code = cli.main(["search", index, *args])
+        return code, capsys.readouterr().out
+
+    return one
+
+
+def test_text_search_prints_blocks(run):
+    code, out = run("owls")
+    assert code == 0 and "> 4 2016-05-06 08:00 finch: dear gardener, the owls are back" in out and "  7 2016-05-06 08:40 wren" in out
+    assert run("griffins") == (0, "no hits\n")
+
+
+def test_json_holds_what_was_searched(run):
+    code, out = run("owls", "--json", "--full")
+    found = json.loads(out)
+    assert code == 0 and (found["query"], found["searched"], found["hits"]) == ("owls", "owls", 1)
+    [talk] = found["conversations"]
+    assert (talk["channel"], talk["channel_name"], talk["file"]) == ("letters", "Letters", "letters.txt") and len(talk["messages"]) == 2
+    assert json.loads(run("owls (", "--json")[1])["searched"] == '"owls"'
+
+
+def test_sequence_search_and_channels(run):
+    code, out = run("--runes", "OE-W-L")
+    assert code == 0 and "wren" in out and "runic" in out
+    code, out = run("--channels")
+    assert code == 0 and "2 letters" in out
+
+
+BAD = [["owls", "--limit", "-3"], ["owls", "--window", "-2"], ["owls", "--chars", "0"], ["owls", "--until", "2016-13"], ["owls", "--runes", "5 6 7"], ["--runes", "OE-W"], ["--runes", "567"], ["?!"], ["lamp-post"], []]
+
+
+@pytest.mark.parametrize("args", BAD)
+def test_bad_questions_end_with_two(index, args):
     assert cli.main(["search", index, *args]) == 2
 
 
 def test_missing_places(spark, tmp_path):
-    assert cli.main(["index", str(tmp_path / "none"), str(tmp_path / "i")]) == 1
-    assert cli.main(["search", str(tmp_path / "none"), "first"]) == 2
+    nowhere = str(tmp_path / "nowhere")
+    assert cli.main(["index", nowhere, str(tmp_path / "out")]) == 1 and cli.main(["search", nowhere, "owls"]) == 2
 
 
 def test_log(spark, tmp_path, capsys):
-    log = ["log", str(tmp_path / "log.jsonl")]
+    columns = [c.split()[0] for c in SECTIONS.split(", ")]
+    (tmp_path / "sections.csv").write_text(",".join(columns) + "\n" + ",".join(["4.1", "", "0"] + [""] * (len(columns) - 3)) + "\n", encoding="utf-8")
+    log, known = ["log", str(tmp_path / "log.jsonl")], ["--sections", str(tmp_path / "sections.csv")]
     assert cli.main([*log, "list"]) == 0 and "no entries" in capsys.readouterr().out
-    assert cli.main([*log, "add", "--section", "0.9", "--sections", "0.1"]) == 2
-    assert cli.main([*log, "add", "--section", "0.1", "--sections", "0.1", "--method", "shift"]) == 0
+    assert cli.main([*log, "add", "--section", "4.2", *known]) == 2
+    assert cli.main([*log, "add", "--section", "4.1", "--method", "rail fence", *known]) == 0
+    assert cli.main([*log, "add", "--section", "4.5", "--sections", "4.4,4.5"]) == 0
     capsys.readouterr()
-    assert cli.main([*log, "search", "SHIFT"]) == 0 and "#1" in capsys.readouterr().out
+    assert cli.main([*log, "search", "Rail"]) == 0
+    assert [line[:2] for line in capsys.readouterr().out.splitlines() if line.startswith("#")] == ["#1"]
 
 
 def test_verify(spark, capsys):
     assert cli.main(["verify"]) == 0 and "FAIL" not in capsys.readouterr().out
-
-
-def test_query_column_agrees_with_the_driver(spark):
-    queries = ["ᚠᚢᚦᚩᚱᚳ", "0 1 2 3 4 5", "F-U-TH-O-R-C", "20 25", "19-21-23-27", "2025", "123", "3301", "0,-2,-4,-6", "-1 2 3 4", "F-U-TH-2", "hello ᚠᚡ world", "F-U-TH-ᚠ", "ᚠᚢᚦ 3301", "ᚱᚲᚳ", "", "hello"]
-    df = spark.createDataFrame([(q,) for q in queries], "q string")
-    for q, got in df.select("q", notation.canonical_query_column(df.q).alias("r")).collect():
-        try:
-            want = notation.canonical_query(q)
-        except notation.UnreadableQuery:
-            want = None
-        assert (tuple(got) if got else None) == want, q

@@ -1,6 +1,9 @@
 """Alphabet, statistics, fitness, keyed transforms and notation."""
 
+import math
 import random
+import unicodedata
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,168 +12,221 @@ from runeframe.functions import alphabet as A
 from runeframe.operators import cipher as C
 from runeframe.operators import fitness, notation, stats
 
+X = "x"
 
-def one(spark, value, **columns):
-    names = ", ".join(f"{k} {'array<int>' if isinstance(v, list) else 'string'}" for k, v in columns.items())
-    return spark.createDataFrame([tuple(columns.values())], names).select(value.alias("v")).first()[0]
 
+def of_one(spark, value, **columns):
+    """The value of a column expression over a single row."""
+    kinds = ", ".join(f"{k} {'array<int>' if isinstance(v, list) else 'string'}" for k, v in columns.items())
+    return spark.createDataFrame([tuple(columns.values())], kinds).select(value.alias("v")).first()[0]
 
-def spelled(text):
-    """Spelling by definition, word by word."""
-    import unicodedata
 
+def spelled(text):
+    """Spelling from its definition: per word, the longest spelling at each place."""
     out = []
     for word in unicodedata.normalize("NFKD", text).upper().split():
-        w = "".join(c for c in word if "A" <= c <= "Z")
-        i = 0
-        while i < len(w):
-            s = next((s for s in A.MULTI if w.startswith(s, i)), w[i])
-            out.append(A.CANON[A.SPELLINGS[s]])
-            i += len(s)
+        letters = [c for c in word if "A" <= c <= "Z"]
+        while letters:
+            size = next((len(s) for s in A.MULTI if "".join(letters[: len(s)]) == s), 1)
+            out.append(A.CANON[A.SPELLINGS["".join(letters[:size])]])
+            del letters[:size]
     return "".join(out)
 
 
-@pytest.mark.parametrize("text", ["TUNNELING", "Following behaviors", "TWO ERRORS", "NOT HAVE", "ionic quake", "Größe naïve ﬁnal Ⅶ ＡＢ", "", "42!", "a b T\nH", "ToEA thing"])
-def test_spelling(spark, text):
-    assert one(spark, A.spell(F.col("t")), t=text) == spelled(text)
+def canon_of(indices):
+    return "".join(A.CANON[i] for i in indices)
+
 
+@pytest.mark.parametrize("text", ["wING SPAN", "Thea's gINger", "piano EOn", "quartz vex", "Crème brûlée ﬀ ½ ⅷ", "ｗｉｄｅ ｏｅ", "", " \u2003 ", "7 - 11", "IN\nG", "aeaea oeoe", "K" * 3000])
+def test_spelling_follows_its_definition(spark, text):
+    assert of_one(spark, A.spell(F.col("t")), t=text) == spelled(text)
 
-def test_spelling_refuses_runes(spark):
-    assert one(spark, A.spell(F.col("t")), t="abc ᚠ") is None
 
+def test_spelling_of_mixed_text_is_refused(spark):
+    assert of_one(spark, A.spell(F.col("t")), t="owl ᛟ owl") is None and of_one(spark, A.spell(F.col("t")), t=None) is None
 
-def test_forms_round_trip(spark):
-    canon = A.CANON[::-1] + "aab"
-    assert one(spark, A.canon_of(A.indices_of(F.col("c"))), c=canon) == canon
-    assert one(spark, A.canon_of_runes(A.runes_of(F.col("c"))), c=canon) == canon
-    assert one(spark, A.unspell(F.col("c"), "-"), c="vc1") == "NG-TH-IA"
-    with pytest.raises(Exception, match="canonical"):
-        one(spark, A.indices_of(F.col("c")), c="a!")
-    with pytest.raises(Exception, match="0..28"):
-        one(spark, A.canon_of(F.col("x")), x=[29])
 
+def test_three_forms_agree(spark):
+    rnd = random.Random(41)
+    for size in (0, 1, 29, 200):
+        canon = canon_of(rnd.randrange(29) for _ in range(size))
+        forms = of_one(spark, F.struct(A.canon_of(A.indices_of(F.col("c"))), A.canon_of_runes(A.runes_of(F.col("c"))), A.prime_sum(F.col("c")), A.unspell(F.col("c"), ".")), c=canon)
+        assert forms[0] == forms[1] == canon
+        assert forms[2] == sum(A.PRIMES[A.CANON.index(c)] for c in canon)
+        assert forms[3] == ".".join(A.PRIMARY[A.CANON.index(c)] for c in canon)
+    for value, column in ((A.indices_of(F.col("c")), {"c": "no!"}), (A.canon_of(F.col("c")), {"c": [4, 31]}), (A.canon_of(F.col("c")), {"c": [-2]})):
+        with pytest.raises(Exception, match="canonical|0..28"):
+            of_one(spark, value, **column)
 
-def test_statistics_of_degenerate_texts(spark):
+
+def test_statistics_equal_their_formulas(spark):
+    rnd, c = random.Random(42), F.col("c")
+    reference = [rnd.random() for _ in range(29)]
+    reference = [r / sum(reference) for r in reference]
+    for size in (2, 3, 50, 400):
+        text = canon_of(int(rnd.triangular(0, 28.9, 4)) for _ in range(size))
+        n, seen = len(text), Counter(text)
+        same = lambda t: sum(k * (k - 1) for k in Counter(t).values()) * 29 / (len(t) * (len(t) - 1)) if len(t) > 1 else 0.0
+        got = of_one(spark, F.array(stats.ioc(c), stats.entropy(c), stats.doublet_rate(c), stats.chi_squared(c, reference), stats.periodic_ioc(c, 3)), c=text)
+        want = [same(text), -sum(k / n * math.log2(k / n) for k in seen.values()), sum(a == b for a, b in zip(text, text[1:])) / (n - 1)]
+        want.append(sum((seen[ch] - n * reference[i]) ** 2 / (n * reference[i]) for i, ch in enumerate(A.CANON)))
+        assert got[:4] == pytest.approx(want)
+        cosets = [same(text[i::3]) for i in range(3) if len(text[i::3]) > 1]
+        assert got[4] == pytest.approx(sum(cosets) / len(cosets) if cosets else 0.0)
+
+
+def test_statistics_of_nothing(spark):
     c = F.col("c")
-    assert one(spark, F.array(stats.ioc(c), stats.entropy(c), stats.doublet_rate(c), stats.periodic_ioc(c, 3)), c="") == [0.0, 0.0, 0.0, 0.0]
-    assert one(spark, stats.chi_squared(c, [1 / 29] * 29), c="") == float("inf")
-    assert one(spark, stats.chi_squared(c, [1 / 28] * 28 + [0]), c=A.CANON[:28]) == pytest.approx(0.0)
-    assert one(spark, stats.chi_squared(c, [1 / 28] * 28 + [0]), c="2") == float("inf")
-    for bad in (lambda: stats.coset(c, 0, 0), lambda: stats.ngrams(c, 0), lambda: stats.positions_of(c, ""), lambda: stats.chi_squared(c, [0.1])):
+    assert of_one(spark, F.array(stats.ioc(c), stats.entropy(c), stats.doublet_rate(c), stats.periodic_ioc(c, 2)), c="") == [0.0] * 4
+    even = [1 / 29] * 29
+    assert of_one(spark, stats.chi_squared(c, even), c="") == math.inf and of_one(spark, stats.chi_squared(c, even), c=A.CANON * 2) == pytest.approx(0)
+    assert of_one(spark, stats.chi_squared(c, [0.0] + [1 / 28] * 28), c="ab") == math.inf
+    for bad in (lambda: stats.periodic_ioc(c, 0), lambda: stats.ngrams(c, -1), lambda: stats.positions_of(c, ""), lambda: stats.chi_squared(c, even[1:])):
         with pytest.raises(ValueError):
             bad()
 
 
-@pytest.mark.parametrize("canon,needle,found", [("bcdjbcdjj", "bcd", [0, 4]), ("aaaa", "aa", [0, 1, 2]), ("ab", "c", []), ("", "a", []), ("babab", "ab", [1, 3])])
-def test_positions(spark, canon, needle, found):
-    assert one(spark, stats.positions_of(F.col("c"), needle), c=canon) == found
+def test_positions_overlap(spark):
+    rnd = random.Random(43)
+    for _ in range(12):
+        text, needle = ("".join(rnd.choice("pq") for _ in range(k)) for k in (rnd.randint(0, 14), rnd.randint(1, 3)))
+        assert of_one(spark, stats.positions_of(F.col("c"), needle), c=text) == [i for i in range(len(text)) if text.startswith(needle, i)]
 
 
-def test_repeats_and_gaps(spark, rows):
-    df = spark.createDataFrame([(1, "bcdjbcdjj")], "id int, c string")
-    assert ("bcd", [0, 4]) in [(g, p) for _, g, p in rows(stats.repeats(df, "id", "c"))]
-    assert rows(stats.kasiski_gaps(df, "id", "c")) == [(4, 2)]
+def test_repeats_and_their_gaps(spark, rows):
+    text = "owlowlxowlw"
+    df = spark.createDataFrame([(5, text)], "id int, c string")
+    grams = Counter(text[i : i + 3] for i in range(len(text) - 2))
+    want = {g: [i for i in range(len(text)) if text.startswith(g, i)] for g, k in grams.items() if k > 1}
+    assert {g: p for _, g, p in rows(stats.repeats(df, "id", "c"))} == want
+    gaps = Counter(b - a for p in want.values() for a, b in zip(p, p[1:]))
+    assert dict(rows(stats.kasiski_gaps(df, "id", "c"))) == dict(gaps)
 
 
-def test_planted_period_stands_out(spark):
-    rnd = random.Random(3301)
-    text = "".join(A.CANON[(rnd.choice([1, 4, 7, 7, 7]) + (i % 7) * 4) % 29] for i in range(1400))
-    found = one(spark, F.array(*(stats.periodic_ioc(F.col("c"), p) for p in range(2, 11))), c=text)
-    assert found[5] > 1.6 and found[5] > max(v for i, v in enumerate(found) if i != 5) + 0.3
+def test_a_planted_period_has_the_highest_index(spark):
+    rnd, period = random.Random(44), 5
+    text = canon_of((rnd.choice([2, 2, 2, 9, 20]) + (3, 17, 8, 0, 25)[i % period]) % 29 for i in range(1000))
+    found = of_one(spark, F.array(*(stats.periodic_ioc(F.col("c"), p) for p in range(2, 10))), c=text)
+    assert max(range(len(found)), key=found.__getitem__) + 2 == period
 
 
 def test_fitness_prefers_language_and_windows_cover(spark):
-    english = spelled("the quick keeper of the lantern wrote that every reader should begin with the hidden door and then turn to the other page " * 8)
-    fitted = fitness.model(spark.createDataFrame([(english,)], "c string"), "c", 3)
-    rnd = random.Random(1033)
-    noise = "".join(rnd.choice(A.CANON) for _ in range(300))
-    texts = spark.createDataFrame([("e", english[40:340]), ("n", noise), ("s", "ab")], "k string, c string")
+    language = spelled("an owl sat over the orchard wall and told the gardener which of the lanterns would burn until the morning came " * 9)
+    fitted = fitness.model(spark.createDataFrame([(language,)], "c string"), "c", 3)
+    rnd = random.Random(45)
+    noise = canon_of(rnd.randrange(29) for _ in range(260))
+    texts = spark.createDataFrame([("language", language[33:290]), ("noise", noise), ("short", "qb")], "k string, c string")
     score = {r[0]: r[1] for r in fitness.score(texts, "k", "c", fitted, 3).collect()}
-    assert score["e"] > score["n"] + 1 and "s" not in score
-    for length in (300, 310, 324, 60):
-        df = spark.createDataFrame([("x", noise[:length] + english[: max(0, length - 300)])], "k string, c string")
-        starts = sorted(r[1] for r in fitness.windowed(df, "k", "c", fitted, 100, 25, 3).collect())
-        assert starts == sorted({*range(0, max(1, length - 99), 25), max(0, length - 100)})
+    assert score["language"] > score["noise"] + 1 and "short" not in score
+    for length, size, step in ((200, 80, 20), (211, 80, 20), (50, 80, 20), (80, 80, 7)):
+        df = spark.createDataFrame([("t", language[:length])], "k string, c string")
+        starts = {r[1] for r in fitness.windowed(df, "k", "c", fitted, size, step, 3).collect()}
+        assert starts == {*range(0, max(1, length - size + 1), step), max(0, length - size)}
+        assert {p for s in starts for p in range(s, min(length, s + size))} == set(range(length))
     with pytest.raises(ValueError):
-        fitness.windowed(texts, "k", "c", fitted, 2, 25, 3)
-
-
-X = "x"
-
-
-def test_known_answers(spark):
-    skip = lambda *s: C.ints(list(s))
-    assert one(spark, C.vigenere_decrypt(X, [1, 2], skip(1)), x=[5, 0, 6]) == [4, 0, 4]
-    assert one(spark, C.vigenere_decrypt(X, [1], skip(2)), x=[1, 2, 3]) == [0, 1, 3]
-    assert one(spark, C.shift_decrypt(X, 2, skip(1)), x=[5, 0, 9, 3]) == [3, 0, 7, 1]
-    assert one(spark, C.atbash(X, skip(1)), x=[5, 0, 9, 3]) == [23, 0, 19, 25]
-    for outside in (99, -1):
+        fitness.windowed(texts, "k", "c", fitted, 2, 10, 3)
+
+
+def skipping(values, skips, move):
+    """Each value moved by ``move(value, j)``, j counting those that are not skipped."""
+    out, j = [], 0
+    for i, v in enumerate(values):
+        out.append(v if i in skips else move(v, j) % 29)
+        j += i not in skips
+    return out
+
+
+def test_transforms_equal_their_definitions(spark):
+    rnd = random.Random(46)
+    for size in (1, 7, 60):
+        x, key = [rnd.randrange(29) for _ in range(size)], [rnd.randrange(29) for _ in range(4)]
+        skips = sorted(rnd.sample(range(size), size // 3))
+        passed = C.ints(skips)
+        stream = [rnd.randrange(29) for _ in range(size)]
+        assert of_one(spark, C.vigenere_decrypt(X, key, passed), x=x) == skipping(x, skips, lambda v, j: v - key[j % 4])
+        assert of_one(spark, C.shift_decrypt(X, 11, passed), x=x) == skipping(x, skips, lambda v, j: v - 11)
+        assert of_one(spark, C.atbash(X, passed), x=x) == skipping(x, skips, lambda v, j: 28 - v)
+        assert of_one(spark, C.beaufort_decrypt(X, key), x=x) == [(key[i % 4] - v) % 29 for i, v in enumerate(x)]
+        assert of_one(spark, C.running_key_decrypt(X, C.ints(stream)), x=x) == [(v - k) % 29 for v, k in zip(x, stream)]
+        assert of_one(spark, C.affine_decrypt(X, 12, 5), x=[(12 * v + 5) % 29 for v in x]) == x
+    assert [p - 1 for p in C.first_primes(7)] == [1, 2, 4, 6, 10, 12, 16]
+
+
+def test_transforms_refuse(spark):
+    for outside in (3, -2):
         with pytest.raises(Exception, match="outside"):
-            one(spark, C.vigenere_decrypt(X, [1], skip(outside)), x=[1, 2, 3])
+            of_one(spark, C.vigenere_decrypt(X, [8], C.ints([outside])), x=[4, 4, 4])
     with pytest.raises(Exception, match="exhausted"):
-        one(spark, C.running_key_decrypt(X, C.ints([1, 2])), x=[1, 2, 3, 4, 5])
-    with pytest.raises(ValueError):
-        C.vigenere_decrypt(X, [])
-    with pytest.raises(ValueError):
-        C.affine_decrypt(X, 29, 1)
-    assert [p - 1 for p in C.first_primes(5)] == [1, 2, 4, 6, 10]
+        of_one(spark, C.running_key_decrypt(X, C.ints([9])), x=[1, 1])
+    for bad in (lambda: C.vigenere_decrypt(X, []), lambda: C.affine_decrypt(X, 58, 3)):
+        with pytest.raises(ValueError):
+            bad()
 
 
 def test_round_trips(spark):
-    rnd, key = random.Random(7), [3, 28, 11, 0, 5]
-    plain = [rnd.randint(0, 28) for _ in range(90)]
-    passed = [i for i, v in enumerate(plain) if v == 0]
-    secret = one(spark, C.vigenere_encrypt(X, key, 0), x=plain)
-    assert one(spark, C.vigenere_decrypt(X, key, C.ints(passed)), x=secret) == plain
-    assert one(spark, C.vigenere_decrypt(X, key), x=one(spark, C.vigenere_encrypt(X, key, None), x=plain)) == plain
-    assert one(spark, C.beaufort_decrypt(X, key), x=one(spark, C.beaufort_decrypt(X, key), x=plain)) == plain
-    assert one(spark, C.affine_decrypt(X, 7, 11), x=[(7 * v + 11) % 29 for v in plain]) == plain
-    stream = key + plain
-    df = spark.createDataFrame([(1, [(v + stream[i]) % 29 for i, v in enumerate(plain)]), (2, []), (3, None)], "id int, x array<int>")
-    assert {r[0]: r[1] for r in C.autokey_pt_decrypt(df, "id", "x", key).collect()} == {1: plain, 2: []}
-    cipher = []
-    for i, v in enumerate(plain):
-        cipher.append((v + (key + cipher)[i]) % 29)
-    assert one(spark, C.autokey_ct_decrypt(X, key), x=cipher) == plain
-
-
-CASES = [
-    ("ᚠᚢᚦ\nᚱᛁᚳ\nᛄᛖᛗ", [("runic", "ᚠᚢᚦ"), ("runic", "ᚱᛁᚳ"), ("runic", "ᛄᛖᛗ")]),
-    ("ᚠᚢᚦ\tᚩᚱᚳ", [("runic", "ᚠᚢᚦ"), ("runic", "ᚩᚱᚳ"), ("runic-joined", "ᚠᚢᚦ\tᚩᚱᚳ")]),
-    ("ᚱᚲᚳ", []),
-    ("| ᚠᚢᚦ | ᚩᚱᚳ |", [("runic", "ᚠᚢᚦ"), ("runic", "ᚩᚱᚳ")]),
-    ("key was F-U-L-M maybe", [("translit", "F-U-L-M")]),
-    ("F U TH O R C", [("translit", "F U TH O R C")]),
-    ("I saw A B C D there", []),
-    ("8 -2  3 -2  3 18  9 -4", []),
-    ("0,-2,-4,-6,-10", []),
-    ("1 0 0\n0 -1 0", []),
-    ("indices [19, 21, 23, 27] here", [("numeric", "19, 21, 23, 27")]),
-    ("[12, 18, 25, 9] [6, 7, 16, 0]", [("numeric", "12, 18, 25, 9"), ("numeric", "6, 7, 16, 0")]),
+    rnd, key = random.Random(47), [14, 2, 27]
+    plain = [rnd.randrange(29) for _ in range(77)]
+    zeros = [i for i, v in enumerate(plain) if v == 0]
+    secret = of_one(spark, C.vigenere_encrypt(X, key, 0), x=plain)
+    assert of_one(spark, C.vigenere_decrypt(X, key, C.ints(zeros)), x=secret) == plain
+    assert of_one(spark, C.vigenere_decrypt(X, key), x=of_one(spark, C.vigenere_encrypt(X, key, None), x=plain)) == plain
+    by_plain = [(v + k) % 29 for v, k in zip(plain, key + plain)]
+    df = spark.createDataFrame([("a", by_plain), ("b", []), ("c", None)], "id string, x array<int>")
+    assert {r[0]: r[1] for r in C.autokey_pt_decrypt(df, "id", "x", key).collect()} == {"a": plain, "b": []}
+    by_cipher = []
+    for v in plain:
+        by_cipher.append((v + (key + by_cipher)[len(by_cipher)]) % 29)
+    assert of_one(spark, C.autokey_ct_decrypt(X, key), x=by_cipher) == plain
+
+
+#: Texts, and the runs of each notation that are in them.
+CITED = [
+    ("he carved ᛋᛏᚪᚱ above the door, ᛗ below", [("runic", "ᛋᛏᚪᚱ")]),
+    ("ᛟᚹᛚ\nᚾᛖᛋᛏ", [("runic", "ᛟᚹᛚ"), ("runic", "ᚾᛖᛋᛏ")]),
+    ("ᛟᚹᛚ.ᚾᛖᛋᛏ-ᚪᛏ", [("runic", "ᛟᚹᛚ"), ("runic", "ᚾᛖᛋᛏ"), ("runic", "ᚪᛏ"), ("runic-joined", "ᛟᚹᛚ.ᚾᛖᛋᛏ-ᚪᛏ")]),
+    ("ᛟᚹ;ᛚᛖ", [("runic", "ᛟᚹ"), ("runic", "ᛚᛖ")]),
+    ("ᛟᚴᚹ", []),
+    ("read O-W-L-S there", [("translit", "O-W-L-S")]),
+    ("TH O R N EA", [("translit", "TH O R N EA")]),
+    ("take A B or C D instead", []),
+    ("17;4;28;0 it says", [("numeric", "17;4;28;0")]),
+    ("(3 1 4) (1 5 9 2)", [("numeric", "1 5 9 2")]),
+    ("9 8 7 6\n5 4 3 2", [("numeric", "9 8 7 6"), ("numeric", "5 4 3 2")]),
+    ("5, -3, 8, -1, 4", []),
+    ("12 29 12 40 12", []),
+    ("2019 10 11", []),
     ("", []),
 ]
 
 
-@pytest.mark.parametrize("text,found", CASES)
+@pytest.mark.parametrize("text,found", CITED)
 def test_extraction(spark, text, found):
-    df = spark.createDataFrame([(1, text)], "id int, t string")
+    df = spark.createDataFrame([(8, text)], "id int, t string")
     assert [(r["notation"], r["raw"]) for r in notation.extract(df, "id", "t").collect()] == found
 
 
-def test_first_extractor_wins_per_message(spark, rows):
-    df = spark.createDataFrame([(1, "ᚠᚢᚦ and 0 1 2 3 and ᚠᚢᚦ"), (2, None)], "id int, t string")
-    assert [(r[1], r[3]) for r in rows(notation.indexed(df, "id", "t"))] == [("numeric", "abcd"), ("runic", "abc")]
+def test_a_sequence_counts_once_per_message(spark, rows):
+    df = spark.createDataFrame([(1, "15 16 24 4 and ᛋᛏᚪᚱ, again ᛋᛏᚪᚱ"), (2, None), (3, "ᛋᛏᚪᚱ")], "id int, t string")
+    assert [(r[0], r[1], r[3]) for r in rows(notation.indexed(df, "id", "t"))] == [(1, "runic", "pqye"), (3, "runic", "pqye")]
 
 
-@pytest.mark.parametrize("query,canon", [("ᚠᚢᚦᚩᚱᚳ", "abcdef"), ("0 1 2 3 4 5", "abcdef"), ("F-U-TH-O-R-C", "abcdef"), ("20 25", "uz"), ("19-21-23-27", "tvx1")])
-def test_query_sequences(query, canon):
-    assert notation.canonical_query(query)[0] == canon
+#: Queries by what they stand for; None where the reader refuses.
+ASKED = [
+    ("ᛋᛏᚪᚱ", ("pqye", "runic")), ("15 16 24 4", ("pqye", "numeric")), ("15-16-24-4", ("pqye", "numeric")), ("S-T-A-R", ("pqye", "translit")), ("s t a r", ("pqye", "translit")), ("7/0", ("ha", "numeric")),
+    ("161244", None), ("77", None), ("29 1", None), ("4 -2 6", None), ("S-T-4", None), ("ᛋᛏ 24", None), ("ᛋ-T", None), ("an ᛟᚴᛟ", None), ("owlet?", None), ("", None), ("  ", None),
+]
 
 
-@pytest.mark.parametrize("query", ["2025", "123", "3301", "0,-2,-4,-6", "-1 2 3 4", "8 -2 3 18", "F-U-TH-2", "F-U-TH 3301", "hello ᚠᚡ world", "F-U-TH-ᚠ", "ᚠᚢᚦ 3301", "ᚱᚲᚳ", ""])
-def test_refused_query_sequences(query):
-    with pytest.raises(notation.UnreadableQuery):
-        notation.canonical_query(query)
+def test_query_sequences(spark):
+    """The reader on the driver and its column form say the same."""
+    df = spark.createDataFrame([(q,) for q, _ in ASKED], "q string")
+    columns = {q: tuple(r) if r else None for q, r in df.select("q", notation.canonical_query_column(F.col("q"))).collect()}
+    for query, want in ASKED:
+        try:
+            got = notation.canonical_query(query)
+        except notation.UnreadableQuery:
+            got = None
+        assert got == want == columns[query], query
 
 
 def test_ordered_model_spans_boundaries(spark, rows):
