@@ -8,12 +8,14 @@ running alternating sum and uses a window over (text, residue).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runeframe.functions.alphabet import N
+from runeframe.operators.prefix import running_totals
 
 SUBTRACT, REVERSED, ADD = "subtract", "reversed", "add"
 OPERATIONS: dict[str, Callable[[Column, Column], Column]] = {SUBTRACT: lambda x, k: x - k, REVERSED: lambda x, k: k - x, ADD: lambda x, k: x + k}
@@ -184,9 +186,29 @@ def primes_below(spark: SparkSession, bound: int) -> DataFrame:
     return numbers.join(struck, "p", "left_anti")
 
 
+def prime_bound(n: int) -> int:
+    """A bound below which there are at least n primes."""
+    return max(16, int(n * (math.log(n + 2) + math.log(math.log(n + 2)) + 2)) + 1)
+
+
 def keystream(primes: DataFrame) -> DataFrame:
-    """``ord, k``: prime minus one by ordinal, for joins of long texts with their keystream."""
-    return primes.select((F.row_number().over(Window.orderBy("p")) - 1).alias("ord"), (F.col("p") - 1).alias("k"))
+    """``ord, k``: prime minus one by ordinal, for joins of long texts with their keystream; numbered by range partitions."""
+    numbered = running_totals(primes.select("p", F.lit(1).alias("one")), ["p"], "one", "ord")
+    return numbered.select("ord", (F.col("p") - 1).alias("k"))
+
+
+def stream_decrypt(texts: DataFrame, key_col: str, text_col: str, stream: DataFrame, skips: str | None = None) -> DataFrame:
+    """``key_col, out``: texts of any length less a keystream table (``ord, k``), symbol by symbol; skipped positions stay and take no key.
+
+    Symbols are joined with the stream by ordinal. A stream that ends before a text is an error; null texts have no row.
+    """
+    skip = F.col(skips) if skips else no_skips()
+    rows = texts.select(key_col, skip.alias("_s"), F.posexplode(text_col).alias("pos", "x")).select(key_col, "pos", "x", _skipped(F.col("_s"), F.col("pos")).alias("held"), _ordinal(F.col("_s"), F.col("pos")).cast("long").alias("ord"))
+    keyed = rows.join(stream.select(F.col("ord").cast("long").alias("ord"), "k"), "ord", "left")
+    ended = F.raise_error(F.lit("keystream exhausted")).cast("int")
+    plain = F.when(F.col("held"), F.col("x")).when(F.col("k").isNull(), ended).otherwise(mod(F.col("x") - F.col("k"))).cast("int")
+    done = keyed.select(key_col, "pos", plain.alias("y")).groupBy(key_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "y"))), lambda s: s["y"]).alias("out"))
+    return texts.where(F.col(text_col).isNotNull()).select(key_col).join(done, key_col, "left").withColumn("out", F.coalesce("out", no_skips()))
 
 
 def key_sweep(texts: DataFrame, key_col: str, text_col: str) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runeframe.functions.alphabet import CANON, N
@@ -24,13 +24,25 @@ BROADCAST_N = 4
 
 
 def boundaries(texts: DataFrame, canon: str, order: str, n: int) -> DataFrame:
-    """``canon``: the symbols on both sides of each boundary between consecutive texts, ``n - 1`` of each side.
+    """``canon``: around each boundary between texts in order, up to ``n - 1`` symbols before it and as many after.
 
-    Their n-grams are those of the concatenated texts that no text has alone. Texts must have at
-    least n - 1 symbols; one narrow row per text is sorted.
+    Their n-grams are those of the concatenated texts that no text has alone, each once: they start
+    in the text before the boundary. The symbols after it may come from several short texts. Texts
+    are range-partitioned by ``order`` (unique); what follows a partition comes from one row of
+    first symbols per partition.
     """
-    edges = texts.select(F.col(order).alias("o"), F.right(canon, F.lit(n - 1)).alias("tail"), F.left(canon, F.lit(n - 1)).alias("head"))
-    return edges.select(F.concat("tail", F.lead("head").over(Window.orderBy("o"))).alias("canon")).where("canon is not null")
+    m = n - 1
+    edges = texts.where(F.length(canon) > 0).select(F.col(order).alias("o"), F.right(canon, F.lit(m)).alias("tail"), F.left(canon, F.lit(m)).alias("head"))
+    ranged = cut_lineage(edges.repartitionByRange("o").withColumn("p", F.spark_partition_id()))
+    inside = Window.partitionBy("p").orderBy("o")
+
+    def following(value: str, window) -> Column:  # noqa: ANN001
+        return F.left(F.array_join(F.collect_list(value).over(window.rowsBetween(1, m)), ""), F.lit(m))
+
+    firsts = ranged.withColumn("k", F.row_number().over(inside)).where(F.col("k") <= m).groupBy("p").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "head"))), lambda s: s["head"]), "").alias("head"))
+    after = firsts.select("p", following("head", Window.orderBy("p")).alias("after"))  # one row per partition
+    follow = F.left(F.concat(following("head", inside), "after"), F.lit(m))
+    return ranged.join(F.broadcast(after), "p").select(F.concat("tail", follow).alias("canon")).where(F.length("canon") >= n)
 
 
 def model(texts: DataFrame, canon: str, n: int = 4, order: str | None = None) -> DataFrame:

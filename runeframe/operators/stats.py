@@ -38,6 +38,8 @@ def coset(canon: Column, period: int, k: int) -> Column:
 
 def periodic_ioc(canon: Column, period: int) -> Column:
     """Mean coincidence index of the cosets with two or more symbols; 0 if there is none."""
+    if period < 1:
+        raise ValueError("period must be positive")
     cosets = F.array(*(coset(canon, period, k) for k in range(period)))
     figures = F.transform(F.filter(cosets, lambda c: F.length(c) >= 2), ioc)
     return F.when(F.size(figures) > 0, F.aggregate(figures, F.lit(0.0), lambda a, v: a + v) / F.size(figures)).otherwise(F.lit(0.0))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from runeframe.functions import alphabet as A
 from runeframe.operators import cipher as C
 from runeframe.operators import fitness
-from runeframe.plans.stats import _MODEL, SPELLED_SQL, cited, english
+from runeframe.plans.stats import _MODEL, SPELLED_SQL, cited, english_model
 
 KEY = [23, 10, 1, 10, 9, 10, 16, 26]
 #: A text's skips: positions 2 and 5 as far as it has them.
@@ -58,11 +58,24 @@ def variant_beaufort(spark, d):  # noqa: ANN001, ANN201
 
 def running_key(spark, d):  # noqa: ANN001, ANN201
     """Running key: the squares by ordinal."""
-    return _out(_texts(spark, d), C.running_key_decrypt(X, F.transform(F.sequence(F.lit(0), F.lit(LONGEST)), lambda i: i * i), S))
+    texts = _texts(spark, d)
+    squares = F.transform(F.sequence(F.lit(0), F.lit(LONGEST)), lambda i: i * i)
+    table_ = lambda n: spark.range(n).select(F.col("id").alias("ord"), (F.col("id") * F.col("id")).alias("k"))
+    return _by_length(texts, C.running_key_decrypt(X, squares, S), table_)
 
 
 def phi_prime(spark, d):  # noqa: ANN001, ANN201
-    return _out(_texts(spark, d), C.phi_prime_decrypt(X, LONGEST, S))
+    return _by_length(_texts(spark, d), C.phi_prime_decrypt(X, LONGEST, S), lambda n: C.keystream(C.primes_below(spark, C.prime_bound(n))))
+
+
+def _by_length(texts, short, stream):  # noqa: ANN001, ANN202
+    """Texts up to ``LONGEST`` symbols inside their row, longer ones joined with their keystream as a table."""
+    fits = F.size(X) <= LONGEST
+    longest = texts.agg(F.max(F.size(X))).first()[0] or 0
+    done = _out(texts.where(fits), short)
+    if longest <= LONGEST:
+        return done
+    return done.unionAll(_out(C.stream_decrypt(texts.where(~fits), "id", X, stream(longest), S), F.col("out")))
 
 
 def autokey_ct(spark, d):  # noqa: ANN001, ANN201
@@ -77,18 +90,9 @@ def primes_table(spark, d):  # noqa: ANN001, ANN201
     return C.keystream(C.primes_below(spark, PRIME_BOUND)).select(F.col("ord").cast("long").alias("ord"), "k")
 
 
-def _best_shift(spark, d, texts):  # noqa: ANN001, ANN202
-    return fitness.best_shift(texts, "id", "canon", fitness.model(english(spark, d), "canon", 4), 4)
-
-
-def key_sweep_topk_all(spark, d):  # noqa: ANN001, ANN201
-    """The best shift of every text, by fitness; texts without an n-gram have no score and no row."""
-    return _best_shift(spark, d, cited(spark, d))
-
-
 def key_sweep_topk(spark, d):  # noqa: ANN001, ANN201
-    """The best shift of every text of 24 symbols or more, by fitness."""
-    return _best_shift(spark, d, cited(spark, d).where("length(canon) >= 24"))
+    """The best shift of every text, by fitness; texts without an n-gram have no score and no row."""
+    return fitness.best_shift(cited(spark, d), "id", "canon", english_model(spark, d), 4)
 
 
 _A = f"'{A.CANON}'"
@@ -125,11 +129,9 @@ _SQLS = {
        select id, array_to_string(list_transform(p, lambda v: substring({_A}, v::int + 1, 1)), '') as out from r where i = n""",
     "primes_table": f"select row_number() over (order by p) - 1 as ord, p - 1 as k from (select unnest(range(2, {PRIME_BOUND})) p) a where not exists (select 1 from (select unnest(range(2, 142)) q) b where q < p and p % q = 0 and q * q <= p)",
     "key_sweep_topk": "with " + SPELLED_SQL + ", " + _MODEL + f""", tr as (select id, sh, array_to_string(list_transform(string_split(canon, ''), lambda c: substring({_A}, ((strpos({_A}, c) - 1 - sh + 29) % 29)::int + 1, 1)), '') canon
-       from cited, (select unnest(range(29)) sh) where length(canon) >= 24),
+       from cited, (select unnest(range(29)) sh) where length(canon) >= 4),
        sc as (select id, sh, round(avg(coalesce(logp, floor)), 5) score from (select id, sh, unnest(list_transform(range(length(canon) - 3), lambda p: substring(canon, p::int + 1, 4))) gram from tr) left join m using (gram), fl group by 1, 2)
        select id, sh::int as shift, score from sc qualify row_number() over (partition by id order by score desc, sh) = 1""",
 }
-#: Whole table, without SQL.
-WHOLE = ("key_sweep_topk_all",)
-QUERIES = {name: globals()[name] for name in (*_SQLS, *WHOLE)}
+QUERIES = {name: globals()[name] for name in _SQLS}
 ORACLES = dict(_SQLS)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from runeframe.operators import search as S
 from runeframe.operators import textindex as TI
-from runeframe.session import table
+from runeframe.session import cut_lineage, shared_place, table
+from runeframe.sources import indexstore
 
 AND_QUERY, OR_QUERY, NOT_QUERY = "running key", "histogram OR lantern OR anneal*", "lattice NOT cipher"
 PHRASE_QUERY, NEAR_QUERY = '"window scoring"', "NEAR(fresh repeated, 12)"
@@ -19,23 +20,38 @@ def messages(spark, d):  # noqa: ANN001, ANN201
     return S.archive(table(spark, d, "messages"))
 
 
+_STORES: dict[tuple[str, str], indexstore.SearchStore] = {}
+
+
+def store(spark, d):  # noqa: ANN001, ANN201
+    """The search tables of a folder's messages, written once per application to the shared folder and read by every search."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _STORES:
+        place = shared_place(spark, "search")
+        indexstore.write_search(messages(spark, d), place)
+        _STORES[key] = indexstore.SearchStore(spark, place)
+    return _STORES[key]
+
+
 def tokenize_postings(spark, d):  # noqa: ANN001, ANN201
     return TI.postings(messages(spark, d), "id", "body")
 
 
 def _hits(query):  # noqa: ANN001, ANN202
     def run(spark, d):  # noqa: ANN001, ANN202
-        return S.text_hits(messages(spark, d), query, limit=LIMIT).select("id", F.round("score", 6).alias("score"))
+        return store(spark, d).text_hits(query, limit=LIMIT).select("id", F.round("score", 6).alias("score"))
 
     return run
 
 
 def _match(query):  # noqa: ANN001, ANN202
-    def run(spark, d):  # noqa: ANN001, ANN202
-        tree, _, _ = TI.parse(query)
-        return messages(spark, d).where(tree.matches(TI.tokens(F.col("body")))).select("id")
+    return lambda spark, d: store(spark, d).matching(query)
 
-    return run
+
+def _ranked_hits(spark, d, query, limit):  # noqa: ANN001, ANN202
+    """Hits with their rank; at most ``limit`` rows, made once."""
+    hits = store(spark, d).text_hits(query, limit=limit)
+    return cut_lineage(hits.select("id", "channel", "seq", F.row_number().over(Window.orderBy("score", "id")).alias("rank")))
 
 
 def context_docs_6h(spark, d):  # noqa: ANN001, ANN201
@@ -44,10 +60,7 @@ def context_docs_6h(spark, d):  # noqa: ANN001, ANN201
 
 
 def context_blocks(spark, d):  # noqa: ANN001, ANN201
-    m = messages(spark, d)
-    hits = S.text_hits(m, AND_QUERY, limit=LIMIT)
-    ranked = hits.select("id", "channel", "seq", F.row_number().over(Window.orderBy("score", "id")).alias("rank"))
-    blocks = S.context_blocks(m, ranked, 2)
+    blocks = store(spark, d).context_blocks(_ranked_hits(spark, d, AND_QUERY, LIMIT), 2)
     return blocks.select("channel", "first_seq", "last_seq", "rank", F.size("messages").alias("n"), F.size(F.filter("messages", lambda x: x["matched"])).alias("hits"))
 
 
@@ -68,10 +81,8 @@ def channel_summary(spark, d):  # noqa: ANN001, ANN201
 
 
 def search_json(spark, d):  # noqa: ANN001, ANN201
-    m = messages(spark, d)
-    hits = S.text_hits(m, PHRASE_QUERY, limit=S.LIMIT)
-    ranked = hits.select("id", "channel", "seq", F.row_number().over(Window.orderBy("score", "id")).alias("rank"))
-    return S.result_json(S.context_blocks(m, ranked, 2), PHRASE_QUERY, S.LIMIT)
+    hits = _ranked_hits(spark, d, PHRASE_QUERY, S.LIMIT)
+    return S.result_json(store(spark, d).context_blocks(hits, 2), PHRASE_QUERY, hits)
 
 
 _TS = """strftime(coalesce(try_strptime(trim(ts), '%Y-%m-%d %H:%M'), try_strptime(trim(ts), '%Y-%m-%d %H:%M:%S'), try_strptime(trim(ts), '%Y-%m-%dT%H:%M'),

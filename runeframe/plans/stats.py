@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from runeframe.functions import alphabet as A
 from runeframe.operators import fitness, stats
-from runeframe.session import cut_lineage, spread, table
+from runeframe.session import cut_lineage, shared_place, spread, table
 
 NEEDLE = "cs"
 LONG_PERIOD = 12
@@ -51,11 +51,6 @@ def rune_frequencies_cited(spark, d):  # noqa: ANN001, ANN201
     return stats.rune_frequencies(cited(spark, d), "canon").select("idx", F.round("share", 9).alias("share"))
 
 
-def rune_frequencies_dense(spark, d):  # noqa: ANN001, ANN201
-    """Shares over the sequences shorter than four symbols, few enough to leave symbols absent."""
-    return stats.rune_frequencies(cited(spark, d).where("length(canon) < 4"), "canon").select("idx", F.round("share", 9).alias("share"))
-
-
 def english_frequencies(spark, d):  # noqa: ANN001, ANN201
     return stats.rune_frequencies(english(spark, d), "canon").select("idx", F.round("share", 9).alias("share"))
 
@@ -84,16 +79,11 @@ def _periods(texts):  # noqa: ANN001, ANN202
     return texts.select("id", figures)
 
 
-def periodic_ioc_all(spark, d):  # noqa: ANN001, ANN201
+def periodic_ioc(spark, d):  # noqa: ANN001, ANN201
     """Every period of every cited sequence."""
     return _periods(cited(spark, d))
 
 
-def periodic_ioc(spark, d):  # noqa: ANN001, ANN201
-    """Every period of the sequences of 60 symbols or more."""
-    return _periods(cited(spark, d).where("length(canon) >= 60"))
-
-
 def chi2_vs_english(spark, d):  # noqa: ANN001, ANN201
     reference = [r[1] for r in stats.rune_frequencies(english(spark, d), "canon").orderBy("idx").collect()]  # 29 rows
     return cited(spark, d).select("id", F.round(stats.chi_squared(F.col("canon"), reference), 4).alias("chi2"))
@@ -122,33 +112,34 @@ def find_needle(spark, d):  # noqa: ANN001, ANN201
     return spelled(spark, d).where(F.contains("canon", F.lit(NEEDLE))).select("doc_id", F.array_join(F.transform(found, lambda p: p.cast("string")), ",").alias("positions"))
 
 
-def model_n4(spark, d):  # noqa: ANN001, ANN201
-    return fitness.model(english(spark, d), "canon", 4).select("gram", F.round("logp", 6).alias("logp"), F.round("floor", 6).alias("floor"))
+_MODELS: dict[tuple[str, str], str] = {}
 
 
-def fitness_score(spark, d):  # noqa: ANN001, ANN201
-    return fitness.score(cited(spark, d), "id", "canon", fitness.model(english(spark, d), "canon", 4), 4).select("id", F.round("score", 5).alias("score"))
+def english_model(spark, d):  # noqa: ANN001, ANN201
+    """The 4-gram model of the English documents in id order, as one text; fitted once per application, written to the shared folder and read by every query."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _MODELS:
+        place = shared_place(spark, "model")
+        fitness.model(cut_lineage(english(spark, d)), "canon", 4, "doc_id").write.parquet(place)
+        _MODELS[key] = place
+    return spark.read.parquet(_MODELS[key])
 
 
-def fitness_windowed(spark, d):  # noqa: ANN001, ANN201
-    fitted = fitness.model(english(spark, d), "canon", 4)
-    return fitness.windowed(cited(spark, d), "id", "canon", fitted, 100, 25, 4).select("id", "start", F.round("score", 5).alias("score"))
+def model_n4(spark, d):  # noqa: ANN001, ANN201
+    return english_model(spark, d).select("gram", F.round("logp", 6).alias("logp"), F.round("floor", 6).alias("floor"))
 
 
-def _best_window(training, texts):  # noqa: ANN001, ANN202
-    fitted = fitness.model(training, "canon", 4)
-    return fitness.best_window(texts, "doc_id", "canon", fitted, 100, 25, 4).select("doc_id", F.round("best", 5).alias("best"))
+def fitness_score(spark, d):  # noqa: ANN001, ANN201
+    return fitness.score(cited(spark, d), "id", "canon", english_model(spark, d), 4).select("id", F.round("score", 5).alias("score"))
 
 
-def fitness_windowed_max_all(spark, d):  # noqa: ANN001, ANN201
-    """Each document's best window."""
-    texts = cut_lineage(spelled(spark, d))  # spelled once for the model and the scores
-    return _best_window(texts.where("lower(lang) = 'en'"), texts)
+def fitness_windowed(spark, d):  # noqa: ANN001, ANN201
+    return fitness.windowed(cited(spark, d), "id", "canon", english_model(spark, d), 100, 25, 4).select("id", "start", F.round("score", 5).alias("score"))
 
 
 def fitness_windowed_max(spark, d):  # noqa: ANN001, ANN201
-    """Each German document's best window."""
-    return _best_window(english(spark, d), spelled(spark, d).where("lower(lang) = 'de'"))
+    """Each document's best window."""
+    return fitness.best_window(spelled(spark, d), "doc_id", "canon", english_model(spark, d), 100, 25, 4).select("doc_id", F.round("best", 5).alias("best"))
 
 
 def training_digest(spark, d):  # noqa: ANN001, ANN201
@@ -181,7 +172,10 @@ def _grams(t: str, key: str, n: int) -> str:
 
 
 _IOC = "round(case when n < 2 then 0.0 else list_sum(list_transform(c, lambda v: v * (v - 1)))::double / (n * (n - 1)) * 29 end, 6)"
-_MODEL = f"mc as (select gram, count(*) n from {_grams('english', 'doc_id', 4)} group by 1), mt as (select sum(n)::double t from mc), m as (select gram, log10(n / t) logp from mc, mt), fl as (select log10(1.0 / t) - 2.0 floor from mt)"
+_MODEL = f"""oe as (select canon, lead(canon, 1) over o a, lead(canon, 2) over o b, lead(canon, 3) over o c from english where canon <> '' window o as (order by doc_id)),
+  span as (select 0 doc_id, right(canon, 3) || left(coalesce(a, '') || coalesce(b, '') || coalesce(c, ''), 3) canon from oe),
+  mc as (select gram, count(*) n from (select gram from {_grams('english', 'doc_id', 4)} union all select gram from {_grams('span', 'doc_id', 4)}) group by 1),
+  mt as (select sum(n)::double t from mc), m as (select gram, log10(n / t) logp from mc, mt), fl as (select log10(1.0 / t) - 2.0 floor from mt)"""
 
 
 def _chi(ref: str) -> str:
@@ -201,15 +195,16 @@ _SQLS = {
     "canon_roundtrip": _W + f"""select id, translate(canon, {_C}, '{A.RUNES}') glyphs, true as same, list_sum(list_transform(string_split(canon, ''), lambda c: {list(A.PRIMES)}[strpos({_C}, c)]))::bigint primes,
        sha256(unhex(array_to_string(list_transform(string_split(canon, ''), lambda c: printf('%02x', strpos({_C}, c) - 1)), ''))) digest from cited""",
     "rune_counts": _W + f"select strpos({_C}, gram)::int - 1 as idx, count(*) n from {_grams('spelled', 'doc_id', 1)} group by 1",
-    "rune_frequencies_dense": _W + _freq("cited where length(canon) < 4"),
+    "rune_frequencies_cited": _W + _freq("cited"),
     "english_frequencies": _W + _freq("english"),
     "ioc_by_doc": _W + f"select doc_id, n::int n, {_IOC} ioc from (select doc_id, length(canon) n, {_CNT} c from spelled)",
     "flagship": _W + f"select doc_id, n::int n, {_IOC} ioc from (select doc_id, length(canon) n, {_CNT} c from spelled) where n >= 200 order by ioc desc, n desc, doc_id limit 20",
     "entropy_by_doc": _W + f"select doc_id, round(coalesce(list_sum(list_transform(list_filter(c, lambda v: v > 0), lambda v: -(v / n) * log2(v / n))), 0.0), 6) bits from (select doc_id, length(canon)::double n, {_CNT} c from spelled)",
     "doublets_by_doc": _W + """select doc_id, d::int doublets, round(case when n > 1 then d / (n - 1) else 0.0 end, 6) rate from (
       select doc_id, length(canon)::double n, coalesce(list_sum(list_transform(range(length(canon) - 1), lambda i: (substring(canon, i::int + 1, 1) = substring(canon, i::int + 2, 1))::int)), 0) d from spelled)""",
-    "periodic_ioc": _W + f"""select id, period, round(avg(ioc), 6) ioc from (select id, period, k, list_sum(list_transform(list(v), lambda v: v * (v - 1)))::double / (sum(v) * (sum(v) - 1)) * 29 ioc from (
-      select id, period::int period, pos % period k, gram, count(*) v from {_grams('cited', 'id', 1)}, (select unnest(range(2, 13)) period) where id in (select id from cited where length(canon) >= 60) group by all) group by all having sum(v) >= 2) group by all""",
+    "periodic_ioc": _W + f""", pd as (select unnest(range(2, 13))::int period), f as (select id, period, round(avg(ioc), 6) ioc from (select id, period, k, list_sum(list_transform(list(v), lambda v: v * (v - 1)))::double / (sum(v) * (sum(v) - 1)) * 29 ioc from (
+      select id, period, pos % period k, gram, count(*) v from {_grams('cited', 'id', 1)}, pd group by all) group by all having sum(v) >= 2) group by all)
+      select cited.id, pd.period, coalesce(f.ioc, 0.0) ioc from cited join pd on true left join f on f.id = cited.id and f.period = pd.period""",
     "chi2_vs_english": _W + f", fr as ({_freq('english').replace('round(coalesce(n / nullif(sum(n) over (), 0), 0.0), 9)', 'coalesce(n / nullif(sum(n) over (), 0), 0.0)')}) " + _chi("select list(share order by idx) from fr"),
     "chi2_inf_cases": _W + _chi("list_concat(list_transform(range(28), lambda i: 1.0::double / 28), [0.0::double])"),
     "ngram_counts_n3": _W + f"select gram, count(*) n from {_grams('spelled', 'doc_id', 3)} group by 1",
@@ -221,14 +216,12 @@ _SQLS = {
     "fitness_windowed": _W + ", " + _MODEL + f""", v as (select id, pos, coalesce(logp, floor) x from {_grams('cited', 'id', 4)} left join m using (gram), fl),
       w as (select id, length(canon) len, unnest(case when length(canon) <= 100 then [0] else list_distinct(list_concat(range(0, length(canon) - 99, 25), [length(canon) - 100])) end) s from cited where length(canon) >= 4)
       select w.id, s::int as start, round(avg(x), 5) score from w join v on v.id = w.id and pos >= s and pos <= s + least(100, len) - 4 group by 1, 2""",
-    "fitness_windowed_max": _W + ", " + _MODEL + f""", de as (select doc_id, canon from spelled where lower(lang) = 'de'),
+    "fitness_windowed_max": _W + ", " + _MODEL + f""", de as (select doc_id, canon from spelled),
       v as (select doc_id, pos, sum(coalesce(logp, floor)) over (partition by doc_id order by pos) u from {_grams('de', 'doc_id', 4)} left join m using (gram), fl),
       w as (select doc_id, length(canon) len, unnest(case when length(canon) <= 100 then [0] else list_distinct(list_concat(range(0, length(canon) - 99, 25), [length(canon) - 100])) end) s from de where length(canon) >= 4)
       select w.doc_id, round(max((e.u - coalesce(b.u, 0)) / (least(100, len) - 3)), 5) best from w join v e on e.doc_id = w.doc_id and e.pos = s + least(100, len) - 4 left join v b on b.doc_id = w.doc_id and b.pos = s - 1 group by 1""",
     "training_digest": _W + """select lang, sha256(string_agg(h, '' order by a2)) digest from (select lang, a1 // 1024 a2, sha256(string_agg(h, '' order by a1)) h from (
        select lower(lang) lang, doc_id // 1024 a1, sha256(string_agg(sha256(canon), '' order by doc_id)) h from spelled where lang is not null group by 1, 2) group by 1, 2) group by 1""",
 }
-#: Whole tables, without SQL; the queries of the same operators with SQL are confined to a part of the rows.
-WHOLE = ("rune_frequencies_cited", "periodic_ioc_all", "fitness_windowed_max_all")
-QUERIES = {name: globals()[name] for name in (*_SQLS, *WHOLE)}
+QUERIES = {name: globals()[name] for name in _SQLS}
 ORACLES = dict(_SQLS)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,20 +45,31 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for lineage cuts.
+    """The shared folder for lineage cuts and written intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where neither that setting nor a
-    directory set on the context exists (tests, local runs) is a temporary folder made.
+    A cluster names it in ``spark.checkpoint.dir`` or sets it on the context; without either a
+    cluster is refused, as a folder of one machine would not do. Local runs make a temporary folder,
+    which is removed when the process ends.
     """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="runeframe-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="runeframe-checkpoint-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
         current = sc.getCheckpointDir()
     return current
 
 
+def shared_place(spark: SparkSession, name: str) -> str:
+    """A new place under the shared folder for tables that several queries read."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from there.
 

@@ -81,7 +81,7 @@ def test_statistics_of_nothing(spark):
     even = [1 / 29] * 29
     assert of_one(spark, stats.chi_squared(c, even), c="") == math.inf and of_one(spark, stats.chi_squared(c, even), c=A.CANON * 2) == pytest.approx(0)
     assert of_one(spark, stats.chi_squared(c, [0.0] + [1 / 28] * 28), c="ab") == math.inf
-    for bad in (lambda: stats.periodic_ioc(c, 0), lambda: stats.ngrams(c, -1), lambda: stats.positions_of(c, ""), lambda: stats.chi_squared(c, even[1:])):
+    for bad in (lambda: stats.periodic_ioc(c, 0), lambda: stats.coset(c, -2, 0), lambda: stats.ngrams(c, -1), lambda: stats.positions_of(c, ""), lambda: stats.chi_squared(c, even[1:])):
         with pytest.raises(ValueError):
             bad()
 
@@ -152,6 +152,18 @@ def test_transforms_equal_their_definitions(spark):
     assert [p - 1 for p in C.first_primes(7)] == [1, 2, 4, 6, 10, 12, 16]
 
 
+def test_long_texts_join_their_keystream(spark, rows):
+    rnd = random.Random(49)
+    texts = [(k, [rnd.randrange(29) for _ in range(n)], [s for s in (2, 5) if s < n]) for k, n in enumerate((0, 1, 40, 700))] + [(9, None, [])]
+    df = spark.createDataFrame(texts, "id int, x array<int>, s array<int>")
+    stream = C.keystream(C.primes_below(spark, C.prime_bound(700)))
+    ks = [p - 1 for p in C.first_primes(700)]
+    assert [r[1] for r in rows(stream.orderBy("ord").limit(5))] == ks[:5] and stream.count() >= 700
+    assert {r[0]: r[1] for r in C.stream_decrypt(df, "id", "x", stream, "s").collect()} == {k: skipping(x, s, lambda v, j: v - ks[j]) for k, x, s in texts if x is not None}
+    with pytest.raises(Exception, match="exhausted"):
+        C.stream_decrypt(df, "id", "x", stream.where("ord < 600")).collect()
+
+
 def test_transforms_refuse(spark):
     for outside in (3, -2):
         with pytest.raises(Exception, match="outside"):
@@ -230,7 +242,11 @@ def test_query_sequences(spark):
 
 
 def test_ordered_model_spans_boundaries(spark, rows):
-    texts = spark.createDataFrame([(2, "fgh"), (1, "abcde"), (3, "abcdx")], "o int, c string")
-    whole = spark.createDataFrame([("abcdefghabcdx",)], "c string")
+    """As if the texts were one, short and empty ones included, however they are partitioned."""
+    rnd = random.Random(48)
+    texts = [canon_of(rnd.randrange(4) for _ in range(rnd.choice([0, 1, 1, 2, 3, 9]))) for _ in range(60)]
     rounded = lambda df: [(g, round(p, 9), round(f, 9)) for g, p, f in rows(df)]
-    assert rounded(fitness.model(texts, "c", 3, "o")) == rounded(fitness.model(whole, "c", 3))
+    whole = rounded(fitness.model(spark.createDataFrame([("".join(texts),)], "c string"), "c", 4))
+    parts = list(enumerate(texts))
+    rnd.shuffle(parts)
+    assert rounded(fitness.model(spark.createDataFrame(parts, "o int, c string").repartition(3), "c", 4, "o")) == whole
