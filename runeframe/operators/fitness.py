@@ -14,8 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runeframe.functions.alphabet import CANON, N
-from runeframe.operators.stats import ngram_counts, ngrams
+from runeframe.functions.alphabet import N
+from runeframe.operators.stats import indices, ngram_counts, ngrams
 from runeframe.session import cut_lineage
 
 FLOOR_PENALTY = 2.0
@@ -92,16 +92,6 @@ def windowed(texts: DataFrame, key: str, canon: str, fitted: DataFrame, size: in
     return valued.withColumn("start", start).withColumn("score", (F.col("upto") - before) / width).where((F.col("start") >= 0) & ((F.col("start") % step == 0) | (F.col("start") == last)) & (F.col("start") <= last)).select(key, "start", "score")
 
 
-def _indices(texts: list[str]) -> np.ndarray:
-    """Symbol indices of the joined texts."""
-    at = np.full(256, -1, np.int64)
-    at[np.frombuffer(CANON.encode(), np.uint8)] = np.arange(N)
-    x = at[np.frombuffer("".join(texts).encode(), np.uint8)]
-    if (x < 0).any():
-        raise ValueError("not a canonical string")
-    return x
-
-
 def _codes(x: np.ndarray, n: int) -> np.ndarray:
     """Numbers of the n-grams along the last axis."""
     last = x.shape[-1] - n + 1
@@ -114,7 +104,7 @@ def value_table(fitted: DataFrame, n: int) -> np.ndarray:
         raise ValueError(f"n must be 1 to {BROADCAST_N}")
     known = fitted.select("gram", "logp", "floor").toArrow()
     values = np.full(N**n, known["floor"][0].as_py() if len(known) else np.nan)
-    values[_codes(_indices(known["gram"].to_pylist()).reshape(-1, n), n)[:, 0]] = known["logp"].to_numpy()
+    values[_codes(indices("".join(known["gram"].to_pylist())).reshape(-1, n), n)[:, 0]] = known["logp"].to_numpy()
     return values
 
 
@@ -125,7 +115,7 @@ def _per_text(texts: DataFrame, key: str, canon: str, n: int, handle, columns: s
     def run(batches):  # noqa: ANN001, ANN202
         for batch in batches:
             batch = batch.filter(pc.greater_equal(pc.binary_length(batch.column(1)), n))
-            made = list(zip(*(handle(_indices([t])) for t in batch.column(1).to_pylist())))
+            made = list(zip(*(handle(indices(t)) for t in batch.column(1).to_pylist())))
             if made:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(m, t, from_pandas=True) for m, t in zip(made, types))], names)
 

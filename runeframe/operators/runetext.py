@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runeframe.operators.prefix import running_totals
+from runeframe.operators.prefix import last_before, running_totals
 
 
 def is_word_end(marks: Column, printed_here: Column | None = None) -> Column:
@@ -82,16 +82,31 @@ def sections_by_offset(runes: DataFrame, order: Column, starts: DataFrame) -> Da
 
     ``starts``: ``page, first_rune, section``, one row per section. Starts are joined to their rune
     by equality and carried forward along the page order, in two levels: inside a page by window,
-    and from page to page over one row per page.
+    and from page to page by range partitions over one row per page. ``asof_sections`` takes starts
+    that have no rune row of their own.
     """
     marked = runes.join(starts.select("page", F.col("first_rune").alias("pos"), "section"), ["page", "pos"], "left").withColumn("o", order)
     inside = Window.partitionBy("page").orderBy("pos")
     local = marked.withColumn("own", F.last("section", ignorenulls=True).over(inside))
     pages = local.groupBy("page").agg(F.min("o").alias("o"), F.max_by("own", "pos").alias("ends_in"))
-    carried = pages.select("page", F.last("ends_in", ignorenulls=True).over(Window.orderBy("o").rowsBetween(Window.unboundedPreceding, -1)).alias("from_before"))
+    carried = last_before(pages, ["o", "page"], "ends_in", "from_before").select("page", "from_before")
     return local.join(carried, "page").withColumn("section", F.coalesce("own", "from_before")).drop("own", "from_before", "o")
 
 
+def asof_sections(points: DataFrame, starts: DataFrame, page: str, pos: str) -> DataFrame:
+    """``points`` with ``section``: the last start at or before each point in the order of pages and positions; null before the first.
+
+    ``starts``: ``page, first_rune, section``. Both sides are one stream in order, so no point is
+    compared with more than the start before it, whatever the number of starts. Points with a null
+    page or position have no section.
+    """
+    marks = starts.select(F.col("page").alias("_pg"), F.col("first_rune").cast("long").alias("_at"), F.lit(0).alias("_kind"), F.lit(0).cast("long").alias("_n"), F.col("section").alias("_s"), F.lit(None).cast(points.select(F.struct("*")).schema[0].dataType).alias("_row"))
+    rows = points.select(F.col(page).alias("_pg"), F.col(pos).cast("long").alias("_at"), F.lit(1).alias("_kind"), F.monotonically_increasing_id().alias("_n"), F.lit(None).cast("string").alias("_s"), F.struct("*").alias("_row"))
+    placed = rows.where(F.col(page).isNotNull() & F.col(pos).isNotNull())
+    found = last_before(marks.unionAll(placed.select(*marks.columns)), ["_pg", "_at", "_kind", "_n"], "_s", "section").where("_kind = 1").select("_row.*", "section")
+    return found.unionAll(points.where(F.col(page).isNull() | F.col(pos).isNull()).withColumn("section", F.lit(None).cast("string")))
+
+
 def section_after(sections: DataFrame, order: str) -> DataFrame:
     """Each section with the next one in order."""
     return sections.withColumn("next_section", F.lead("section").over(Window.orderBy(order)))

@@ -6,6 +6,8 @@ corpus aggregate exploded n-grams with map-side partial aggregation.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +47,49 @@ def periodic_ioc(canon: Column, period: int) -> Column:
     return F.when(F.size(figures) > 0, F.aggregate(figures, F.lit(0.0), lambda a, v: a + v) / F.size(figures)).otherwise(F.lit(0.0))
 
 
+def periods(texts: DataFrame, key: str, canon: str, least: int = 2, most: int = 12) -> DataFrame:
+    """``key, period, ioc``: the coincidence index of every period of every text, as ``periodic_ioc`` gives it.
+
+    All texts of an Arrow batch are counted at once, once per period: as expressions this would be
+    one pass over the text per coset and symbol.
+    """
+    if not 1 <= least <= most:
+        raise ValueError("need 1 <= least <= most")
+    spans = np.arange(least, most + 1)
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            if not texts:
+                continue
+            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+            of = np.repeat(np.arange(len(texts)), sizes)
+            at = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            symbol = indices("".join(texts))
+            figures = np.zeros((len(texts), len(spans)))
+            for j, period in enumerate(spans.tolist()):
+                counted = np.bincount((of * period + at % period) * N + symbol, minlength=len(texts) * period * N).reshape(-1, N)
+                size = counted.sum(1)
+                coset = (counted * (counted - 1)).sum(1) / np.maximum(size * (size - 1), 1) * N
+                several = (size >= 2).reshape(-1, period)
+                figures[:, j] = (coset.reshape(-1, period) * several).sum(1) / np.maximum(several.sum(1), 1)
+            take = pa.array(np.repeat(np.arange(len(texts)), len(spans)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(np.tile(spans, len(texts)), pa.int32()), pa.array(figures.ravel())], [key, "period", "ioc"])
+
+    kind = texts.schema[key].dataType.simpleString()
+    return texts.select(key, canon).where(F.col(canon).isNotNull()).mapInArrow(run, f"{key} {kind}, period int, ioc double")
+
+
+def indices(joined: str) -> np.ndarray:
+    """Symbol indices of a canonical string."""
+    at = np.full(256, -1, np.int64)
+    at[np.frombuffer(CANON.encode(), np.uint8)] = np.arange(N)
+    found = at[np.frombuffer(joined.encode(), np.uint8)]
+    if (found < 0).any():
+        raise ValueError("not a canonical string")
+    return found
+
+
 def entropy(canon: Column) -> Column:
     """Bits per symbol; 0 for an empty text."""
     n = F.greatest(F.length(canon), F.lit(1)).cast("double")

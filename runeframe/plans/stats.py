@@ -73,15 +73,9 @@ def doublets_by_doc(spark, d):  # noqa: ANN001, ANN201
     return spelled(spark, d).select("doc_id", stats.doublets(c).alias("doublets"), F.round(stats.doublet_rate(c), 6).alias("rate"))
 
 
-def _periods(texts):  # noqa: ANN001, ANN202
-    c = F.col("canon")
-    figures = F.inline(F.array(*(F.struct(F.lit(p).alias("period"), F.round(stats.periodic_ioc(c, p), 6).alias("ioc")) for p in range(2, LONG_PERIOD + 1))))
-    return texts.select("id", figures)
-
-
 def periodic_ioc(spark, d):  # noqa: ANN001, ANN201
     """Every period of every cited sequence."""
-    return _periods(cited(spark, d))
+    return stats.periods(cited(spark, d), "id", "canon", 2, LONG_PERIOD).withColumn("ioc", F.round("ioc", 6))
 
 
 def chi2_vs_english(spark, d):  # noqa: ANN001, ANN201

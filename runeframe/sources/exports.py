@@ -2,7 +2,8 @@
 
 A header line opens a message; it counts only after a blank line and with a time that exists.
 Lines in braces open an extra block, which a blank line ends. The line states are running values
-over a file's lines, so files are partitions and a file is never a Python loop.
+over blocks of a file's lines; what a block inherits comes from one row per block, so a large file
+is many partitions.
 """
 
 from __future__ import annotations
@@ -10,6 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from runeframe.operators.prefix import running_totals
+from runeframe.session import cut_lineage
+
+#: Lines per block of a file, and lines at its head that may name the channel.
+BLOCK, HEAD = 4096, 6
 #: Fixed patterns of the line grammar; dots and ends in Unix mode, white space of any kind.
 HEADER = r"(?dU)^\[([^\]]*)\] (.*)$"
 SHAPE = r"(?dU)^\[\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2} [AP]M\] \S.*$"
@@ -43,22 +49,32 @@ def parse_exports(files: DataFrame) -> DataFrame:
     one line end; after a blank line, text behind an extra block is body again. A header-shaped
     line with an impossible time is body wherever it stands. Files without a message give no row.
     """
-    lines = files.select(_stem(F.col("path")).alias("channel"), F.posexplode(F.split(F.regexp_replace("content", "\r\n?", "\n"), "\n")).alias("line", "ln")).withColumn("line", F.col("line") + 1)
-    order = Window.partitionBy("channel").orderBy("line")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    name = F.when((F.col("line") <= 6) & F.startswith("ln", F.lit("Channel:")), F.struct("line", F.regexp_replace(F.regexp_replace("ln", r"^[^:]*:", ""), r"(?U)^\s+|\s+$", "").alias("name")))
+    split = files.select(_stem(F.col("path")).alias("channel"), F.split(F.regexp_replace("content", "\r\n?", "\n"), "\n").alias("all"))
+    named = F.filter(F.slice("all", 1, HEAD), lambda ln: F.startswith(ln, F.lit("Channel:")))
+    name = F.regexp_replace(F.regexp_replace(F.get(named, F.lit(0)), r"^[^:]*:", ""), r"(?U)^\s+|\s+$", "")
+    each = F.transform("all", lambda ln, i: F.struct((i + 1).alias("line"), ln.alias("ln"), F.get("all", i - 1).alias("above")))
+    lines = split.select("channel", F.coalesce(name, F.col("channel")).alias("channel_name"), F.inline(each))
     blank = F.col("ln").rlike(BLANK)
-    at = F.try_to_timestamp(F.regexp_extract("ln", HEADER, 1), F.lit("M/d/yyyy h:mm a"))
     marked = (
         lines.withColumn("blank", blank)
-        .withColumn("shaped", F.coalesce(F.lag("blank").over(order), F.lit(True)) & F.col("ln").rlike(SHAPE))
-        .withColumn("at", F.when(F.col("shaped"), at))
+        .withColumn("shaped", F.coalesce(F.col("above").rlike(BLANK), F.lit(True)) & F.col("ln").rlike(SHAPE))
+        .withColumn("at", F.when(F.col("shaped"), F.try_to_timestamp(F.regexp_extract("ln", HEADER, 1), F.lit("M/d/yyyy h:mm a"))))
         .withColumn("head", F.col("at").isNotNull())
-        .withColumn("seq", F.sum(F.col("head").cast("int")).over(so_far))
-        .withColumn("channel_name", F.coalesce(F.min(name).over(Window.partitionBy("channel"))["name"], F.col("channel")))
+        .withColumn("block", F.expr(f"line div {BLOCK}"))
+        .drop("above")
     )
     state = F.when(F.col("head"), F.lit(False)).when(F.col("shaped"), F.lit(None)).when(F.col("ln").rlike(BRACES), F.lit(True)).when(F.col("blank"), F.lit(False))
-    staged = marked.withColumn("extra", F.coalesce(F.last(state, ignorenulls=True).over(so_far), F.lit(False)) & ~F.col("shaped")).where("seq > 0")
+    inside = Window.partitionBy("channel", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    local = cut_lineage(marked.withColumn("heads", F.sum(F.col("head").cast("int")).over(inside)).withColumn("state", F.last(state, ignorenulls=True).over(inside)))
+    blocks = local.groupBy("channel", "block").agg(F.max("heads").alias("n"), F.max_by("state", "line").alias("ends_in"))
+    earlier = Window.partitionBy("channel").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    inherited = blocks.select("channel", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), F.last("ends_in", ignorenulls=True).over(earlier).alias("was"))
+    staged = (
+        local.join(inherited, ["channel", "block"])
+        .withColumn("seq", (F.col("heads") + F.col("before")).cast("int"))
+        .withColumn("extra", F.coalesce("state", "was", F.lit(False)) & ~F.col("shaped"))
+        .where("seq > 0")
+    )
     keep = ~F.col("head") & ~F.col("blank")
 
     def joined(which: Column) -> Column:
@@ -74,7 +90,7 @@ def parse_exports(files: DataFrame) -> DataFrame:
     )
     # ids without gathering all messages: counts per channel give each channel's first id
     sizes = done.groupBy("channel").agg(F.count(F.lit(1)).alias("k"))
-    first = sizes.select("channel", (F.sum("k").over(Window.orderBy("channel")) - F.col("k")).alias("before"))
+    first = running_totals(sizes, ["channel"], "k").select("channel", "before")
     return done.join(first, "channel").select((F.col("before") + F.col("seq")).alias("id"), *done.columns)
 
 
