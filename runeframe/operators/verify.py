@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runeframe.functions.alphabet import CANON, N, PRIMES, RUNES, SPELLINGS, spell
+from runeframe.functions.alphabet import CANON, N, PRIMES, RUNES, SPELLINGS, canon_of_runes, index_digest, spell
 from runeframe.operators.runetext import first_mismatch
+from runeframe.sources.transcriptions import corpus_digest
 
 SCHEMA = "name string, passed boolean, detail string"
 
@@ -74,3 +77,98 @@ def sequence_checks(runes: DataFrame, messages: DataFrame) -> DataFrame:
 
 def report(checks: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, checks)
+
+
+@dataclass(frozen=True)
+class Pins:
+    """What a corpus is known to hold; a pin that is None leaves its check to compare without an expected number.
+
+    ``invertible``: for sections whose text is the English under i -> a*i + b, the pair (a, b) that undoes it.
+    ``gaps``: symbols by which a section's text goes on behind its last sentence.
+    """
+
+    digest: str | None = None
+    unsolved_sections: tuple[str, ...] | None = None
+    unsolved_length: int | None = None
+    unsolved_digest: str | None = None
+    printed_characters: int | None = None
+    exact_sentences: int | None = None
+    long_sentences: int | None = None
+    headlines: int | None = None
+    sentence_sections: int | None = None
+    invertible: tuple[tuple[str, tuple[int, int]], ...] = ()
+    gaps: tuple[tuple[str, int], ...] = ()
+
+    @staticmethod
+    def read(path: str) -> Pins:
+        with open(path, encoding="utf-8") as f:
+            stated = json.load(f)
+        stated["invertible"] = tuple((k, tuple(v)) for k, v in stated.get("invertible", {}).items())
+        stated["gaps"] = tuple(stated.get("gaps", {}).items())
+        if stated.get("unsolved_sections") is not None:
+            stated["unsolved_sections"] = tuple(stated["unsolved_sections"])
+        return Pins(**stated)
+
+
+def _equal(spark, name: str, found, pinned, shown: str | None = None) -> DataFrame:  # noqa: ANN001
+    """A figure against its pin; without a pin the figure is shown and the check is skipped."""
+    if pinned is None:
+        return skipped(spark, name, f"no pin, found {shown or found}")
+    return spark.createDataFrame([(name, found == pinned, f"{shown or found} (pinned {pinned})")], SCHEMA)
+
+
+def _undone(canon: Column, by: tuple[int, int]) -> Column:
+    a, b = by
+    return F.translate(canon, CANON, "".join(CANON[(a * i + b) % N] for i in range(N)))
+
+
+def corpus_checks(corpus, pins: Pins) -> DataFrame:  # noqa: ANN001
+    """The nine checks of a loaded corpus: ``name, passed, detail``; a check whose table is absent is skipped.
+
+    Every comparison states how many rows it compared, and where that number is pinned a vacuous
+    comparison fails.
+    """
+    spark, texts = corpus.spark, corpus.texts()
+    open_now = tuple(r[0] for r in corpus.of_status(False).select("section").collect())
+    stream = corpus.unsolved().select("n", index_digest(F.col("canon")).alias("digest")).first()
+    printed = corpus.printed.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    digest = corpus_digest(corpus.places.files())
+    checks = [
+        _equal(spark, "corpus files", digest, pins.digest, digest[:16]),
+        _equal(spark, "unsolved by status", open_now, pins.unsolved_sections, ", ".join(open_now)),
+        _equal(spark, "unsolved length", stream["n"], pins.unsolved_length),
+        _equal(spark, "unsolved digest", stream["digest"], pins.unsolved_digest, stream["digest"][:16]),
+        _equal(spark, "printed characters", printed, pins.printed_characters),
+    ]
+    inverse = dict(pins.invertible)
+    plain = F.col("canon")
+    for section, by in inverse.items():
+        plain = F.when(F.col("section") == section, _undone(F.col("canon"), by)).otherwise(plain)
+    known = F.col("section").isin(*inverse) if inverse else F.lit(False)
+    if corpus.sentences is None:
+        checks += [skipped(spark, name, "no sentence table") for name in ("speller exact", "sentences")]
+    else:
+        solved = corpus.of_status(True).select("section")
+        told = corpus.sentences.where("english <> ''").join(solved, "section").select("section", "english", canon_of_runes(F.col("runes")).alias("canon"))
+        told = told.withColumn("plain", plain).withColumn("exact", known)
+        right = F.when(F.col("exact"), spell(F.col("english")) == F.col("plain")).otherwise(F.length(spell(F.col("english"))) == F.length("canon"))
+        expected = None if pins.exact_sentences is None or pins.long_sentences is None else pins.exact_sentences + pins.long_sentences
+        checks.append(check("speller exact", told, ~right, exactly=expected))
+        ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "canon"))), lambda r: r["canon"]), "")
+        told = corpus.sentences.select("section", "ord", canon_of_runes(F.col("runes")).alias("canon")).groupBy("section").agg(ordered.alias("told"))
+        gap = F.lit(0)
+        for section, k in pins.gaps:
+            gap = F.when(F.col("section") == section, k).otherwise(gap)
+        both = told.join(texts, "section")
+        off = ~F.startswith("canon", "told") | (F.col("n") - F.length("told") != gap)
+        checks.append(check("sentences", both, off, exactly=pins.sentence_sections))
+    runic = F.col("headline_form") == "runic"
+    head = F.when(runic, canon_of_runes(F.col("headline"))).otherwise(spell(F.col("headline")))
+    begun = corpus.sections.select("section", "headline", "headline_form").where((runic | known) & (F.col("headline") != "")).join(texts, "section")
+    checks.append(check("headlines", begun, ~F.startswith(F.when(runic, F.col("canon")).otherwise(plain), head), exactly=pins.headlines))
+    owned = corpus.pages.where("section <> ''").groupBy("section").agg(F.max_by("page", "ord").alias("last"))
+    torn = corpus.sections.join(owned, "section").where(F.col("last") != F.col("last_page")).count()
+    pages, sections = (corpus.texts(by).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for by in ("page", "section"))
+    detail = f"{pages} runes on pages, {sections} in sections, {torn} sections end elsewhere"
+    checks.append(spark.createDataFrame([("spans", pages == sections and not torn, detail)], SCHEMA))
+    return report(checks)

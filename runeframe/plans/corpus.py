@@ -114,8 +114,10 @@ def export_parse(spark, d):  # noqa: ANN001, ANN201
 
 
 def _entries(spark, d):  # noqa: ANN001, ANN202
+    """The log's entries with the line each would be written as, every column in it."""
     e = table(spark, d, "experiments")
-    return e.withColumn("verdict", explog.clean_verdict(F.col("verdict"))).withColumn("raw", F.to_json(F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("section", "method", "coverage", "notes")))))
+    line = F.to_json(F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in e.columns)))
+    return e.withColumn("raw", line).withColumn("verdict", explog.clean_verdict(F.col("verdict")))
 
 
 def log_next_id(spark, d):  # noqa: ANN001, ANN201
@@ -200,8 +202,14 @@ ORACLES = {
     "export_parse": _EX,
     "log_next_id": "select coalesce(max(id), 0) + 1 next_id from experiments",
     "log_filter": f"with {_EN} select id, section, v verdict from en where v = 'disproved'",
-    "log_search_json": f"select id from experiments where contains(lower(concat_ws('|', section, method, coverage, notes)), '{TERM}')",
+    "log_search_json": f"select id from experiments where contains(lower(concat_ws('|', id, ts, section, method, params, coverage, verdict, notes)), '{TERM}')",
     "log_params_json": "select case when params is null then 'none' when json_valid(params) and json_type(case when json_valid(params) then params end) = 'OBJECT' then 'object' else 'text' end kind, count(*) n from experiments group by 1",
     "log_times": "select id, " + _AR.split("body, ", 1)[1].rsplit(" from messages", 1)[0] + " from experiments",
+    "corpus_verify": f"""with c as (select 'alphabet' as name, 29 n, 0 bad union all select 'spelling', {len(A.SPELLINGS) - 1}, 0
+       union all select 'canon alphabet', count(*), coalesce(sum((coalesce(not regexp_full_match(canon, '[a-z012]+'), true))::int), 0) from runes
+       union all select 'lengths', count(*), coalesce(sum((coalesce(n <> length(canon), true))::int), 0) from runes where n is not null
+       union all select 'notations', count(*), coalesce(sum((coalesce(notation not in ('runic', 'runic-joined', 'numeric', 'translit'), true))::int), 0) from runes
+       union all select 'messages cited', count(*), coalesce(sum((m is null)::int), 0) from (select distinct msg_id from runes) r left join (select distinct id m from messages) on m = msg_id)
+       select name, bad = 0 and n > 0 as passed, n || ' compared, ' || bad || ' wrong' detail from c""",
     "stale_files": "select 'newcomers' as file, 'removed' as state union all select 'hash-hunt', 'changed' union all select 'latecomers', 'added'",
 }

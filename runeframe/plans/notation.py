@@ -69,14 +69,14 @@ def _each(cte: str, name: str) -> str:
 
 
 _ALL = f"with {_RUNIC}, {_JOINED}, {_NUMERIC}, {_TRANSLIT}, al as (select * from rn union all select * from jn union all select * from nu union all select * from tl)"
-_IDX = _ALL + ", ix as (select id msg_id, k, canon, length(canon)::int n from al where length(canon) >= 3 group by 1, 2, 3 qualify row_number() over (partition by id, canon order by k) = 1)"
+_IDX = _ALL + ", ix as (select al.id msg_id, k, canon, length(canon)::int n, arg_min(raw, strpos(body, raw)) raw from al join messages on messages.id = al.id where length(canon) >= 3 group by 1, 2, 3 qualify row_number() over (partition by al.id, canon order by k) = 1)"
 _NAMES = "['runic', 'runic-joined', 'numeric', 'translit'][k + 1]"
-QUERIES = {"extract_runic": extract_runic, "extract_joined": extract_joined, "extract_numeric": extract_numeric, "extract_translit": extract_translit, "extract_counts": extract_counts, "extract_indexed": lambda s, d: extract_indexed(s, d).drop("raw")}
+QUERIES = {"extract_runic": extract_runic, "extract_joined": extract_joined, "extract_numeric": extract_numeric, "extract_translit": extract_translit, "extract_counts": extract_counts, "extract_indexed": extract_indexed}
 ORACLES = {
     "extract_runic": _each(_RUNIC, "rn"),
     "extract_joined": _each(_JOINED, "jn"),
     "extract_numeric": _each(_NUMERIC, "nu"),
     "extract_translit": _each(_TRANSLIT, "tl"),
     "extract_counts": _IDX + f" select {_NAMES} notation, count(*) as found from ix group by 1",
-    "extract_indexed": _IDX + f" select msg_id, {_NAMES} notation, canon, n from ix",
+    "extract_indexed": _IDX + f" select msg_id, {_NAMES} notation, canon, n, substring(trim(raw), 1, 400) raw from ix",
 }

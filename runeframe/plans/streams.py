@@ -25,7 +25,9 @@ def stream_once(spark, d):  # noqa: ANN001, ANN201
 
 
 def stream_sessions(spark, d):  # noqa: ANN001, ANN201
-    return A.run_available(A.sessions(_events(spark, d), "ts", "user_id"))
+    """Sessions per user that the watermark has closed: all but those that end within the gap before the last event."""
+    found = A.run_available(A.sessions(_events(spark, d), "ts", "user_id"))
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start_at", "closed_at")})
 
 
 def stream_claims(spark, d):  # noqa: ANN001, ANN201
@@ -36,5 +38,9 @@ def stream_claims(spark, d):  # noqa: ANN001, ANN201
 QUERIES = {f.__name__: f for f in (stream_event_counts, stream_once, stream_sessions, stream_claims)}
 ORACLES = {
     "stream_event_counts": "select date_trunc('day', ts)::timestamp as start, date_trunc('day', ts)::timestamp + interval 1 day as end, event_type, count(*) n from events group by all",
+    "stream_sessions": """with g as (select user_id, ts, coalesce(ts > lag(ts) over w + interval 6 hours, true) fresh from events window w as (partition by user_id order by ts)),
+       s as (select user_id, ts, sum(fresh::int) over (partition by user_id order by ts rows unbounded preceding) k from g), c as (select user_id, min(ts)::timestamp start_at, max(ts)::timestamp + interval 6 hours closed_at, count(*) n from s group by user_id, k)
+       select * from c where closed_at <= (select max(ts)::timestamp - interval 6 hours from events)""",
+    "stream_claims": """select '0.' || (user_id % 5) as section, event_type as method, case when arg_max(value, ts) > 50 then 'running' else 'done' end state, count(*) entries from events group by 1, 2""",
     "stream_once": "select distinct event_id, user_id, event_type from events",
 }
