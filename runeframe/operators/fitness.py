@@ -8,13 +8,15 @@ the model as an array: Spark has no expression that looks up a text's n-grams wi
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runeframe.functions.alphabet import N
+from runeframe.functions.alphabet import CANON, N
 from runeframe.operators.stats import indices, ngram_counts, ngrams
 from runeframe.session import cut_lineage
 
@@ -59,6 +61,21 @@ def model(texts: DataFrame, canon: str, n: int = 4, order: str | None = None) ->
     return counted.join(F.broadcast(total)).select("gram", F.log10(F.col("n") / F.col("total")).alias("logp"), (F.log10(F.lit(1.0) / F.col("total")) - FLOOR_PENALTY).alias("floor"))
 
 
+def training_sha256(texts: DataFrame, canon: str, order: str) -> tuple[str, int]:
+    """SHA-256 over one byte per symbol of the texts in order, and the number of symbols.
+
+    A running digest depends on order and cannot be taken in parts, so the texts stream through the
+    driver one partition at a time and are never held together; ``training_digest`` of the
+    queries is the distributed form.
+    """
+    digest, n = hashlib.sha256(), 0
+    place = str.maketrans({c: chr(i) for i, c in enumerate(CANON)})
+    for (text,) in texts.where(F.col(canon).isNotNull()).orderBy(order).select(canon).toLocalIterator():
+        digest.update(text.translate(place).encode("latin-1"))
+        n += len(text)
+    return digest.hexdigest(), n
+
+
 def _looked_up(grams: DataFrame, fitted: DataFrame, n: int) -> DataFrame:
     known = fitted.select("gram", "logp")
     floor = F.broadcast(fitted.agg(F.max("floor").alias("floor")))

@@ -146,6 +146,11 @@ def training_digest(spark, d):  # noqa: ANN001, ANN201
     return level.groupBy("lang").agg(F.sha2(joined.cast("binary"), 256).alias("digest"))
 
 
+def training_sha256(spark, d):  # noqa: ANN001, ANN201
+    """Digest and length of the English documents' symbols in id order, as one stream."""
+    return spark.createDataFrame([fitness.training_sha256(english(spark, d), "canon", "doc_id")], "digest string, n long")
+
+
 _MAP = "MAP {" + ", ".join(f"'{s}': '{A.CANON[i]}'" for s, i in A.SPELLINGS.items()) + "}"
 SPELLED_SQL = f"""
 lt as (select doc_id, lang, regexp_replace(upper(strip_accents(replace(replace(text, 'ß', 'ss'), chr(160), ' '))), '[^A-Z\\s]', '', 'g') u
@@ -214,6 +219,7 @@ _SQLS = {
       v as (select doc_id, pos, sum(coalesce(logp, floor)) over (partition by doc_id order by pos) u from {_grams('de', 'doc_id', 4)} left join m using (gram), fl),
       w as (select doc_id, length(canon) len, unnest(case when length(canon) <= 100 then [0] else list_distinct(list_concat(range(0, length(canon) - 99, 25), [length(canon) - 100])) end) s from de where length(canon) >= 4)
       select w.doc_id, round(max((e.u - coalesce(b.u, 0)) / (least(100, len) - 3)), 5) best from w join v e on e.doc_id = w.doc_id and e.pos = s + least(100, len) - 4 left join v b on b.doc_id = w.doc_id and b.pos = s - 1 group by 1""",
+    "training_sha256": _W + f"""select sha256(unhex(string_agg(array_to_string(list_transform(string_split(canon, ''), lambda c: printf('%02x', strpos({_C}, c) - 1)), ''), '' order by doc_id))) digest, sum(length(canon))::bigint n from english where canon <> ''""",
     "training_digest": _W + """select lang, sha256(string_agg(h, '' order by a2)) digest from (select lang, a1 // 1024 a2, sha256(string_agg(h, '' order by a1)) h from (
        select lower(lang) lang, doc_id // 1024 a1, sha256(string_agg(sha256(canon), '' order by doc_id)) h from spelled where lang is not null group by 1, 2) group by 1, 2) group by 1""",
 }
