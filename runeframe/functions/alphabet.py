@@ -97,6 +97,11 @@ def spell(text: Column) -> Column:
     return F.when(~has_symbol(text), canon)
 
 
+def spell_runes(text: Column) -> Column:
+    """English text as runes; NULL where ``spell`` gives NULL."""
+    return runes_of(spell(text))
+
+
 def canon_of_runes(runes: Column) -> Column:
     """Canonical string of the 29 runes in a text; other characters are skipped."""
     return F.translate(F.regexp_replace(runes, f"[^{RUNES}]", ""), RUNES, CANON)

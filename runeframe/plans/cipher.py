@@ -68,6 +68,14 @@ def phi_prime(spark, d):  # noqa: ANN001, ANN201
     return _by_length(_texts(spark, d), C.phi_prime_decrypt(X, LONGEST, S), lambda n: C.keystream(C.primes_below(spark, C.prime_bound(n))))
 
 
+def phi_prime_joined(spark, d):  # noqa: ANN001, ANN201
+    """Every text less the primes minus one, symbol by symbol from the keystream's table, however long the text."""
+    texts = _texts(spark, d)
+    longest = texts.agg(F.max(F.size(X))).first()[0] or 0
+    stream = C.keystream(C.primes_below(spark, C.prime_bound(longest)))
+    return _out(C.stream_decrypt(texts, "id", X, stream, S), F.col("out"))
+
+
 def _by_length(texts, short, stream):  # noqa: ANN001, ANN202
     """Texts up to ``LONGEST`` symbols inside their row, longer ones joined with their keystream as a table."""
     fits = F.size(X) <= LONGEST
@@ -120,6 +128,7 @@ _SQLS = {
     "beaufort": _sql(f"{_K}[({{o}} % 8)::int + 1] - {{x}}"),
     "variant_beaufort": _sql(f"{{x}} + {_K}[({{o}} % 8)::int + 1]"),
     "running_key": _sql("{x} - ({o} * {o}) % 29"),
+    "phi_prime_joined": _sql(f"{{x}} - {_PH}[{{o}}::int + 1]"),
     "phi_prime": _sql(f"{{x}} - {_PH}[{{o}}::int + 1]"),
     "autokey_ct": _TX + f"""select id, array_to_string(list_transform(range(n), lambda i: substring({_A}, (case when list_contains(s, i) then x[i::int + 1]
        else (x[i::int + 1] - list_concat({_K}, list_transform(list_filter(range(n), lambda q: not list_contains(s, q)), lambda q: x[q::int + 1]))[(i - len(list_filter(s, lambda q: q < i)))::int + 1] + 29) % 29 end)::int + 1, 1)), '') as out from tx""",

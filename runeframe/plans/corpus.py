@@ -11,6 +11,7 @@ from runeframe.operators import verify as V
 from runeframe.plans.search import _AR, messages
 from runeframe.session import table
 from runeframe.sources import exports, explog
+from runeframe.sources.corpus import UNSOLVED
 from runeframe.sources.transcriptions import parse_pages
 
 FILE_ROWS = 100_000
@@ -84,6 +85,12 @@ def section_range_join(spark, d):  # noqa: ANN001, ANN201
     return R.asof_sections(points, starts, "page", "pos").select("id", "section")
 
 
+def section_status_counts(spark, d):  # noqa: ANN001, ANN201
+    """Documents per section with the section's status: lookup by id, and what is told about solved and unsolved ones."""
+    about = table(spark, d, "documents").groupBy("section").agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, d, "sections").select("section", "status", (F.col("status") == UNSOLVED).alias("unsolved")).join(about, "section", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 def section_after(spark, d):  # noqa: ANN001, ANN201
     parts = F.split("section", r"\.")
     numbered = table(spark, d, "sections").withColumn("o", parts[0].cast("int") * 1000 + parts[1].cast("int"))
@@ -181,7 +188,7 @@ _EX = f"""with {_AR.replace('author, body,', 'author, body, extra,')}, ok as (se
  select row_number() over (order by f, seq) id, f channel, 'Part of it' channel_name, strftime(tm, '%Y-%m-%d %H:%M') ts, regexp_replace(a, '\\s*\\(pinned\\)$', '') author, regexp_matches(a, '\\s*\\(pinned\\)$') pinned,
    regexp_replace(coalesce(b, ''), '^{_WS}+|{_WS}+$', '', 'g') body, regexp_replace(coalesce(x, ''), '^{_WS}+|{_WS}+$', '', 'g') extra, seq::int seq, line from au"""
 _EN = "en as (select *, case when lower(trim(verdict)) in ('running', 'disproved', 'abandoned', 'inconclusive', 'promising', 'solved') then lower(trim(verdict)) end v from experiments)"
-_NAMES = ("transcription_parse", "transcription_printed", "words_islands", "lines_islands", "concat_offsets", "slice_reversed_odd", "slice_range", "asof_pinned", "section_range_join", "section_after", "first_mismatch", "export_parse", "log_next_id", "log_filter", "log_search_json", "log_params_json", "log_times", "stale_files", "corpus_verify")
+_NAMES = ("transcription_parse", "transcription_printed", "words_islands", "lines_islands", "concat_offsets", "slice_reversed_odd", "slice_range", "asof_pinned", "section_range_join", "section_status_counts", "section_after", "first_mismatch", "export_parse", "log_next_id", "log_filter", "log_search_json", "log_params_json", "log_times", "stale_files", "corpus_verify")
 QUERIES = {name: globals()[name] for name in _NAMES}
 ORACLES = {
     "transcription_parse": f"with {_TK} select page, pos, idx, line::bigint as line, row_number() over (partition by page, line order by pos)::int as col, marks_after from rr",
@@ -194,6 +201,7 @@ ORACLES = {
     "slice_range": f"with {_TK} select page, string_agg(substring({_C}, idx + 1, 1), '' order by pos) canon from (select *, max(pos) over (partition by page) m from rr) where pos >= 3 and pos < m - 1 group by 1",
     "asof_pinned": f"""with ap as (select channel, seq, id, pinned from messages where channel is not null and seq is not null qualify row_number() over (partition by channel, seq order by id) = 1)
        select id, last_value(case when pinned then id end ignore nulls) over (order by channel collate "binary", seq rows unbounded preceding) pinned_id from ap""".replace(' collate "binary"', ""),
+    "section_status_counts": "select s.section, status, status = 'unsolved' as unsolved, count(doc_id) n from sections s left join documents d using (section) group by 1, 2, 3",
     "section_range_join": f"""select p.id, s.section from (select id, 'leaf-' || lpad((id % {LEAVES})::varchar, 2, '0') || ' ' || lpad((id * 7 % 100)::varchar, 9, '0') k from runes) p
        asof left join (select first_page || ' ' || lpad(first_rune::varchar, 9, '0') k, section from sections where first_page is not null and first_rune is not null) s on p.k >= s.k""",
     "section_after": "select section, lead(section) over (order by split_part(section, '.', 1)::int, split_part(section, '.', 2)::int) next_section from sections",

@@ -11,6 +11,7 @@ from runeframe.session import cut_lineage, shared_place, table
 from runeframe.sources import indexstore
 
 AND_QUERY, OR_QUERY, NOT_QUERY = "running key", "histogram OR lantern OR anneal*", "lattice NOT cipher"
+FALLBACK_QUERY = "window ( scoring"
 PHRASE_QUERY, NEAR_QUERY = '"window scoring"', "NEAR(fresh repeated, 12)"
 SEQUENCE = "ᛋᛏᚱ"
 LIMIT = 50
@@ -65,7 +66,7 @@ def context_blocks(spark, d):  # noqa: ANN001, ANN201
 
 
 def rune_search_longest(spark, d):  # noqa: ANN001, ANN201
-    return S.sequence_hits(messages(spark, d), table(spark, d, "runes"), SEQUENCE, limit=LIMIT).select("id", "n", "notation")
+    return S.sequence_hits(messages(spark, d), table(spark, d, "runes"), SEQUENCE, limit=LIMIT).select("id", "n", "notation", "note")
 
 
 def filter_channel_since(spark, d):  # noqa: ANN001, ANN201
@@ -121,12 +122,14 @@ def _rank_sql(phrases, hit):  # noqa: ANN001, ANN202
 _AND = ([("running", False), ("key", False)], "contains({t}, ' running ') and contains({t}, ' key ')")
 _OR = ([("histogram", False), ("lantern", False), ("anneal", True)], "(contains({t}, ' histogram ') or contains({t}, ' lantern ') or contains({t}, ' anneal'))")
 _NOT = ([("lattice", False)], "contains({t}, ' lattice ') and not contains({t}, ' cipher ')")
+_FALLBACK = ([("window", False), ("scoring", False)], "contains({t}, ' window ') and contains({t}, ' scoring ')")
 _NEAR = "regexp_matches({t}, ' fresh (?:[^ ]+ ){0,12}repeated | repeated (?:[^ ]+ ){0,12}fresh ')"
 QUERIES = {
     "tokenize_postings": tokenize_postings,
     "bm25_and": _hits(AND_QUERY),
     "bm25_or_prefix": _hits(OR_QUERY),
     "bm25_not": _hits(NOT_QUERY),
+    "bm25_fallback": _hits(FALLBACK_QUERY),
     "phrase_match": _match(PHRASE_QUERY),
     "near_match": _match(NEAR_QUERY),
     "context_docs_6h": context_docs_6h,
@@ -142,13 +145,15 @@ ORACLES = {
     "bm25_and": _rank_sql(*_AND),
     "bm25_or_prefix": _rank_sql(*_OR),
     "bm25_not": _rank_sql(*_NOT),
+    "bm25_fallback": _rank_sql(*_FALLBACK),
     "phrase_match": f"with {_AR}, {_MS} select id from ms where contains(tk, ' window scoring ')",
     "near_match": f"with {_AR}, {_MS} select id from ms where {_NEAR.replace('{t}', 'tk')}",
     "context_docs_6h": f"with {_AR}, {_CTX} select id, md5(text) digest, length(text)::int n from cx",
     "context_blocks": f"""with {_AR}, {_MS}, {_CTX}, {_ranked(*_AND)}, hr as (select ht.id, channel, seq, row_number() over (order by score, ht.id) r from ht join ar using (id)),
       wt as (select distinct channel, seq + unnest([-2, -1, 0, 1, 2]) seq from hr), rw as (select ar.channel, ar.seq, ar.id, ar.seq - row_number() over (partition by ar.channel order by ar.seq) g from wt join ar on ar.channel = wt.channel and ar.seq = wt.seq)
       select rw.channel, min(rw.seq)::int first_seq, max(rw.seq)::int last_seq, any_value(b.r)::int as rank, count(*)::int n, count(hr.id)::int hits from rw left join hr on hr.id = rw.id join (select channel, min(r) r from hr group by 1) b on b.channel = rw.channel group by rw.channel, g""",
-    "rune_search_longest": f"""with {_AR} select a.id, max(coalesce(n, length(canon)))::int n, arg_max(notation, struct_pack(n := coalesce(n, length(canon)), i := -r.id)) notation from runes r join ar a on a.id = r.msg_id
+    "rune_search_longest": f"""with {_AR} select a.id, max(coalesce(n, length(canon)))::int n, arg_max(notation, struct_pack(n := coalesce(n, length(canon)), i := -r.id)) notation,
+      arg_max(notation || ': ' || substring(regexp_replace(trim(raw), '[\\x{{09}}-\\x{{0d}}\\x{{20}}\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g'), 1, 100), struct_pack(n := coalesce(n, length(canon)), i := -r.id)) note from runes r join ar a on a.id = r.msg_id
       where contains(canon, 'pqe') group by 1 order by n desc, a.id limit {LIMIT}""",
     "filter_channel_since": f"with {_AR} select id, ts from ar where channel = 'general-solving' and ts >= '2019-06'",
     "filter_author_until": f"with {_AR} select id, author, ts from ar where contains(lower(author), 'lark') and ts <= '2018' || chr(65535)",

@@ -31,6 +31,12 @@ def spell_documents(spark, d):  # noqa: ANN001, ANN201
     return spelled(spark, d).select("doc_id", "canon", F.length("canon").alias("n"))
 
 
+def spell_runes(spark, d):  # noqa: ANN001, ANN201
+    """Documents as runes."""
+    texts = table(spark, d, "documents").where(F.col("text").isNotNull() & ~A.has_symbol(F.col("text")))
+    return spread(texts.select("doc_id", "text")).select("doc_id", A.spell_runes(F.col("text")).alias("runes"))
+
+
 def unspell_documents(spark, d):  # noqa: ANN001, ANN201
     return spelled(spark, d).select("doc_id", A.unspell(F.col("canon")).alias("latin"))
 
@@ -190,6 +196,7 @@ def _freq(t: str) -> str:
 
 _SQLS = {
     "spell_documents": _W + "select doc_id, canon, length(canon)::int n from spelled",
+    "spell_runes": _W + f"select doc_id, translate(canon, {_C}, '{A.RUNES}') runes from spelled",
     "unspell_documents": _W + f"select doc_id, case when canon = '' then '' else array_to_string(list_transform(string_split(canon, ''), lambda c: {list(A.PRIMARY)}[strpos({_C}, c)]), '') end latin from spelled",
     "canon_roundtrip": _W + f"""select id, translate(canon, {_C}, '{A.RUNES}') glyphs, true as same, list_sum(list_transform(string_split(canon, ''), lambda c: {list(A.PRIMES)}[strpos({_C}, c)]))::bigint primes,
        sha256(unhex(array_to_string(list_transform(string_split(canon, ''), lambda c: printf('%02x', strpos({_C}, c) - 1)), ''))) digest from cited""",
