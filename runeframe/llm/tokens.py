@@ -212,12 +212,18 @@ class Decoder:
     """Ids back to text: one byte buffer of all entries and a table of offsets into it."""
 
     def __init__(self, tokens: list[bytes]) -> None:
-        self.buffer = b"".join(tokens)
+        self.buffer = np.frombuffer(b"".join(tokens), np.uint8)
         self.offsets = np.concatenate(([0], np.cumsum([len(t) for t in tokens])))
 
-    def __call__(self, ids: list[int]) -> str:
-        o = self.offsets
-        return b"".join(self.buffer[o[i] : o[i + 1]] for i in ids).decode("utf-8", errors="replace")
+    def __call__(self, ids: list[int] | np.ndarray) -> str:
+        """All bytes of a text are gathered at once; an id outside the vocabulary is an error."""
+        ids = np.asarray(ids, np.int64)
+        if len(ids) and not 0 <= ids.min() <= ids.max() < len(self.offsets) - 1:
+            raise ValueError("id outside the vocabulary")
+        starts = self.offsets[ids]
+        sizes = self.offsets[ids + 1] - starts
+        before = np.cumsum(sizes) - sizes
+        return self.buffer[np.arange(sizes.sum()) + np.repeat(starts - before, sizes)].tobytes().decode("utf-8", errors="replace")
 
 
 def _shared_tables(spark: SparkSession, name: str, folder: str):  # noqa: ANN202
@@ -268,7 +274,7 @@ def decoded(rows: DataFrame, id_col: str, ids_col: str, name: str = "byte_bpe_50
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = Decoder(tables.value[0])
         for batch in batches:
-            texts = [None if ids is None else decode(ids) for ids in batch.column(1).to_pylist()]
+            texts = [decode(ids.values.to_numpy()) if ids.is_valid else None for ids in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return rows.select(F.col(id_col).cast("long"), F.col(ids_col)).mapInArrow(run, "doc_id long, text string")
