@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runeframe.llm import canonical_text, conversations, markup, packing, personal, shared_spans, stuffing, tokens
-from runeframe.session import table
+from runeframe.session import spread, table
 
 #: Bound on the distinct given and family names of the member table that are sent to every task.
 MAX_NAMES = 1_000_000
@@ -62,13 +62,13 @@ def gazetteer(spark: SparkSession, sf_dir: str) -> personal.Gazetteer:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    messages, names = table(spark, sf_dir, "messages"), gazetteer(spark, sf_dir)
+    messages, names = spread(table(spark, sf_dir, "messages").select("id", "body", "author")), gazetteer(spark, sf_dir)
     return personal.find_kinds(messages, "id", "body", "body", names).unionAll(personal.find_kinds(messages, "id", "author", "author", names, signatures=True))
 
 
 def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every body and every author with placeholders in place of personal information."""
-    messages, names = table(spark, sf_dir, "messages"), gazetteer(spark, sf_dir)
+    messages, names = spread(table(spark, sf_dir, "messages").select("id", "body", "author")), gazetteer(spark, sf_dir)
     return _both(lambda field: personal.redacted(messages, "id", field, names, signatures=field == "author"), "body", "author")
 
 
@@ -108,8 +108,13 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.shared_lengths(table(spark, sf_dir, "runes"), "id", "canon", "msg_id", MIN_SHARED)
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents dealt over the cores where they come in too few splits for the heavy row-wise work that follows."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.encoded(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return tokens.encoded(_documents(spark, sf_dir), "doc_id", "text")
 
 
 def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,18 +124,18 @@ def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_multi_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text as ids of the vocabulary made for many languages."""
-    return tokens.encoded(table(spark, sf_dir, "documents"), "doc_id", "text", "byte_bpe_multi_50k")
+    return tokens.encoded(_documents(spark, sf_dir), "doc_id", "text", "byte_bpe_multi_50k")
 
 
 def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in containers of 2,048 tokens."""
-    sizes = tokens.counted(table(spark, sf_dir, "documents"), "doc_id", "text")
+    sizes = tokens.counted(_documents(spark, sf_dir), "doc_id", "text")
     placed = packing.packed(sizes, "doc_id", "n_tokens", CAPACITY)
     return placed.select(F.col("id").alias("doc_id"), "part", F.col("size").alias("n_tokens"), F.col("container").alias("container_id"))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stuffing.find_stuffed(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return stuffing.find_stuffed(_documents(spark, sf_dir), "doc_id", "text")
 
 
 FUNCTIONS = (p1_found, p1_classes, p1_forms, p2_found, p2_clean, p4_found, p4_redacted, p5_found, p5_conversations, p7_found, p8_ids, p8_decoded, p8_multi_ids, p9_containers, p10_found)
