@@ -54,13 +54,14 @@ def parse_exports(files: DataFrame) -> DataFrame:
     name = F.regexp_replace(F.regexp_replace(F.get(named, F.lit(0)), r"^[^:]*:", ""), r"(?U)^\s+|\s+$", "")
     each = F.transform("all", lambda ln, i: F.struct((i + 1).alias("line"), ln.alias("ln"), F.get("all", i - 1).alias("above")))
     lines = split.select("channel", F.coalesce(name, F.col("channel")).alias("channel_name"), F.inline(each))
+    # lines go to their block first, so that a large file's lines are read by many tasks
+    lines = lines.withColumn("block", F.expr(f"line div {BLOCK}")).repartition("channel", "block")
     blank = F.col("ln").rlike(BLANK)
     marked = (
         lines.withColumn("blank", blank)
         .withColumn("shaped", F.coalesce(F.col("above").rlike(BLANK), F.lit(True)) & F.col("ln").rlike(SHAPE))
         .withColumn("at", F.when(F.col("shaped"), F.try_to_timestamp(F.regexp_extract("ln", HEADER, 1), F.lit("M/d/yyyy h:mm a"))))
         .withColumn("head", F.col("at").isNotNull())
-        .withColumn("block", F.expr(f"line div {BLOCK}"))
         .drop("above")
     )
     state = F.when(F.col("head"), F.lit(False)).when(F.col("shaped"), F.lit(None)).when(F.col("ln").rlike(BRACES), F.lit(True)).when(F.col("blank"), F.lit(False))
