@@ -103,13 +103,17 @@ def _log(spark: SparkSession, a: argparse.Namespace) -> int:
         print(f"logged #{explog.add(a.path, known, a.section or '', a.method or '', a.verdict or 'running', a.params, a.coverage or '', a.notes or '')}")
         return 0
     entries, bad = explog.read_log(spark, a.path)
-    for r in bad.collect():
+    for r in bad.toLocalIterator():
         print(f"warning: unreadable line {r['line']}: {r['raw'][:60]!r}", file=sys.stderr)
     entries = explog.matching(entries, known or None, a.section, a.verdict)
     if a.action == "search":
         entries = explog.searching(entries, a.term or "")
-    shown = entries.orderBy("id").collect()
-    print("\n".join(r["raw"] if a.json else f"#{r['id']} {r['ts']} {r['section']} {r['verdict']}: {r['method']} {r['notes'] or ''}" for r in shown) or "no entries")
+    none = True
+    for r in entries.orderBy("id").toLocalIterator():  # a partition at a time
+        none = False
+        print(r["raw"] if a.json else f"#{r['id']} {r['ts']} {r['section']} {r['verdict']}: {r['method']} {r['notes'] or ''}")
+    if none:
+        print("no entries")
     return 0
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -281,11 +281,11 @@ def parse(query: str) -> tuple[object, str, bool]:
     try:
         return _Parser(query).whole(), query, False
     except (SyntaxError, ValueError):
-        words = re.findall(r"\w+", query)
-        quoted = " ".join(f'"{w}"' for w in words if fold(w))
-        if not quoted:
-            raise InvalidQuery(f"nothing searchable in {query!r}") from None
-        return _Parser(quoted).whole(), quoted, True
+        kept = [w for w in re.split(r"\W+", query) if fold(w)]
+    if not kept:
+        raise InvalidQuery(f"nothing searchable in {query!r}")
+    every = reduce(lambda a, b: Bool("and", a, b), (Phrase(tuple(fold(w))) for w in kept))
+    return every, '"' + '" "'.join(kept) + '"', True
 
 
 def ranked(docs: DataFrame, id_col: str, joined_col: str, tree) -> DataFrame:  # noqa: ANN001

@@ -14,7 +14,7 @@ AND_QUERY, OR_QUERY, NOT_QUERY = "running key", "histogram OR lantern OR anneal*
 FALLBACK_QUERY = "window ( scoring"
 PHRASE_QUERY, NEAR_QUERY = '"window scoring"', "NEAR(fresh repeated, 12)"
 SEQUENCE = "ᛋᛏᚱ"
-LIMIT = 50
+LIMIT, SHOWN = 50, 40
 
 
 def messages(spark, d):  # noqa: ANN001, ANN201
@@ -65,6 +65,12 @@ def context_blocks(spark, d):  # noqa: ANN001, ANN201
     return blocks.select("channel", "first_seq", "last_seq", "rank", F.size("messages").alias("n"), F.size(F.filter("messages", lambda x: x["matched"])).alias("hits"))
 
 
+def search_conversations(spark, d):  # noqa: ANN001, ANN201
+    """The messages of a search's conversations as they are shown, bodies cut after a few characters."""
+    blocks = store(spark, d).context_blocks(_ranked_hits(spark, d, AND_QUERY, LIMIT), 2, SHOWN)
+    return blocks.select("channel", "first_seq", "rank", F.inline("messages")).drop("note")
+
+
 def rune_search_longest(spark, d):  # noqa: ANN001, ANN201
     return S.sequence_hits(messages(spark, d), table(spark, d, "runes"), SEQUENCE, limit=LIMIT).select("id", "n", "notation", "note")
 
@@ -138,6 +144,7 @@ QUERIES = {
     "filter_channel_since": filter_channel_since,
     "filter_author_until": filter_author_until,
     "channel_summary": channel_summary,
+    "search_conversations": search_conversations,
     "search_json": search_json,
 }
 ORACLES = {
@@ -152,6 +159,10 @@ ORACLES = {
     "context_blocks": f"""with {_AR}, {_MS}, {_CTX}, {_ranked(*_AND)}, hr as (select ht.id, channel, seq, row_number() over (order by score, ht.id) r from ht join ar using (id)),
       wt as (select distinct channel, seq + unnest([-2, -1, 0, 1, 2]) seq from hr), rw as (select ar.channel, ar.seq, ar.id, ar.seq - row_number() over (partition by ar.channel order by ar.seq) g from wt join ar on ar.channel = wt.channel and ar.seq = wt.seq)
       select rw.channel, min(rw.seq)::int first_seq, max(rw.seq)::int last_seq, any_value(b.r)::int as rank, count(*)::int n, count(hr.id)::int hits from rw left join hr on hr.id = rw.id join (select channel, min(r) r from hr group by 1) b on b.channel = rw.channel group by rw.channel, g""",
+    "search_conversations": f"""with {_AR}, {_MS}, {_CTX}, {_ranked(*_AND)}, hr as (select ht.id, channel, seq, row_number() over (order by score, ht.id) r from ht join ar using (id)),
+      wt as (select distinct channel, seq + unnest([-2, -1, 0, 1, 2]) seq from hr), rw as (select ar.channel, ar.seq, ar.id, ar.ts, ar.seq - row_number() over (partition by ar.channel order by ar.seq) g from wt join ar on ar.channel = wt.channel and ar.seq = wt.seq)
+      select rw.channel, (min(rw.seq) over (partition by rw.channel, g))::int first_seq, b.r::int as rank, rw.seq, m.line, rw.ts, m.author, m.pinned, hr.id is not null as matched, substring(m.body, 1, {SHOWN}) body, coalesce(length(m.body) > {SHOWN}, false) truncated
+      from rw join messages m on m.id = rw.id left join hr on hr.id = rw.id join (select channel, min(r) r from hr group by 1) b on b.channel = rw.channel""",
     "rune_search_longest": f"""with {_AR} select a.id, max(coalesce(n, length(canon)))::int n, arg_max(notation, struct_pack(n := coalesce(n, length(canon)), i := -r.id)) notation,
       arg_max(notation || ': ' || substring(regexp_replace(trim(raw), '[\\x{{09}}-\\x{{0d}}\\x{{20}}\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g'), 1, 100), struct_pack(n := coalesce(n, length(canon)), i := -r.id)) note from runes r join ar a on a.id = r.msg_id
       where contains(canon, 'pqe') group by 1 order by n desc, a.id limit {LIMIT}""",

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import os
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -137,6 +137,25 @@ class Corpus:
         return named.join(files, "file", "left").select("section", "text")
 
 
+    def training(self, before: list[tuple[str, str]] = (), after: list[tuple[str, str]] = ()) -> DataFrame:
+        """``o, canon``: the spelled training texts in order, for ``fitness.model(..., order="o")``.
+
+        First the files of ``before`` (pairs of folder and file pattern, a kind each, by path), then
+        the English sentences of the solved sections in their order, then the files of ``after``.
+        Texts that hold runes are left out.
+        """
+        parts = []
+        for rank, folders in (("0", before), ("2", after)):
+            if folders:
+                parts.append(T.training_texts(self.spark, list(folders)).select(F.concat(F.lit(rank + "/"), "o").alias("o"), "text"))
+        if self.sentences is not None:
+            told = self.sentences.where("english <> ''").join(self.of_status(True).select("section"), "section")
+            parts.append(told.select(F.format_string("1/%019d", "ord").alias("o"), F.col("english").alias("text")))
+        if not parts:
+            raise FileNotFoundError("no training texts")
+        return reduce(DataFrame.unionAll, parts).select("o", A.spell(F.col("text")).alias("canon")).where("canon is not null")
+
+
 _LOADED: dict[tuple[str, Places], Corpus] = {}
 
 

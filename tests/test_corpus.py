@@ -97,6 +97,20 @@ def test_every_pin_can_fail(loaded, tmp_path):
     assert found.pop("spans") is True and len(found) == 8 and not any(found.values()), found
 
 
+def test_training_texts_in_order(spark, loaded, tmp_path):
+    from runeframe.operators import fitness
+
+    (tmp_path / "b.txt").write_text("tree", encoding="utf-8")
+    (tmp_path / "a.txt").write_text("owl tree", encoding="utf-8")
+    told = [r["canon"] for r in loaded.training(after=[(str(tmp_path), "*.txt")]).orderBy("o").collect()]
+    assert told == [canon(STAR), canon(OWL), canon(OWL + TREE), canon(TREE)]
+    fitted = fitness.model(loaded.training(after=[(str(tmp_path), "*.txt")]), "canon", 3, "o")
+    whole = "".join(told)
+    assert {r["gram"] for r in fitted.collect()} == {whole[i : i + 3] for i in range(len(whole) - 2)}
+    stream = bytes(A.CANON.index(c) for c in whole)
+    assert fitness.training_sha256(loaded.training(after=[(str(tmp_path), "*.txt")]), "canon", "o") == (hashlib.sha256(stream).hexdigest(), len(stream))
+
+
 def test_absent_tables_are_skipped(spark, book, loaded):
     places = corpus.Places(**{**loaded.places.__dict__, "sentences": book + "/none.csv"})
     found = {r["name"]: r["passed"] for r in verify.corpus_checks(corpus.Corpus(spark, places), verify.Pins()).collect()}
