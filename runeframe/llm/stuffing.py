@@ -17,23 +17,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Function words (articles, pronouns, prepositions, conjunctions, auxiliaries, particles) per language.
-CLOSED = frozenset(
-    """
-    the a an this that these those it its it's he she they him them we us we're i i'm i've me you you'll you'd you've your my our his her their who whom whose which what
+#: Function words (articles, pronouns, prepositions, conjunctions, auxiliaries, particles) by language.
+FUNCTION_WORDS = {
+    "en": """the a an this that these those it its it's he she they him them we us we're i i'm i've me you you'll you'd you've your my our his her their who whom whose which what
     when where why how and or nor but so yet because since although though unless while whereas if then than as of in on at by with without within for from to into onto
     over under before after between through during against about above below near is are was were be been being am do does did has have had having not no nobody nothing
     none someone somebody something everyone everybody everything anyone anybody anything each every either neither both all any some such can can't could couldn't would
-    should will won't shall may might must there here that's there's let's they've don't doesn't didn't isn't wasn't aren't
-    der die das den dem des ein eine einen einem einer eines und oder aber denn wenn weil dass ob damit so als wie ist sind war waren wird werden wurde wurden haben hat
+    should will won't shall may might must there here that's there's let's they've don't doesn't didn't isn't wasn't aren't""",
+    "de": """der die das den dem des ein eine einen einem einer eines und oder aber denn wenn weil dass ob damit so als wie ist sind war waren wird werden wurde wurden haben hat
     hatte hatten sein ich du er sie es wir ihr mich dich sich uns euch mein dein unser nicht kein keine noch schon auch nur auf in im an am zu zum zur von vom mit nach
-    bei für über unter vor aus durch gegen ohne um warum was wer wo da dort hier man
-    le la les l un une des du de d et ou mais donc car que qu qui quoi dont où est sont était étaient été être a ont avait avoir on nous vous je tu il elle ils elles lui
-    se ce cet cette ces mon ton son notre votre leur ne pas plus sur sous dans à au aux pour par avec sans après avant entre si comme pourquoi ici ensemble hier
-    el los las lo un una unos unas y e o u pero sino que quien cual es son fue era eran está están estaba ser ha han hemos había habían yo tú él ella nosotros ellos se me
-    te nos su mi no ya si en de del al a por para con sin sobre entre hasta desde después antes porque qué como cuando donde juntos ayer
-    """.split()
-)
+    bei für über unter vor aus durch gegen ohne um warum was wer wo da dort hier man""",
+    "fr": """le la les l un une des du de d et ou mais donc car que qu qui quoi dont où est sont était étaient été être a ont avait avoir on nous vous je tu il elle ils elles lui
+    se ce cet cette ces mon ton son notre votre leur ne pas plus sur sous dans à au aux pour par avec sans après avant entre si comme pourquoi ici ensemble hier""",
+    "es": """el los las lo un una unos unas y e o u pero sino que quien cual es son fue era eran está están estaba ser ha han hemos había habían yo tú él ella nosotros ellos se me
+    te nos su mi no ya si en de del al a por para con sin sobre entre hasta desde después antes porque qué como cuando donde juntos ayer""",
+}
+CLOSED = frozenset(word for words in FUNCTION_WORDS.values() for word in words.split())
 LINK = re.compile(r"(?:https?://|www\.)[^\s<>\"'\])|]+|<a\b[^>]*>|</a>|\bhref=\S+", re.I)
 TAG = re.compile(r"#[^\W\d_]\w*")
 #: Rune spellings joined by separators, and digests.
