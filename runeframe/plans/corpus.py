@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from runeframe.functions import alphabet as A
@@ -112,11 +113,15 @@ def export_parse(spark, d):  # noqa: ANN001, ANN201
     A channel of more messages than a file should hold goes on in a further file. Messages without
     a time or an author get stand-ins, as a header needs both.
     """
-    header = F.concat(F.lit("["), F.date_format(F.coalesce("at", F.lit("2000-01-01").cast("timestamp")), "M/d/yyyy h:mm a"), F.lit("] "), F.coalesce("author", F.lit("nobody")))
-    rows = messages(spark, d).where("channel is not null and seq is not null").select(
-        F.concat("channel", F.lit("~"), F.expr(f"seq div {FILE_ROWS}")).alias("file"), "seq", F.concat(header, F.lit("\n"), F.coalesce("body", F.lit("")), F.lit("\n"), F.coalesce("extra", F.lit("")), F.lit("\n")).alias("text")
+    at = F.coalesce(parse_minute(F.col("ts")), F.lit("2000-01-01").cast("timestamp"))
+    header = F.concat(F.lit("["), F.date_format(at, "M/d/yyyy h:mm a"), F.lit("] "), F.coalesce("author", F.lit("nobody")))
+    rows = table(spark, d, "messages").where("channel is not null and seq is not null").select(
+        F.concat("channel", F.lit("~"), F.expr(f"seq div {FILE_ROWS}")).alias("file"), "seq", "id", F.concat(header, F.lit("\n"), F.coalesce("body", F.lit("")), F.lit("\n"), F.coalesce("extra", F.lit("")), F.lit("\n")).alias("text")
     )
-    files = rows.groupBy("file").agg(F.concat(F.lit("Guild: archive\nChannel: Part of it\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda s: s["text"]), "\n")).alias("content"))
+    # a file's rows meet once, for the first of repeated exports and for its content
+    first = Window.partitionBy("file", "seq").orderBy(F.asc_nulls_last("id"))
+    once = rows.repartition("file").withColumn("n", F.row_number().over(first)).where("n = 1")
+    files = once.groupBy("file").agg(F.concat(F.lit("Guild: archive\nChannel: Part of it\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda s: s["text"]), "\n")).alias("content"))
     return exports.parse_exports(files.select(F.concat(F.lit("/x/"), "file", F.lit(".txt")).alias("path"), "content"))
 
 

@@ -1,26 +1,29 @@
 """Chat exports as text files to message rows.
 
 A header line opens a message; it counts only after a blank line and with a time that exists.
-Lines in braces open an extra block, which a blank line ends. The line states are running values
-over blocks of a file's lines; what a block inherits comes from one row per block, so a large file
-is many partitions.
+Lines in braces open an extra block, which a blank line ends. As a header stands behind a blank
+line, nothing carries over from message to message: a file is cut at its headers, and each message
+is read by itself.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runeframe.operators.prefix import running_totals
-from runeframe.session import cut_lineage
-
-#: Lines per block of a file, and lines at its head that may name the channel.
-BLOCK, HEAD = 4096, 6
-#: Fixed patterns of the line grammar; dots and ends in Unix mode, white space of any kind.
-HEADER = r"(?dU)^\[([^\]]*)\] (.*)$"
-SHAPE = r"(?dU)^\[\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2} [AP]M\] \S.*$"
-BRACES = r"(?d)^\{[A-Z][A-Za-z ]*\}$"
-BLANK = r"(?U)^\s*$"
+from runeframe.session import cut_lineage, shared_place
+
+#: Lines at the head of a file that may name the channel, and files whose first ids are broadcast at most.
+HEAD, BROADCAST_ROWS = 6, 500_000
+#: Fixed patterns of the grammar over a whole text: dots, starts and ends in Unix mode, white space of any kind.
+SHAPE = r"\[\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2} [AP]M\] \S"
+#: A blank line, or the start of the file, before a line of a header's shape.
+OPENING = rf"(?dmU)(\A|^[^\S\n]*\n)(?={SHAPE})"
+#: A line in braces and what follows it up to a blank line. Possessive, so that no length exhausts the stack.
+EXTRA = r"(?dmU)^\{[A-Z][A-Za-z ]*\}$(?:\n[^\S\n]*\S.*)*+"
+STAMP, AUTHOR = r"^\[([^\]]*)\]", r"(?d)^\[[^\]]*\] (.*)"
+BLANKS = r"(?U)\n\s*\n"
 PINNED = r"\s*\(pinned\)$"
 
 
@@ -42,57 +45,56 @@ def _stem(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
 
 
+def _trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def _time(text: Column) -> Column:
+    return F.try_to_timestamp(F.regexp_extract(text, STAMP, 1), F.lit("M/d/yyyy h:mm a"))
+
+
+def _texts(files: DataFrame) -> DataFrame:
+    """``path, channel, channel_name, seq, line, text``: each message's lines, from its header on.
+
+    Line ends are made one kind first, so a carriage return is free to mark the headers. Every step
+    goes over a file once: nothing of a whole file may be asked for per line, or held beside its rows.
+    """
+    plain = files.select("path", _stem(F.col("path")).alias("channel"), F.regexp_replace("content", "\r\n?", "\n").alias("all"))
+    named = F.filter(F.split(F.substring_index("all", "\n", HEAD), "\n"), lambda ln: F.startswith(ln, F.lit("Channel:")))
+    name = _trimmed(F.regexp_replace(F.get(named, F.lit(0)), r"^[^:]*:", ""))
+    shaped = plain.select("path", "channel", F.coalesce(name, F.col("channel")).alias("channel_name"), F.split(F.regexp_replace("all", OPENING, "$1\r"), "\r").alias("parts"))
+    # a header's shape with an impossible time opens nothing, so its mark goes
+    marked = F.transform("parts", lambda t, i: F.when((i > 0) & _time(t).isNotNull(), F.concat(F.lit("\r"), t)).otherwise(t))
+    marks = shaped.select("path", "channel", "channel_name", F.array_join(marked, "").alias("all"))
+    texts = F.filter(F.split("all", "\r"), lambda _, i: i > 0)
+    lines = F.array_compact(F.transform(F.split("all", "\n"), lambda ln, i: F.when(F.startswith(ln, F.lit("\r")), i + 1)))
+    found = marks.select("path", "channel", "channel_name", F.posexplode(F.arrays_zip(texts.alias("text"), lines.alias("line"))).alias("at", "m"))
+    return found.select("path", "channel", "channel_name", (F.col("at") + 1).alias("seq"), "m.line", "m.text")
+
+
 def parse_exports(files: DataFrame) -> DataFrame:
     """``id, channel, channel_name, ts, author, pinned, body, extra, seq, line`` from ``path, content``.
 
-    Ids run over files in path order, then lines. Blank lines are dropped, so paragraphs join with
+    Ids run over channels in order of their names, then lines. Blank lines are dropped, so paragraphs join with
     one line end; after a blank line, text behind an extra block is body again. A header-shaped
     line with an impossible time is body wherever it stands. Files without a message give no row.
+    The messages are written once to the shared folder, as ids need the counts of all files.
     """
-    split = files.select(_stem(F.col("path")).alias("channel"), F.split(F.regexp_replace("content", "\r\n?", "\n"), "\n").alias("all"))
-    named = F.filter(F.slice("all", 1, HEAD), lambda ln: F.startswith(ln, F.lit("Channel:")))
-    name = F.regexp_replace(F.regexp_replace(F.get(named, F.lit(0)), r"^[^:]*:", ""), r"(?U)^\s+|\s+$", "")
-    each = F.transform("all", lambda ln, i: F.struct((i + 1).alias("line"), ln.alias("ln"), F.get("all", i - 1).alias("above")))
-    lines = split.select("channel", F.coalesce(name, F.col("channel")).alias("channel_name"), F.inline(each))
-    # lines go to their block first, so that a large file's lines are read by many tasks
-    lines = lines.withColumn("block", F.expr(f"line div {BLOCK}")).repartition("channel", "block")
-    blank = F.col("ln").rlike(BLANK)
-    marked = (
-        lines.withColumn("blank", blank)
-        .withColumn("shaped", F.coalesce(F.col("above").rlike(BLANK), F.lit(True)) & F.col("ln").rlike(SHAPE))
-        .withColumn("at", F.when(F.col("shaped"), F.try_to_timestamp(F.regexp_extract("ln", HEADER, 1), F.lit("M/d/yyyy h:mm a"))))
-        .withColumn("head", F.col("at").isNotNull())
-        .drop("above")
-    )
-    state = F.when(F.col("head"), F.lit(False)).when(F.col("shaped"), F.lit(None)).when(F.col("ln").rlike(BRACES), F.lit(True)).when(F.col("blank"), F.lit(False))
-    inside = Window.partitionBy("channel", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    local = cut_lineage(marked.withColumn("heads", F.sum(F.col("head").cast("int")).over(inside)).withColumn("state", F.last(state, ignorenulls=True).over(inside)))
-    blocks = local.groupBy("channel", "block").agg(F.max("heads").alias("n"), F.max_by("state", "line").alias("ends_in"))
-    earlier = Window.partitionBy("channel").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    inherited = blocks.select("channel", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), F.last("ends_in", ignorenulls=True).over(earlier).alias("was"))
-    staged = (
-        local.join(inherited, ["channel", "block"])
-        .withColumn("seq", (F.col("heads") + F.col("before")).cast("int"))
-        .withColumn("extra", F.coalesce("state", "was", F.lit(False)) & ~F.col("shaped"))
-        .where("seq > 0")
-    )
-    keep = ~F.col("head") & ~F.col("blank")
-
-    def joined(which: Column) -> Column:
-        listed = F.array_sort(F.collect_list(F.when(keep & which, F.struct("line", "ln"))))
-        return F.regexp_replace(F.array_join(F.transform(listed, lambda s: s["ln"]), "\n"), r"(?U)^\s+|\s+$", "")
-
-    messages = staged.groupBy("channel", "channel_name", "seq").agg(
-        F.min(F.when(F.col("head"), F.struct("line", "at", "ln"))).alias("h"), joined(~F.col("extra")).alias("body"), joined(F.col("extra")).alias("extra")
-    )
-    author = F.regexp_extract("h.ln", HEADER, 2)
-    done = messages.select(
-        "channel", "channel_name", F.date_format("h.at", "yyyy-MM-dd HH:mm").alias("ts"), F.regexp_replace(author, PINNED, "").alias("author"), author.rlike(PINNED).alias("pinned"), "body", "extra", "seq", F.col("h.line").alias("line")
-    )
-    # ids without gathering all messages: counts per channel give each channel's first id
-    sizes = done.groupBy("channel").agg(F.count(F.lit(1)).alias("k"))
-    first = running_totals(sizes, ["channel"], "k").select("channel", "before")
-    return done.join(first, "channel").select((F.col("before") + F.col("seq")).alias("id"), *done.columns)
+    author, behind = F.regexp_extract("text", AUTHOR, 1), F.regexp_replace("text", r"^[^\n]*\n?", "")
+    messages = _texts(files).select(
+        "path", "channel", "channel_name", F.date_format(_time(F.col("text")), "yyyy-MM-dd HH:mm").alias("ts"), F.regexp_replace(author, PINNED, "").alias("author"), author.rlike(PINNED).alias("pinned"),
+        _trimmed(F.regexp_replace(F.regexp_replace(behind, EXTRA, ""), BLANKS, "\n")).alias("body"), _trimmed(F.array_join(F.regexp_extract_all(behind, F.lit(EXTRA), F.lit(0)), "\n")).alias("extra"), "seq", "line"
+    )
+    spark = files.sparkSession
+    place = shared_place(spark, "exports")
+    messages.write.parquet(place)
+    done = spark.read.schema(messages.schema).parquet(place)
+    # counts per file give each file's first id
+    sizes = done.groupBy("channel", "path").agg(F.count(F.lit(1)).alias("k"))
+    first = cut_lineage(running_totals(sizes, ["channel", "path"], "k").select("path", "before"))
+    if first.count() <= BROADCAST_ROWS:
+        first = F.broadcast(first)
+    return done.join(first, "path").select((F.col("before") + F.col("seq")).alias("id"), *(c for c in done.columns if c != "path"))
 
 
 def stale(indexed: DataFrame, current: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Exports, rune rows, index, search, log, drift checks and streams."""
 
 import json
+import threading
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
@@ -69,6 +70,36 @@ def test_exports_become_messages(spark, exported):
     ]
 
 
+def test_one_long_file_takes_time_in_proportion_to_its_lines(spark):
+    n = 100_000
+    long = spark.range(n).select(F.concat(F.lit("[7/9/2018 6:30 AM] finch\nsaid "), F.col("id").cast("string"), F.lit("\n{Embed}\nlink\n\n")).alias("t"), "id")
+    file = long.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "t"))), lambda m: m["t"]), "").alias("content")).select(F.lit("/x/long.txt").alias("path"), "content")
+    stop = threading.Timer(60, spark.sparkContext.cancelAllJobs)  # a whole file carried beside each line takes many times that
+    stop.start()
+    try:
+        parsed = exports.parse_exports(file)
+        got = parsed.agg(F.count("*"), F.max("line"), F.sum((F.col("body") == F.concat(F.lit("said "), (F.col("seq") - 1).cast("string"))).cast("int")), F.countDistinct("id"), F.max("extra")).first()
+    finally:
+        stop.cancel()
+    assert tuple(got) == (n, 5 * n - 4, n, n, "{Embed}\nlink")
+
+
+def test_odd_lines_of_an_export(spark):
+    block = "\n".join(f"line {i}" for i in range(20_000))
+    texts = {
+        "/x/a.txt": "[2/29/2019 1:00 AM] no such day\n\n[2/29/2020 1:00 AM] wren\nb\n[1/1/2020 1:00 AM] no blank above\n\u00a0\u2028\n[٢/1/2020 1:00 AM] other digits\n{X}\ny",
+        "/x/b.txt": f"Channel:  long \r\n\r[1/1/2020 1:00 PM] moss (pinned)\r{{Embed}}\n{block}\n\nend",
+        "/x/c.txt": "x\n[1/1/2020 1:00 PM] nobody\n",
+        "/x/d.txt": "[1/1/2020 1:00 PM] last",
+    }
+    parsed = exports.parse_exports(spark.createDataFrame(list(texts.items()), ["path", "content"])).orderBy("id").collect()
+    assert [(r["id"], r["channel"], r["channel_name"], r["author"], r["pinned"], r["seq"], r["line"], r["body"], r["extra"]) for r in parsed] == [
+        (1, "a", "a", "wren", False, 1, 3, "b\n[1/1/2020 1:00 AM] no blank above\n[٢/1/2020 1:00 AM] other digits", "{X}\ny"),
+        (2, "b", "long", "moss", True, 1, 3, "end", "{Embed}\n" + block),
+        (3, "d", "d", "last", False, 1, 1, "", ""),
+    ]
+
+
 def test_a_file_of_another_encoding_fails(spark, tmp_path):
     (tmp_path / "old.txt").write_bytes("[7/9/2018 6:30 AM] finch\nné".encode("latin-1"))
     with pytest.raises(Exception, match="UTF-8"):
