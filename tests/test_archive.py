@@ -84,7 +84,9 @@ def test_one_long_file_takes_time_in_proportion_to_its_lines(spark):
     assert tuple(got) == (n, 5 * n - 4, n, n, "{Embed}\nlink")
 
 
-def test_odd_lines_of_an_export(spark):
+@pytest.mark.parametrize("bound", [0, exports.BROADCAST_ROWS])
+def test_odd_lines_of_an_export(spark, monkeypatch, bound):
+    monkeypatch.setattr(exports, "BROADCAST_ROWS", bound)
     block = "\n".join(f"line {i}" for i in range(20_000))
     texts = {
         "/x/a.txt": "[2/29/2019 1:00 AM] no such day\n\n[2/29/2020 1:00 AM] wren\nb\n[1/1/2020 1:00 AM] no blank above\n\u00a0\u2028\n[٢/1/2020 1:00 AM] other digits\n{X}\ny",
